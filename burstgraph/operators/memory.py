@@ -114,21 +114,17 @@ def recall(matrix: DataFrame, cells: DataFrame, steps: int = 1, tie: int = 1, by
     return cells
 
 
-def expand_hits(cells: DataFrame, hours: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows with any active cell become active in every given hour."""
-    span = hours.select("hour").distinct()
-    hit = cells.join(F.broadcast(span), "hour", "left_semi").select(*by, "id").distinct()
-    first = span.agg(F.min("hour").alias("a")).scalar()
-    last = span.agg(F.max("hour").alias("b")).scalar()
-    filled = hit.select(*by, "id", F.explode(F.sequence(first, last)).alias("hour"))
-    return filled.join(F.broadcast(span), "hour", "left_semi").select(*by, "id", "hour")
-
-
 def in_event(cells: DataFrame, start: int, stop: int) -> DataFrame:
     """Cells of the event's hours: start included, stop not."""
     return cells.where((F.col("hour") >= start) & (F.col("hour") < stop))
 
 
+def expand_hits(cells: DataFrame, start: int, stop: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with any active cell in the event become active in all of its hours."""
+    hours = F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("hour")
+    return in_event(cells, start, stop).select(*by, "id").distinct().select(*by, "id", hours)
+
+
 def error_rates(
     original: DataFrame,
     recalled: DataFrame,
