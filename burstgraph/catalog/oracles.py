@@ -1,7 +1,7 @@
 """The catalog's queries as plain SQL over the same tables."""
 
 from burstgraph.catalog.queries import EVENT, LEVEL, MIN_COUNT, MIN_WEIGHT, N, PAIR_WEIGHT, RATE
-from burstgraph.functions.hashing import uniform_sql
+from burstgraph.functions.hashing import mixed_sql, uniform_sql
 from burstgraph.functions.timeaxis import NAMED_WINDOWS
 from burstgraph.operators.distributions import BASE, COMMUNITY_BINS, DEGREE_BINS, TOP
 from burstgraph.operators.memory import MUTE_DIVISORS
@@ -210,7 +210,7 @@ HOPS = [
     "hops AS (SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM reach GROUP BY 1)",
 ]
 
-_u = uniform_sql(["src", "dst", "level + 1"], 1)
+_u = uniform_sql([mixed_sql(["src", "dst"], 1), "level + 1"], 1)
 _a, _b, _c = QUADRANTS["a"], QUADRANTS["b"], QUADRANTS["c"]
 NULL_EDGES = [
     EDGES,
@@ -448,7 +448,7 @@ WHERE lit <> ({CELL_HASH} < 0.2)""",
         component_rows("nodes", "found", "SELECT c_custkey AS id, c_name AS title FROM customer"),
     ),
     "learn_null_model": select(
-        [SIGNAL, *NULL_EDGES, NUMBERED, weigh("w", "renamed", "drawn", -1, N, keep=7.0), *LCC],
+        [SIGNAL, *NULL_EDGES, NUMBERED, weigh("w", "renamed", "drawn", -1, N, keep=5.0), *LCC],
         component_rows("lcc", LCC_EDGES, "SELECT id, title FROM numbered"),
         True,
     ),

@@ -677,7 +677,7 @@ def learn_all_pairs(spark, folder):
 def learn_null_model(spark, folder):
     found = learning.learn_null_model(
         tables.part_vertices(spark, folder), tables.part_edges(spark, folder), tables.part_signal(spark, folder),
-        -1, N, min_weight=7.0,
+        -1, N, min_weight=5.0,
     )
     return component_rows(found.graph)
 

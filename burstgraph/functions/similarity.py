@@ -1,9 +1,4 @@
-"""Similarity of two packed series (MAP<INT,DOUBLE>) as Column expressions.
-
-Everything is evaluated inside one row, so comparing the two ends of an edge
-needs no shuffle beyond bringing both series to the edge. ``map_zip_with``
-matches the hours by hashing, in time linear in the two sizes.
-"""
+"""Similarity of two series: what one common hour adds, and the chunked correlation."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,48 +6,34 @@ from pyspark.sql import functions as F
 CHUNK = 24  # fixed value: samples per correlation chunk
 
 
-def _ratios(x: Column, y: Column) -> Column:
-    """Per hour of either series: smaller over larger value, null where only one has a sample."""
-    ratio = F.map_zip_with(
-        x, y, lambda _, a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b) / F.greatest(a, b))
-    )
-    return F.map_values(ratio)
+def ratio(x: Column, y: Column) -> Column:
+    """Smaller over larger value; null unless both are given (``least`` alone skips nulls)."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.least(x, y) / F.greatest(x, y))
 
 
-def ratio_similarity(x: Column, y: Column, lam: float = 0.5) -> Column:
-    """Sum of the ratios above ``lam`` over the common hours; 0 without any."""
-    return F.aggregate(
-        _ratios(x, y), F.lit(0.0), lambda total, s: total + F.when(s > lam, s).otherwise(F.lit(0.0))
-    )
+def ratio_term(x: Column, y: Column, lam: float) -> Column:
+    """The ratio where it exceeds ``lam``, else 0."""
+    s = ratio(x, y)
+    return F.when(s > lam, s).otherwise(F.lit(0.0))
 
 
-def signed_similarity(x: Column, y: Column) -> Column:
-    """Ratios above one half count for, the others against."""
-    return F.aggregate(
-        _ratios(x, y),
-        F.lit(0.0),
-        lambda total, s: total + F.when(s.isNull(), F.lit(0.0)).when(s > 0.5, s).otherwise(-s),
-    )
-
-
-def common_samples(x: Column, y: Column) -> Column:
-    """ARRAY<STRUCT<key, value: STRUCT<x, y>>> of the common hours in time order."""
-    both = F.map_zip_with(
-        x, y, lambda _, a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("x"), b.alias("y")))
-    )
-    return F.array_sort(F.filter(F.map_entries(both), lambda e: e["value"].isNotNull()))
+def signed_term(x: Column, y: Column) -> Column:
+    """The ratio, counted for above one half and against below; 0 without a common sample."""
+    s = ratio(x, y)
+    return F.when(s > 0.5, s).otherwise(F.coalesce(-s, F.lit(0.0)))
 
 
 def chunked_correlation(common: Column) -> Column:
     """Sum of the correlations of consecutive chunks of common samples.
 
+    ``common`` is the ARRAY<STRUCT<hour, x, y>> of the common hours in time order.
     The means use the number of *all* common samples, and a chunk whose
     denominator is zero adds nothing.
     """
     n = F.size(common)
 
     def moments(acc: Column, e: Column) -> Column:
-        a, b = e["value"]["x"], e["value"]["y"]
+        a, b = e["x"], e["y"]
         return F.struct(
             (acc["x"] + a).alias("x"),
             (acc["y"] + b).alias("y"),

@@ -2,10 +2,10 @@
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.functions.hashing import uniform
+from burstgraph.functions.hashing import mixed_sql, uniform_sql
 
 # Quadrant probabilities of the recursive matrix generator.
 QUADRANTS = {"a": 0.45, "b": 0.15, "c": 0.15, "d": 0.25}
@@ -17,31 +17,29 @@ def levels_for(vertices: int) -> int:
 
 
 def null_model_edges(links: DataFrame, vertices: int, seed: int) -> DataFrame:
-    """One random draw per row of ``links``, kept where both ends exist.
+    """One random draw per distinct row of ``links``, kept where both ends exist.
 
     Each draw walks the levels of a recursive matrix over twice as many ids as
     there are vertices; the choice per level is a hash of the row's own
-    (src, dst), so the result does not depend on partitioning. Loops go, ids are
+    (src, dst) and the level, so the result does not depend on partitioning. Loops go, ids are
     shifted down by half the range and ids that are no ordinal 0..n-1 go.
     Repeated draws are merged.
     """
     levels = levels_for(vertices)
     half = 2 ** (levels - 1)
     a, b, c = QUADRANTS["a"], QUADRANTS["b"], QUADRANTS["c"]
-
-    def step(acc: Column, level: Column) -> Column:
-        u = uniform([F.col("src"), F.col("dst"), level], seed)
-        lower = F.when(u >= a + b, 1).otherwise(0)
-        right = F.when(((u >= a) & (u < a + b)) | (u >= a + b + c), 1).otherwise(0)
-        return F.struct((acc["s"] * 2 + lower).alias("s"), (acc["t"] * 2 + right).alias("t"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("t"))
-    drawn = links.select(
-        F.aggregate(F.sequence(F.lit(1), F.lit(levels)), zero, step).alias("e")
-    ).select((F.col("e.s") - half).alias("src"), (F.col("e.t") - half).alias("dst"))
-    exists = [(F.col(end) >= 0) & (F.col(end) < vertices) for end in ("src", "dst")]
+    bit = f"shiftleft(1L, {levels} - level)"
     return (
-        drawn.where((F.col("src") != F.col("dst")) & exists[0] & exists[1])
+        links.selectExpr("src", "dst", f"{mixed_sql(['src', 'dst'], seed)} AS draw")
+        .selectExpr("src", "dst", "draw", f"explode(sequence(1, {levels})) AS level")
+        .selectExpr("src", "dst", f"{uniform_sql(['draw', 'level'], seed)} AS u", f"{bit} AS bit")
+        .groupBy("src", "dst")  # complete within a task, so the shuffle carries one row per link
+        .agg(
+            F.expr(f"sum(if(u >= {a + b}, bit, 0L)) - {half}").alias("s"),
+            F.expr(f"sum(if((u >= {a} AND u < {a + b}) OR u >= {a + b + c}, bit, 0L)) - {half}").alias("t"),
+        )
+        .selectExpr("s AS src", "t AS dst")
+        .where(f"src <> dst AND src >= 0 AND src < {vertices} AND dst >= 0 AND dst < {vertices}")
         .distinct()
         .withColumn("weight", F.lit(0.0))
     )

@@ -1,30 +1,84 @@
 """Edge weights from the series of the two ends.
 
-Each series is packed once per vertex and travels to the edge as one value, so
-an edge stays one row: two lookups and no aggregation, against the
-(edge x hour) rows and third shuffle of a join on (id, hour).
+Each series is packed once per vertex and travels to the edge as one value: two
+lookups bring both series to the edge, against the (edge x hour) rows that a
+join on (id, hour) would shuffle and sort. There the samples are unrolled and
+matched inside the same generated code, and the sums per edge combine before
+their shuffle. A series is packed as blocks of hours, so finding the other
+end's sample costs at most a block and not the whole axis.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.functions.similarity import (
-    chunked_correlation,
-    common_samples,
-    ratio_similarity,
-    signed_similarity,
-)
-from burstgraph.operators.series import pack
+from burstgraph.functions.similarity import chunked_correlation, ratio_term, signed_term
+from burstgraph.functions.timeaxis import in_window
 from burstgraph.operators.skew import hot_keys, join_skewed
 
+BLOCK_HOURS = 64
 
-def _weigh(edges: DataFrame, packed: DataFrame, weight: Column, how: str) -> DataFrame:
-    """Re-weigh ``edges``; with ``how`` = left an end without samples weighs 0."""
+
+def pack_blocks(signal: DataFrame, start: int | None, stop: int | None, floor: float | None) -> DataFrame:
+    """(id, freq, blocks MAP<block, MAP<hour, value>>) of the samples in the window and above the floor.
+
+    One shuffle by id serves both groupings; (id, hour) is unique, so a block
+    holds at most ``BLOCK_HOURS`` samples.
+    """
+    kept = signal.where(in_window(F.col("hour"), start, stop))
+    if floor is not None:
+        kept = kept.where(F.col("value") > floor)
+    samples = F.map_from_entries(F.sort_array(F.collect_list(F.struct("hour", "value"))))
+    blocks = F.map_from_entries(F.collect_list(F.struct("block", "samples")))
+    return (
+        kept.repartition("id")
+        .groupBy("id", F.floor(F.col("hour") / BLOCK_HOURS).cast("int").alias("block"))
+        .agg(samples.alias("samples"), F.count(F.lit(1)).alias("n"))
+        .groupBy("id")
+        .agg(F.sum("n").alias("freq"), blocks.alias("blocks"))
+    )
+
+
+def _samples(edges: DataFrame, packed: DataFrame, normalise: bool, how: str) -> DataFrame:
+    """(src, dst, first, hour, x, y): the source's samples with the destination's at the same hour.
+
+    ``first`` marks one row per edge, so parallel edges can be told from samples.
+    """
     joined = edges.select("src", "dst")
-    for end, name in (("src", "_x"), ("dst", "_y")):
-        lookup = packed.select(F.col("id").alias(end), F.col("series").alias(name))
+    for end, side in (("src", "x"), ("dst", "y")):
+        lookup = packed.select(
+            F.col("id").alias(end), F.col("freq").alias(f"freq_{side}"), F.col("blocks").alias(f"blocks_{side}")
+        )
         joined = join_skewed(joined, lookup, end, how, hot=hot_keys(edges, end))
-    return joined.select("src", "dst", F.coalesce(weight, F.lit(0.0)).alias("weight"))
+    scale_x, scale_y = ("/ freq_x", "/ freq_y") if normalise else ("", "")
+    return (
+        joined.selectExpr(
+            "src", "dst", "freq_x", "freq_y", "blocks_y", "posexplode_outer(blocks_x) AS (block_pos, block, samples_x)"
+        )
+        .selectExpr(
+            "src", "dst", "freq_x", "freq_y", "block_pos", "blocks_y[block] AS samples_y",
+            "posexplode_outer(samples_x) AS (pos, hour, a)",
+        )
+        .selectExpr("src", "dst", "freq_x", "freq_y", "block_pos", "pos", "hour", "a", "samples_y[hour] AS b")
+        .selectExpr(
+            "src", "dst", "coalesce(block_pos, 0) = 0 AND coalesce(pos, 0) = 0 AS first", "hour",
+            f"a {scale_x} AS x", f"b {scale_y} AS y",
+        )
+        .where("first OR y IS NOT NULL")
+    )
+
+
+def _per_edge(samples: DataFrame, *aggregates: Column) -> DataFrame:
+    """Aggregate per (src, dst) with the number of parallel edges as ``copies``."""
+    return samples.groupBy("src", "dst").agg(F.count_if("first").alias("copies"), *aggregates)
+
+
+def _one_row_per_copy(weighed: DataFrame) -> DataFrame:
+    return weighed.selectExpr("src", "dst", "weight", "explode(array_repeat(0, int(copies))) AS _copy").drop("_copy")
+
+
+def _summed(edges: DataFrame, packed: DataFrame, term: Column, normalise: bool, how: str) -> DataFrame:
+    total = _per_edge(_samples(edges, packed, normalise, how), F.sum(term).alias("total"))
+    return total.selectExpr("src", "dst", "copies", "total / copies AS weight")
 
 
 def hebb_weights(
@@ -39,30 +93,37 @@ def hebb_weights(
 ) -> DataFrame:
     """Sum of value ratios above ``lam`` over the common hours of the open window.
 
-    ``min_weight`` prunes (weight > min_weight). No ratio exceeds 1, so a vertex
-    with at most ``min_weight`` samples cannot have a heavier edge and is left out
-    before the join; this is exact.
+    ``normalise`` divides the values by their series' number of samples in the
+    window. ``min_weight`` prunes (weight > min_weight). No ratio exceeds 1, so a
+    vertex with at most ``min_weight`` samples cannot have a heavier edge and is
+    left out before the join; this is exact.
     """
-    packed = pack(signal, start, stop, floor, normalise)
-    weight = ratio_similarity(F.col("_x"), F.col("_y"), lam)
+    packed = pack_blocks(signal, start, stop, floor)
+    term = ratio_term(F.col("x"), F.col("y"), lam)
     if min_weight is None or min_weight < 0:
-        weighed = _weigh(edges, packed, weight, "left")
-        return weighed if min_weight is None else weighed.where(F.col("weight") > min_weight)
-    packed = packed.where(F.col("freq") > min_weight)
-    return _weigh(edges, packed, weight, "inner").where(F.col("weight") > min_weight)
+        weighed = _summed(edges, packed, term, normalise, "left")
+        if min_weight is not None:
+            weighed = weighed.where(F.col("weight") > min_weight)
+    else:
+        packed = packed.where(F.col("freq") > min_weight)
+        weighed = _summed(edges, packed, term, normalise, "inner").where(F.col("weight") > min_weight)
+    return _one_row_per_copy(weighed)
 
 
 def signed_weights(edges: DataFrame, signal: DataFrame, normalise: bool = True) -> DataFrame:
     """Ratios above one half minus the others, over the whole axis."""
-    packed = pack(signal, normalise=normalise)
-    return _weigh(edges, packed, signed_similarity(F.col("_x"), F.col("_y")), "left")
+    packed = pack_blocks(signal, None, None, None)
+    return _one_row_per_copy(_summed(edges, packed, signed_term(F.col("x"), F.col("y")), normalise, "left"))
 
 
 def correlation_weights(edges: DataFrame, signal: DataFrame, start: int, stop: int) -> DataFrame:
     """Chunked correlation over the open window.
 
     Dividing a series by its frequency cancels out, so values stay as they are.
+    The samples gathered per edge are at most the window's hours.
     """
-    packed = pack(signal, start, stop)
-    common = common_samples(F.col("_x"), F.col("_y"))
-    return _weigh(edges, packed, chunked_correlation(common), "left")
+    packed = pack_blocks(signal, start, stop, None)
+    common = F.collect_set(F.when(F.col("y").isNotNull(), F.struct("hour", "x", "y")))
+    gathered = _per_edge(_samples(edges, packed, False, "left"), F.sort_array(common).alias("common"))
+    weight = chunked_correlation(F.col("common"))
+    return _one_row_per_copy(gathered.select("src", "dst", "copies", weight.alias("weight")))
