@@ -1,4 +1,4 @@
-"""Similarity of two series: what one common hour adds, and the chunked correlation."""
+"""Similarity of two series: what one common hour adds, and the correlation of a chunk."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,37 +23,14 @@ def signed_term(x: Column, y: Column) -> Column:
     return F.when(s > 0.5, s).otherwise(F.coalesce(-s, F.lit(0.0)))
 
 
-def chunked_correlation(common: Column) -> Column:
-    """Sum of the correlations of consecutive chunks of common samples.
+def chunk_correlation(n: Column) -> Column:
+    """Correlation of one chunk from its sums x, y, xx, yy and xy.
 
-    ``common`` is the ARRAY<STRUCT<hour, x, y>> of the common hours in time order.
-    The means use the number of *all* common samples, and a chunk whose
+    ``n`` is the number of common samples of *all* chunks. A chunk whose
     denominator is zero adds nothing.
     """
-    n = F.size(common)
-
-    def moments(acc: Column, e: Column) -> Column:
-        a, b = e["x"], e["y"]
-        return F.struct(
-            (acc["x"] + a).alias("x"),
-            (acc["y"] + b).alias("y"),
-            (acc["xx"] + a * a).alias("xx"),
-            (acc["yy"] + b * b).alias("yy"),
-            (acc["xy"] + a * b).alias("xy"),
-        )
-
-    def correlation(acc: Column) -> Column:
-        top = acc["xy"] - acc["x"] * acc["y"] / n
-        spread_x = F.greatest(acc["xx"] - acc["x"] * acc["x"] / n, F.lit(0.0))
-        spread_y = F.greatest(acc["yy"] - acc["y"] * acc["y"] / n, F.lit(0.0))
-        bottom = F.sqrt(spread_x * spread_y)
-        return F.when(bottom == 0.0, F.lit(0.0)).otherwise(top / bottom)
-
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")),
-        lambda k: F.aggregate(F.slice(common, k * CHUNK + 1, CHUNK), zero, moments, correlation),
-    )
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        F.aggregate(chunks, F.lit(0.0), lambda total, r: total + r)
-    )
+    top = F.col("xy") - F.col("x") * F.col("y") / n
+    spread_x = F.greatest(F.col("xx") - F.col("x") * F.col("x") / n, F.lit(0.0))
+    spread_y = F.greatest(F.col("yy") - F.col("y") * F.col("y") / n, F.lit(0.0))
+    bottom = F.sqrt(spread_x * spread_y)
+    return F.when(bottom > 0.0, top / bottom)

@@ -8,10 +8,10 @@ their shuffle. A series is packed as blocks of hours, so finding the other
 end's sample costs at most a block and not the whole axis.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstgraph.functions.similarity import chunked_correlation, ratio_term, signed_term
+from burstgraph.functions.similarity import CHUNK, chunk_correlation, ratio_term, signed_term
 from burstgraph.functions.timeaxis import in_window
 from burstgraph.operators.skew import hot_keys, join_skewed
 
@@ -119,11 +119,26 @@ def signed_weights(edges: DataFrame, signal: DataFrame, normalise: bool = True)
 def correlation_weights(edges: DataFrame, signal: DataFrame, start: int, stop: int) -> DataFrame:
     """Chunked correlation over the open window.
 
-    Dividing a series by its frequency cancels out, so values stay as they are.
-    The samples gathered per edge are at most the window's hours.
+    The common hours of an edge are ranked in time and summed per chunk; the
+    window, the chunks and the edges all group on (src, dst), so one shuffle
+    serves the three. A group holds at most the window's hours. Dividing a
+    series by its frequency cancels out, so values stay as they are.
     """
-    packed = pack_blocks(signal, start, stop, None)
-    common = F.collect_set(F.when(F.col("y").isNotNull(), F.struct("hour", "x", "y")))
-    gathered = _per_edge(_samples(edges, packed, False, "left"), F.sort_array(common).alias("common"))
-    weight = chunked_correlation(F.col("common"))
-    return _one_row_per_copy(gathered.select("src", "dst", "copies", weight.alias("weight")))
+    edge = Window.partitionBy("src", "dst")
+    ranked = (
+        _samples(edges, pack_blocks(signal, start, stop, None), False, "left")
+        .withColumn("copies", F.count_if("first").over(edge))
+        .withColumn("n", F.count("y").over(edge) / F.col("copies"))
+        .withColumn("rank", F.dense_rank().over(edge.orderBy(F.col("y").isNull(), "hour")))
+    )
+    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.col("y")
+    chunks = ranked.groupBy("src", "dst", "copies", "n", F.floor((F.col("rank") - 1) / CHUNK).alias("chunk")).agg(
+        *[
+            (F.sum(term) / F.col("copies")).alias(name)
+            for name, term in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))
+        ]
+    )
+    weighed = chunks.groupBy("src", "dst", "copies").agg(
+        F.sum(F.coalesce(chunk_correlation(F.col("n")), F.lit(0.0))).alias("weight")
+    )
+    return _one_row_per_copy(weighed)
