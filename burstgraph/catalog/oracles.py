@@ -137,8 +137,8 @@ def curve_difference(window: int) -> list[str]:
     return parts
 
 
-DIFFERENCE = """SELECT hour, round(a.value, 6) AS original, round(b.value, 6) AS recalled,
-  round(b.value - a.value, 6) AS difference FROM oc_z a JOIN rc_z b USING (hour)"""
+DIFFERENCE = """SELECT hour, round(a.value, 6) + 0.0::DOUBLE AS original, round(b.value, 6) + 0.0::DOUBLE AS recalled,
+  round(b.value - a.value, 6) + 0.0::DOUBLE AS difference FROM oc_z a JOIN rc_z b USING (hour)"""
 
 
 def muted(name: str, divisors: tuple[float, ...]) -> str:
@@ -162,8 +162,8 @@ sums AS (SELECT {selected}(SELECT count(*) FROM o) AS no,
   (SELECT count(*) FROM b JOIN o USING (id, hour) WHERE {pair}true) AS hits,
   (SELECT count(*) FROM lone) * {hours_} - (SELECT count(*) FROM o WHERE id IN (SELECT id FROM lone)) AS lost
   FROM {source} v)
-SELECT {selected}round(1 - hits / no, 6) AS miss_rate,
-  round((no + nb - 2 * hits + lost) / ((SELECT count(*) FROM {rows}) * {hours_}), 6) AS mismatch_rate FROM sums"""
+SELECT {selected}round(1 - hits / no, 6) + 0.0::DOUBLE AS miss_rate,
+  round((no + nb - 2 * hits + lost) / ((SELECT count(*) FROM {rows}) * {hours_}), 6) + 0.0::DOUBLE AS mismatch_rate FROM sums"""
 
 
 CLEAN_VERTICES = """clean AS (SELECT p_partkey AS id, replace(p_name || '&' || p_brand, '&', '') AS title FROM part
@@ -175,7 +175,7 @@ def histogram(values: str, bins: int, count: str) -> str:
     return f"""edges_(k, lo, hi) AS (SELECT k, pow({BASE}, {TOP} * k / {bins}), pow({BASE}, {TOP} * (k + 1) / {bins}) FROM range({bins}) t(k)),
 h AS (SELECT k AS bin, lo AS lower, count(v) AS n FROM edges_ LEFT JOIN {values} s
   ON v >= lo AND (v < hi OR (k = {bins - 1} AND v <= hi)) GROUP BY 1, 2)
-SELECT CAST(bin AS INTEGER) AS bin, round(lower, 6) AS lower, {count} AS count FROM h"""
+SELECT CAST(bin AS INTEGER) AS bin, round(lower, 6) + 0.0::DOUBLE AS lower, {count} AS count FROM h"""
 
 
 def gexf_text(lines: tuple[str, ...]) -> str:
@@ -246,7 +246,7 @@ ORACLES: dict[str, str] = {
         "SELECT src, dst, 0.0::DOUBLE AS weight FROM edges WHERE src IN (SELECT id FROM clean) AND dst IN (SELECT id FROM clean)",
     ),
     "labels": "SELECT p_partkey AS id, p_brand AS label FROM part",
-    "edges_weighted": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) AS weight FROM w"),
+    "edges_weighted": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w"),
     "saved_roundtrip": select([SIGNAL], "SELECT id, hour, value FROM signal"),
     "signal_text_roundtrip": select(
         [SIGNAL], "SELECT id, hour, value, layout FROM signal, (VALUES ('lines'), ('concatenated')) t(layout)"
@@ -254,7 +254,7 @@ ORACLES: dict[str, str] = {
     "pagecounts_filter": """SELECT lang, 'page_' || doc_id AS name, n_chars AS count, n_chars * 2 AS size
 FROM documents WHERE lang = 'en' AND n_chars > 100""",
     "gexf_lines": select(
-        [*learned(), *LCC, "nodes AS (SELECT id, p_name AS title FROM lcc JOIN part ON p_partkey = id)", f"links AS (SELECT src, dst, round(weight, 6) AS weight FROM {LCC_EDGES})"],
+        [*learned(), *LCC, "nodes AS (SELECT id, p_name AS title FROM lcc JOIN part ON p_partkey = id)", f"links AS (SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM {LCC_EDGES})"],
         gexf("nodes", "links", "weight"),
         True,
     ),
@@ -263,9 +263,9 @@ FROM documents WHERE lang = 'en' AND n_chars > 100""",
         f"SELECT line FROM ({gexf('nodes', 'links', None)})",
     ),
     "edges_export": select(
-        learned(), "SELECT src, dst, p_name AS src_title, round(weight, 6) AS weight FROM w JOIN part ON p_partkey = src"
+        learned(), "SELECT src, dst, p_name AS src_title, round(weight, 6) + 0.0::DOUBLE AS weight FROM w JOIN part ON p_partkey = src"
     ),
-    "weights_export": select(ALL_WEIGHTS, "SELECT round(weight, 6) AS weight FROM w WHERE weight > 0"),
+    "weights_export": select(ALL_WEIGHTS, "SELECT round(weight, 6) + 0.0::DOUBLE AS weight FROM w WHERE weight > 0"),
     # projections and filters
     "title_clean": r"""SELECT doc_id, md5(replace(replace(text, '&', ''), '\"', '')) AS stored,
   md5(replace(replace(text, '&', ' '), '\n', '')) AS exported,
@@ -282,13 +282,13 @@ FROM documents WHERE lang = 'en' AND n_chars > 100""",
     "activity_band": select(
         [SIGNAL], "SELECT * FROM signal WHERE id IN (SELECT id FROM signal GROUP BY id HAVING count(*) > 20 AND count(*) < 28)"
     ),
-    "prune_edges": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) AS weight FROM w WHERE weight > 3.0"),
+    "prune_edges": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w WHERE weight > 3.0"),
     "select_by_title": """SELECT p_partkey AS id, p_name AS label FROM part
 WHERE p_name IN (SELECT p_name FROM part WHERE p_brand = 'Brand#1')""",
     "drop_positions": f"""SELECT id, c_name FROM (SELECT c_custkey AS id, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer)
 WHERE position NOT IN (SELECT {month('o_orderdate')} FROM orders)""",
     "memory_matrix": select(
-        [*learned(1.2), MATRIX], "SELECT src, dst, round(weight, 6) AS weight FROM m"
+        [*learned(1.2), MATRIX], "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM m"
     ),
     "memory_matrix_cluster": select(
         [*learned(), CLUSTER],
@@ -298,11 +298,11 @@ WHERE position NOT IN (SELECT {month('o_orderdate')} FROM orders)""",
     ),
     "map_filter_window": select([SIGNAL], "SELECT * FROM signal WHERE hour > 20 AND hour < 60"),
     # joins
-    "all_pairs": select([USERS, PAIRS % ("users", "users")], "SELECT src, dst, round(weight, 6) AS weight FROM found"),
-    "hebb_weights": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) AS weight FROM w"),
+    "all_pairs": select([USERS, PAIRS % ("users", "users")], "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM found"),
+    "hebb_weights": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w"),
     "hebb_weights_floor": select(
         [SIGNAL, EDGES, weigh("w", "signal", "edges", 10, 70, floor=20.0, normalise=False, lam=0.7)],
-        "SELECT src, dst, round(weight, 6) AS weight FROM w",
+        "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w",
     ),
     "labelled_graph": select(
         learned(),
@@ -312,20 +312,20 @@ WHERE p_partkey IN (SELECT src FROM w UNION SELECT dst FROM w)""",
     # aggregations
     "ordinal_ids": "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS ordinal FROM customer",
     "series_stats": select(
-        [SIGNAL, STATS], "SELECT id, round(mean, 6) AS mean, round(sd, 6) AS sd, round(threshold, 6) AS threshold FROM stats"
+        [SIGNAL, STATS], "SELECT id, round(mean, 6) + 0.0::DOUBLE AS mean, round(sd, 6) + 0.0::DOUBLE AS sd, round(threshold, 6) + 0.0::DOUBLE AS threshold FROM stats"
     ),
     "burst_vertices": select([SIGNAL, STATS, BURSTS], "SELECT id, hour, value FROM bursts"),
     "component_sizes": select(
         [*learned(2.0), components("cc", "w")], "SELECT component, count(*) AS size FROM cc GROUP BY 1", True
     ),
-    "overall_activity": select([USERS], "SELECT hour, round(sum(value), 6) AS value FROM users GROUP BY 1"),
+    "overall_activity": select([USERS], "SELECT hour, round(sum(value), 6) + 0.0::DOUBLE AS value FROM users GROUP BY 1"),
     "daily_activity": select(
         [USERS, "d AS (SELECT CAST(floor(hour / 24) AS INTEGER) AS day, sum(value) AS v FROM users GROUP BY 1)"],
-        "SELECT day, round(v * 100.0 / (SELECT max(v) FROM d), 6) AS value FROM d",
+        "SELECT day, round(v * 100.0 / (SELECT max(v) FROM d), 6) + 0.0::DOUBLE AS value FROM d",
     ),
     "degrees": select(
         [*learned(), DOUBLED],
-        "SELECT id, count(*) AS degree, round(sum(weight), 6) AS weighted_degree FROM doubled GROUP BY 1",
+        "SELECT id, count(*) AS degree, round(sum(weight), 6) + 0.0::DOUBLE AS weighted_degree FROM doubled GROUP BY 1",
     ),
     "stage_counts": select(
         [*learned(), *LCC],
@@ -340,7 +340,7 @@ UNION ALL SELECT 'component', (SELECT count(*) FROM lcc), count(*), count(*) FRO
         [SIGNAL, EDGES, "f AS (SELECT id, count(*) AS n FROM signal GROUP BY 1)", "x AS (SELECT id, hour, value / n AS v FROM signal JOIN f USING (id))",
          """s AS (SELECT src, dst, sum(CASE WHEN r > 0.5 THEN r ELSE -r END) AS w FROM (
   SELECT src, dst, least(a.v, b.v) / greatest(a.v, b.v) AS r FROM edges JOIN x a ON a.id = src JOIN x b ON b.id = dst AND a.hour = b.hour) GROUP BY 1, 2)"""],
-        "SELECT src, dst, round(coalesce(w, 0), 6) AS weight FROM edges LEFT JOIN s USING (src, dst)",
+        "SELECT src, dst, round(coalesce(w, 0), 6) + 0.0::DOUBLE AS weight FROM edges LEFT JOIN s USING (src, dst)",
     ),
     "chunked_pearson": select(
         [SIGNAL, EDGES,
@@ -351,11 +351,11 @@ UNION ALL SELECT 'component', (SELECT count(*) FROM lcc), count(*), count(*) FRO
   FROM c GROUP BY 1, 2, 3)""",
          "d AS (SELECT *, sqrt(greatest(xx - x * x / n, 0) * greatest(yy - y * y / n, 0)) AS den FROM k)",
          "s AS (SELECT src, dst, sum(CASE WHEN den = 0 THEN 0 ELSE (xy - x * y / n) / den END) AS w FROM d GROUP BY 1, 2)"],
-        "SELECT src, dst, round(coalesce(w, 0), 6) AS weight FROM edges LEFT JOIN s USING (src, dst)",
+        "SELECT src, dst, round(coalesce(w, 0), 6) + 0.0::DOUBLE AS weight FROM edges LEFT JOIN s USING (src, dst)",
     ),
     "smoothed_activity": select(
         [SIGNAL, "act AS (SELECT hour, sum(value) AS value FROM signal GROUP BY 1)", dense("d", "act"), *smoothed("d", 5)],
-        "SELECT hour, round(value, 6) AS value FROM d_sm",
+        "SELECT hour, round(value, 6) + 0.0::DOUBLE AS value FROM d_sm",
     ),
     "smoothed_by_label": select(
         [SIGNAL,
@@ -363,13 +363,13 @@ UNION ALL SELECT 'component', (SELECT count(*) FROM lcc), count(*), count(*) FRO
   FROM (SELECT DISTINCT p_brand AS label FROM part JOIN signal ON id = p_partkey) CROSS JOIN range({N}) t(h)
   LEFT JOIN (SELECT p_brand AS label, hour AS h, sum(value) AS v FROM signal JOIN part ON p_partkey = id GROUP BY 1, 2) USING (label, h))""",
          *smoothed("d", 25, "label")],
-        "SELECT label, hour, round(value, 6) AS value FROM d_sm",
+        "SELECT label, hour, round(value, 6) + 0.0::DOUBLE AS value FROM d_sm",
     ),
     "recall_difference": select([*MEMORY, recalled("back", "cells"), *curve_difference(5)], DIFFERENCE),
-    "hourly_expand": f"""SELECT CAST({month('o_orderdate')} * 24 + h AS INTEGER) AS hour, round(sum(o_totalprice), 6) AS value
+    "hourly_expand": f"""SELECT CAST({month('o_orderdate')} * 24 + h AS INTEGER) AS hour, round(sum(o_totalprice), 6) + 0.0::DOUBLE AS value
 FROM orders, range(24) t(h) GROUP BY 1""",
     "named_windows": f"""WITH s AS (SELECT l_partkey AS id, {hours('l_shipdate', SHIP_ORIGIN)} AS hour, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) <> 0)
-SELECT w AS "window", count(*) AS samples, count(DISTINCT id) AS ids, round(sum(value), 6) AS value
+SELECT w AS "window", count(*) AS samples, count(DISTINCT id) AS ids, round(sum(value), 6) + 0.0::DOUBLE AS value
 FROM s JOIN (VALUES {WIDE_WINDOWS}) t(w, a, b) ON hour > a AND hour < b GROUP BY 1""",
     "calendar_marks": select(
         [USERS],
@@ -392,14 +392,14 @@ FROM (SELECT DISTINCT hour, TIMESTAMP '{EVENT_ORIGIN}' + to_hours(hour) AS momen
     "coarsen": select(COARSE, "SELECT c AS id, min(title) AS title, count(*) AS members FROM lab GROUP BY 1", True),
     "coarsen_edges": select(
         COARSE,
-        """SELECT a.c AS src, b.c AS dst, round(weight, 6) AS weight FROM w JOIN lab a ON a.id = w.src JOIN lab b ON b.id = w.dst
+        """SELECT a.c AS src, b.c AS dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w JOIN lab a ON a.id = w.src JOIN lab b ON b.id = w.dst
 WHERE NOT weight > 1.5""",
         True,
     ),
     "hop_distances": select(HOPS, "SELECT id, distance FROM hops", True),
     "hop_summary": select(
         HOPS,
-        "SELECT count(*) AS reached, round(avg(distance), 6) AS mean_distance, max(distance) AS max_distance FROM hops WHERE distance > 0",
+        "SELECT count(*) AS reached, round(avg(distance), 6) + 0.0::DOUBLE AS mean_distance, max(distance) AS max_distance FROM hops WHERE distance > 0",
         True,
     ),
     "null_model_edges": select(NULL_EDGES, "SELECT src, dst FROM drawn", True),
@@ -420,7 +420,7 @@ WHERE lit <> ({CELL_HASH} < 0.2)""",
     ),
     "mute": select([SIGNAL, STATS, CELLS, CLUSTER, muted("mu", (1.5,))], "SELECT id, hour FROM mu"),
     "recall_step": select([*MEMORY, recalled("back", "cells")], "SELECT id, hour FROM back"),
-    "recall_scores": select([*MEMORY, scores("sc", "cells")], "SELECT id, hour, round(score, 6) AS score FROM sc"),
+    "recall_scores": select([*MEMORY, scores("sc", "cells")], "SELECT id, hour, round(score, 6) + 0.0::DOUBLE AS score FROM sc"),
     "recall_steps": select(
         [*MEMORY, recalled("b1", "cells", -1), recalled("b2", "b1", -1), recalled("b3", "b2", -1)], "SELECT id, hour FROM b3"
     ),
@@ -467,13 +467,13 @@ _DEGREES = "deg AS (SELECT id, count(*) AS v FROM (SELECT src AS id FROM edges U
 
 ORACLES.update(
     {
-        "reference_compare": _COMPARED + "SELECT day, round(proposed, 6) AS proposed, round(reference, 6) AS reference FROM p JOIN r USING (day)",
-        "reference_corr": _COMPARED + "SELECT round(corr(proposed, reference), 6) AS correlation FROM p JOIN r USING (day)",
+        "reference_compare": _COMPARED + "SELECT day, round(proposed, 6) + 0.0::DOUBLE AS proposed, round(reference, 6) + 0.0::DOUBLE AS reference FROM p JOIN r USING (day)",
+        "reference_corr": _COMPARED + "SELECT round(corr(proposed, reference), 6) + 0.0::DOUBLE AS correlation FROM p JOIN r USING (day)",
         "powerlaw_alpha": select(
-            _POINTS, "SELECT round(max(y)::DOUBLE, 6) AS c, round(1 + count(*) / sum(ln(x / (SELECT min(x) FROM pts))), 6) AS alpha FROM pts"
+            _POINTS, "SELECT round(max(y)::DOUBLE, 6) + 0.0::DOUBLE AS c, round(1 + count(*) / sum(ln(x / (SELECT min(x) FROM pts))), 6) + 0.0::DOUBLE AS alpha FROM pts"
         ),
         "powerlaw_slope": select(
-            _POINTS, "SELECT round(regr_slope(ln(y), ln(x)), 6) AS slope, round(regr_intercept(ln(y), ln(x)), 6) AS intercept FROM pts"
+            _POINTS, "SELECT round(regr_slope(ln(y), ln(x)), 6) + 0.0::DOUBLE AS slope, round(regr_intercept(ln(y), ln(x)), 6) + 0.0::DOUBLE AS intercept FROM pts"
         ),
         "degree_histogram": select(
             [EDGES, _DEGREES], ", " + histogram("deg", DEGREE_BINS, "round(n / (SELECT max(n) FROM h), 6)")

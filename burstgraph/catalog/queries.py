@@ -28,8 +28,9 @@ def query(function: Query) -> Query:
     return function
 
 
-def r6(name: str, column: str | None = None):
-    return F.round(F.col(column or name), 6).alias(name)
+def r6(name: str):
+    """Six decimals; adding 0.0 turns a rounded -0.0 into 0.0."""
+    return (F.round(F.col(name), 6) + F.lit(0.0)).alias(name)
 
 
 # Shared inputs ---------------------------------------------------------------

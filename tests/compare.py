@@ -5,6 +5,7 @@ import sys
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -22,10 +23,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame[sorted(frame.columns)].copy()
-    for column in frame.columns:
-        if pd.api.types.is_float_dtype(frame[column]):
-            frame[column] = frame[column] + 0.0  # no negative zero
+    frame = frame[sorted(frame.columns)]
     return frame.sort_values(list(frame.columns), ignore_index=True)
 
 
@@ -41,6 +39,8 @@ def difference(mine: pd.DataFrame, theirs: pd.DataFrame) -> str | None:
         if len(a) and kinds[0] != kinds[1]:
             return f"type of {column}: {a[column].dtype} / {b[column].dtype}"
         same = (a[column] == b[column]) | (a[column].isna() & b[column].isna())
+        if a[column].dtype.kind == "f" and (np.signbit(a[column]) != np.signbit(b[column])).any():
+            return f"sign of zero in {column}"
         if not same.all():
             at = same[~same].index[0]
             return f"{column}, {int((~same).sum())} rows, first {a.loc[at].to_dict()} / {b.loc[at].to_dict()}"
