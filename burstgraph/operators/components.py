@@ -19,7 +19,7 @@ from burstgraph.operators.skew import (
     repeat_rows,
     salt_rows,
 )
-from burstgraph.session import cut_lineage
+from burstgraph.session import cut_lineage, cut_lineage_counted
 
 BROADCAST_ROWS = 200_000  # two longs a row: a few MB
 
@@ -50,8 +50,7 @@ def _attach(rows: DataFrame, table: DataFrame, key: str, table_rows: int, hot, h
 
 def component_labels(edges: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """(id, component) of every vertex an edge touches; the label is the smallest id."""
-    pairs = cut_lineage(_ordered_pairs(edges, "src", "dst"))
-    size = pairs.count()
+    pairs, size = cut_lineage_counted(_ordered_pairs(edges, "src", "dst"))
     if size == 0:
         return edges.selectExpr("src AS id", "src AS component").where(F.lit(False))
     rounds: list[tuple[DataFrame, int]] = []  # choices, and a bound on their number
@@ -65,8 +64,7 @@ def component_labels(edges: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> Data
             if size >= min_hot_rows:
                 hot = hot_from_counts(reps, "id", "n", size, min_hot_rows).withColumnRenamed("id", end)
             moved = _attach(moved, table, end, 2 * size, hot)
-        pairs = cut_lineage(_ordered_pairs(moved, "rep_a", "rep_b"))
-        size = pairs.count()
+        pairs, size = cut_lineage_counted(_ordered_pairs(moved, "rep_a", "rep_b"))
 
     # Walk back from the last, smallest round; vertices without a later choice are roots.
     reps, bound = rounds[-1]
@@ -101,13 +99,14 @@ def hop_distances(edges: DataFrame, sources: DataFrame, min_hot_rows: int = MIN_
     laid_out = cut_lineage((links if hot is None else salt_rows(links, "src", hot)).repartition(*key))
     frontier = cut_lineage(sources.select("id", F.lit(0).alias("distance")))
     visited, step = frontier, 0
-    while not frontier.isEmpty():
+    found = 1
+    while found:
         step += 1
         heads = frontier.select(F.col("id").alias("src"))
         if hot is not None:
             heads = repeat_rows(heads, "src", hot)
         reached = laid_out.join(heads, key).select(F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(
+        frontier, found = cut_lineage_counted(
             reached.join(visited.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"))
         )
         visited = visited.union(frontier)

@@ -7,7 +7,8 @@ re-read from the shared folder and never the loop.
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder; partitioning and order survive."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, counted while they are written.
+
+    Retried tasks may be counted twice: use the number as an upper bound that is
+    0 only for an empty table.
+    """
+    seen = Observation()
+    return cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
