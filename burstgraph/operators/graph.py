@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstgraph.operators.components import connected_components
 from burstgraph.operators.skew import hot_keys, join_skewed, with_both_ends
+from burstgraph.session import cut_lineage
 
 
 def prune_edges(edges: DataFrame, min_weight: float) -> DataFrame:
@@ -111,7 +112,9 @@ class PropertyGraph:
         re-pointed with their weight; loops and parallel edges stay.
         """
         columns = self.edges.columns
-        decided = self.triplets().select(*columns, F.coalesce(predicate, F.lit(False)).alias("_merge"))
+        decided = cut_lineage(
+            self.triplets().select(*columns, F.coalesce(predicate, F.lit(False)).alias("_merge"))
+        )
         components = connected_components(self.vertices, decided.where("_merge"))
         merged = (
             self.vertices.join(components, "id")
@@ -121,7 +124,7 @@ class PropertyGraph:
         rest = decided.where(~F.col("_merge")).drop("_merge")
         for end in ("src", "dst"):
             label = components.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
-            rest = join_skewed(rest, label, end)
+            rest = join_skewed(rest, label, end, hot=hot_keys(decided, end))
         moved = rest.select(
             F.col("_src").alias("src"), F.col("_dst").alias("dst"), *[c for c in columns if c not in ("src", "dst")]
         )

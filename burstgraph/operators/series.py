@@ -4,7 +4,7 @@ A group per id never holds more rows than the time axis has hours, because
 (id, hour) is unique; that bounds every packed series.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstgraph.functions.timeaxis import in_window
@@ -64,21 +64,35 @@ def series_stats(signal: DataFrame, length: int, rate: float) -> DataFrame:
 
 
 def above_threshold(signal: DataFrame, length: int, rate: float) -> DataFrame:
-    """Samples above their own series' threshold, over the whole axis."""
-    limits = series_stats(signal, length, rate).select("id", "threshold")
-    return signal.join(limits, "id").where("value > threshold").select("id", "hour", "value")
+    """Samples above their own series' threshold, over the whole axis.
+
+    The statistics stay with the samples as windows over the series: one scan,
+    one shuffle by id, and at most the axis' hours per group.
+    """
+    series = Window.partitionBy("id")
+    mean = F.sum("value").over(series) / length
+    square = F.sum(F.col("value") * F.col("value")).over(series) / length
+    return (
+        signal.withColumn("_mean", mean)
+        .withColumn("_sd", F.sqrt(F.greatest(square - F.col("_mean") * F.col("_mean"), F.lit(0.0))))
+        .where(F.col("value") > F.lit(float(rate)) * F.col("_sd") + F.col("_mean"))
+        .select("id", "hour", "value")
+    )
 
 
 def burst_samples(signal: DataFrame, length: int, rate: float, min_count: int, start: int, stop: int) -> DataFrame:
     """Over-threshold samples of the ids with more than ``min_count`` of them in the window.
 
     The samples are kept over the whole axis, the count only looks at the window.
+    It uses the partitioning of the threshold, so there is no further shuffle.
     """
-    inside = F.when(in_window(F.col("hour"), start, stop), 1)
-    peaks = above_threshold(signal, length, rate)
-    # The peaks are already partitioned by id, so this groupBy and join add no shuffle.
-    bursty = peaks.groupBy("id").agg(F.count(inside).alias("_n")).where(F.col("_n") > min_count)
-    return peaks.join(bursty.select("id"), "id", "left_semi")
+    inside = F.count_if(in_window(F.col("hour"), start, stop)).over(Window.partitionBy("id"))
+    return (
+        above_threshold(signal, length, rate)
+        .withColumn("_n", inside)
+        .where(F.col("_n") > min_count)
+        .select("id", "hour", "value")
+    )
 
 
 def pack(

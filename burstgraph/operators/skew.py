@@ -7,10 +7,12 @@ shares, and the other side, which has few rows per key, is repeated once per
 salt. At most ``2 * HOT_SHARE`` repeats of a key are made in total.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burstgraph.session import cut_lineage_counted
+
 HOT_SHARE = 1024  # bound on the number of hot keys
 MIN_HOT_ROWS = 1_000_000  # a key with fewer rows fits one task whatever its share
 
@@ -18,23 +20,23 @@ DETECT = object()
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> DataFrame | None:
-    """(key, splits) of the hot keys, or None when ``df`` has too few rows for any.
+    """(key, splits) of the hot keys as a stored table, or None when there is none.
 
-    Counts combine before the shuffle. ``df`` should be a stored or checkpointed
-    table: it is read again for the counts.
+    A table with fewer than ``min_rows`` rows is only counted. ``df`` should be
+    stored or checkpointed: it is read again here. Counts combine before the shuffle.
     """
     floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    if df.count() < floor:
+    total = df.count()
+    if total < floor:
         return None
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return hot_from_counts(counts, key, "_n", total, floor)
+    hot, found = cut_lineage_counted(hot_from_counts(counts, key, "_n", total, floor))
+    return hot if found else None
 
 
-def hot_from_counts(counts: DataFrame, key: str, n: str, total, min_rows: int | None = None) -> DataFrame:
+def hot_from_counts(counts: DataFrame, key: str, n: str, total: int, min_rows: int | None = None) -> DataFrame:
     """The same from known row counts, without another pass over the rows."""
     floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    total = total if isinstance(total, Column) else F.lit(int(total))
     shares = F.col(n) * HOT_SHARE
     return counts.where((F.col(n) >= floor) & (shares > total)).select(
         F.col(key), F.ceil(shares / total).cast("int").alias("_splits")
