@@ -20,11 +20,14 @@ NAMED_WINDOWS = {
 }
 
 
+def _hours(ts: Column) -> Column:
+    """Hours since 1970-01-01 from the calendar fields alone, so no time zone is involved."""
+    return F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+
+
 def hour_index(ts: Column, origin: str) -> Column:
-    """Whole hours since ``origin``, in the session time zone (pin it to UTC)."""
-    start = F.lit(origin).cast("timestamp_ntz").cast("timestamp")
-    seconds = F.unix_seconds(ts.cast("timestamp")) - F.unix_seconds(start)
-    return F.floor(seconds / 3600).cast("int")
+    """Whole hours since ``origin``, a full hour."""
+    return (_hours(ts) - _hours(F.lit(origin).cast("timestamp_ntz"))).cast("int")
 
 
 def month_index(ts: Column, first_year: int) -> Column:
@@ -56,8 +59,7 @@ def by_named_window(signal: DataFrame, windows: dict[str, tuple[int, int]] | Non
 
 def calendar_marks(hours: DataFrame, origin: str) -> DataFrame:
     """Flag the hours at which a month, a Monday or a Saturday begins."""
-    seconds = F.unix_seconds(F.lit(origin).cast("timestamp_ntz").cast("timestamp")) + F.col("hour") * 3600
-    at = F.timestamp_seconds(seconds)
+    at = F.lit(origin).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour"))
     midnight = F.hour(at) == 0
     return hours.select(
         "hour",
