@@ -51,3 +51,13 @@ def make(spark):
 @pytest.fixture(scope="session")
 def rows():
     return lambda df, *columns: sorted(tuple(r) for r in (df.select(*columns) if columns else df).collect())
+
+
+@pytest.fixture(params=["plain", "split"])
+def joins(request, monkeypatch):
+    """Run a test with plain joins and with every frequent key split."""
+    if request.param == "split":
+        from burstgraph.operators import skew
+
+        monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1)
+    return request.param

@@ -7,7 +7,7 @@ from burstgraph import PropertyGraph
 from burstgraph.operators import components, graph, skew
 
 
-def test_coarsen(make, rows):
+def test_coarsen(make, rows, joins):
     g = PropertyGraph(
         make.vertices({1: "one", 2: "two", 3: "three"}), make.edges([(1, 2, 1), (2, 3, 0), (3, 1, 0)])
     )
@@ -23,7 +23,7 @@ def test_coarsen_nothing_is_identity(make, rows):
     assert rows(same.edges) == rows(g.edges)
 
 
-def test_prune_singletons_components(make, rows):
+def test_prune_singletons_components(make, rows, joins):
     g = PropertyGraph(make.vertices(dict.fromkeys(range(1, 7), "")), make.edges([(1, 2, 2), (2, 3, 1), (4, 5, 1.5)]))
     clean = g.prune(1.0).remove_singletons()
     assert rows(clean.edges, "src", "dst") == [(1, 2), (4, 5)]
@@ -97,7 +97,7 @@ def test_symmetrise_and_degrees(make, rows):
     assert rows(graph.degrees(edges)) == [(1, 2, 3.0), (2, 3, 3.0), (3, 1, 0.0)]
 
 
-def test_induced_subgraph_and_labels(make, rows):
+def test_induced_subgraph_and_labels(make, rows, joins):
     g = PropertyGraph(make.vertices({1: "a", 2: "b", 3: "c"}), make.edges([(1, 2, 1), (2, 3, 1)]))
     part = g.induced_subgraph(make.ids([1, 2]))
     assert rows(part.vertices) == [(1, "a"), (2, "b")] and rows(part.edges) == [(1, 2, 1.0)]

@@ -34,8 +34,8 @@ def test_ingest(spark, store, rows):
     assert readers.load_table(spark, f"{store}/signal").count() == 360
 
 
-def test_peaks(spark, files, store, rows):
-    out = files / "peaks"
+def test_peaks(spark, files, store, rows, joins):
+    out = files / f"peaks-{joins}"
     found = jobs.peaks(spark, store, str(out), window=(0, 60), length=60, rate=2.0)
     assert rows(found.vertices, "id") == [(1,), (2,), (3,)]
     assert rows(found.edges) == [(1, 2, 4.0), (2, 3, 4.0)]

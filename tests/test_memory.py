@@ -10,7 +10,7 @@ EDGES = [(1, 2, 2.0), (2, 3, 1.0)]
 CELLS = [(1, 0), (3, 0), (3, 1)]
 
 
-def test_recall_fixture(make, rows):
+def test_recall_fixture(make, rows, joins):
     matrix = symmetrise(make.edges(EDGES))
     scores = rows(memory.recall_scores(matrix, make.cells(CELLS)))
     assert scores == [(2, 0, 3.0), (2, 1, -1.0)]

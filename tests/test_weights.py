@@ -43,7 +43,7 @@ def test_no_common_hour_and_missing_series(make, rows):
     assert rows(weights.hebb_weights(edges, signal, 0, 6, min_weight=0.0)) == []
 
 
-def test_parallel_edges_stay_apart(make, rows):
+def test_parallel_edges_stay_apart(make, rows, joins):
     signal = make.signal({1: A, 2: B})
     edges = make.edges([(1, 2), (1, 2), (2, 1)])
     assert rows(weights.hebb_weights(edges, signal, 0, 6)) == [(1, 2, 1.0), (1, 2, 1.0), (2, 1, 1.0)]
@@ -85,7 +85,7 @@ def brute(series, a, b, start, stop, normalise, lam):
     return total
 
 
-def test_weights_against_brute_force(make):
+def test_weights_against_brute_force(make, joins):
     series = random_series(1, 30, 200, {5, 6})
     edges = [(a, b) for a in range(30) for b in range(30) if (a * 7 + b) % 5 == 0 and a != b]
     found = weights.hebb_weights(make.edges(edges), make.signal(series), 3, 190).collect()
@@ -97,8 +97,8 @@ def test_weights_against_brute_force(make):
 
 
 @pytest.mark.parametrize("normalise", [False, True])
-@pytest.mark.parametrize("min_weight, block_rows", [(0.0, 7), (1.5, 20_000), (3.0, 4)])
-def test_similar_pairs_against_all_pairs(make, min_weight, block_rows, normalise):
+@pytest.mark.parametrize("min_weight, block_rows", [(0.0, 7), (3.0, 4)])
+def test_similar_pairs_against_all_pairs(make, joins, min_weight, block_rows, normalise):
     series = random_series(2, 40, 30, {4, 9})
     signal = make.signal(series)
     found = similar_pairs(signal, 0, 30, min_weight, normalise=normalise, block_rows=block_rows).collect()
