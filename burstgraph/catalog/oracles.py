@@ -285,6 +285,9 @@ FROM documents WHERE lang = 'en' AND n_chars > 100""",
     "prune_edges": select(ALL_WEIGHTS, "SELECT src, dst, round(weight, 6) + 0.0::DOUBLE AS weight FROM w WHERE weight > 3.0"),
     "select_by_title": """SELECT p_partkey AS id, p_name AS label FROM part
 WHERE p_name IN (SELECT p_name FROM part WHERE p_brand = 'Brand#1')""",
+    "titles_present": """SELECT count(DISTINCT p_name) AS listed,
+  count(DISTINCT p_name) FILTER (p_name IN (SELECT p_name FROM part WHERE p_brand = 'Brand#2')) AS present
+FROM part WHERE p_brand = 'Brand#1'""",
     "drop_positions": f"""SELECT id, c_name FROM (SELECT c_custkey AS id, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer)
 WHERE position NOT IN (SELECT {month('o_orderdate')} FROM orders)""",
     "memory_matrix": select(

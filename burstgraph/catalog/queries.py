@@ -263,6 +263,13 @@ def select_by_title(spark, folder):
     return series.select_by_title(named, wanted)
 
 
+@query
+def titles_present(spark, folder):
+    """Names of one brand's parts that another brand's parts carry too."""
+    part = tables.table(spark, folder, "part").withColumnRenamed("p_name", "label")
+    return series.titles_present(part.where("p_brand = 'Brand#2'"), part.where("p_brand = 'Brand#1'"))
+
+
 @query
 def drop_positions(spark, folder):
     entities = tables.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_name")

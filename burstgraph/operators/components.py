@@ -97,14 +97,15 @@ def hop_distances(edges: DataFrame, sources: DataFrame, min_hot_rows: int = MIN_
     hot = hot_keys(links, "src", min_hot_rows)
     key = ["src"] if hot is None else ["src", "_salt"]
     laid_out = cut_lineage((links if hot is None else salt_rows(links, "src", hot)).repartition(*key))
-    frontier = cut_lineage(sources.select("id", F.lit(0).alias("distance")))
+    frontier, found = cut_lineage_counted(sources.select("id").distinct().withColumn("distance", F.lit(0)))
     visited, step = frontier, 0
-    found = 1
     while found:
         step += 1
         heads = frontier.select(F.col("id").alias("src"))
         if hot is not None:
             heads = repeat_rows(heads, "src", hot)
+        if found <= BROADCAST_ROWS:
+            heads = F.broadcast(heads)
         reached = laid_out.join(heads, key).select(F.col("dst").alias("id")).distinct()
         frontier, found = cut_lineage_counted(
             reached.join(visited.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"))

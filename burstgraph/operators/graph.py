@@ -74,8 +74,8 @@ class PropertyGraph:
 
         An edge never leaves its component, so testing one end is enough.
         """
-        components = self.connected_components()
-        ids = nth_component_ids(components, n)
+        components = cut_lineage(self.connected_components())
+        ids = cut_lineage(nth_component_ids(components, n))
         sources = ids.select(F.col("id").alias("src"))
         return PropertyGraph(
             self.vertices.join(ids.select("id"), "id", "left_semi"),
@@ -115,7 +115,7 @@ class PropertyGraph:
         decided = cut_lineage(
             self.triplets().select(*columns, F.coalesce(predicate, F.lit(False)).alias("_merge"))
         )
-        components = connected_components(self.vertices, decided.where("_merge"))
+        components = cut_lineage(connected_components(self.vertices, decided.where("_merge")))
         merged = (
             self.vertices.join(components, "id")
             .groupBy(F.col("component").alias("id"))

@@ -172,3 +172,11 @@ def select_by_title(labels: DataFrame, titles: DataFrame, title_column: str = "l
     """Rows whose label is on a list of titles; labels repeat, so the label side may be hot."""
     wanted = titles.select(F.col(title_column)).distinct()
     return join_skewed(labels, wanted, title_column, "left_semi").select(labels.columns)
+
+
+def titles_present(labels: DataFrame, titles: DataFrame, title_column: str = "label") -> DataFrame:
+    """(listed, present): how many titles are listed and how many of them occur."""
+    known = labels.select(title_column).distinct().withColumn("_known", F.lit(1))
+    return titles.select(title_column).distinct().join(known, title_column, "left").agg(
+        F.count(F.lit(1)).alias("listed"), F.count("_known").alias("present")
+    )
