@@ -5,17 +5,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from burstgraph.llm.jaccard_join import jaccard_components
+from burstgraph.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup(_table(spark, folder, "documents")).drop("node", "kept")
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
 }
 
