@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
 from burstgraph.llm.suffix_dedup import suffix_dedup
 
@@ -20,9 +21,14 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_embedding_dedup": op8_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
