@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
 from burstgraph.llm.suffix_dedup import suffix_dedup
+from burstgraph.llm.url_filter import url_verdicts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(_table(spark, folder, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(_table(spark, folder, "documents")).drop("node", "kept")
 
@@ -26,6 +31,7 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_embedding_dedup": op8_embedding_dedup,
