@@ -8,9 +8,9 @@ are one node. How the pairs are found:
 2. A document enters the tiles of the rarest shingles of its set, as many as must contain a shared one (size minus least
    overlap plus 1), minus those nobody else has. A tile is a shingle and a band of set sizes; a band spans one factor of the threshold, so
    partners are in the same or the next band.
-3. First every member meets only its tile's centre, so a tile of copies costs its members, not its pairs. Tiles whose
-   members then already form one component hold nothing new. In the other tiles members of different components meet,
-   when their sizes and their places in the common order allow the least overlap.
+3. Members first meet only centres drawn from their tile, turn by turn, so a tile of near copies costs its members, not its
+   pairs. Tiles whose members then form one component hold nothing new. When turns no longer help, or few pairs remain, all
+   members of different components meet in the tiles left, if sizes and places in the common order allow the least overlap.
 4. A pair is tested by signatures: bits that one side has alone bound the overlap from above. What passes is intersected
    exactly on the sorted shingle arrays.
 
@@ -32,6 +32,8 @@ from burstgraph.llm.exchange import gather, ranges_for, repeated, send
 from burstgraph.operators.components import component_labels
 
 WORDS, PERCENT, SIGNATURE_BYTES = 5, 75, 128
+CENTRES = 4  # drawn per tile and turn after the first
+PAIRS_PER_ROW, STALLED = 2, 0.9  # compare the remaining pairs when they are so few per row, or when a turn leaves so many
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 _MEMBERS = "node BIGINT, size BIGINT, tokens BINARY, counts BINARY, signature BINARY"
 
@@ -142,24 +144,48 @@ def similar_sets(docs: DataFrame, sizes: DataFrame, words: int = WORDS, percent:
     members = park(_members(docs, ranges_for(total), words, percent), "jaccard-members")
     tiles = park(_tiles(members, percent), "jaccard-tiles")
 
-    centres = tiles.groupBy("token").agg(F.min(F.struct("size", "node")).alias("c")).selectExpr("token", "c.node AS centre", "c.size AS centre_size")
-    close = f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)"
-    pairs = tiles.join(centres, "token").where(f"node <> centre AND {close}")
-    pairs = pairs.selectExpr("least(node, centre) AS a", "greatest(node, centre) AS b").distinct()
-    star = park(_verified(pairs, members, percent), "jaccard-star")
-    labels = component_labels(star.selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node")
-
-    labelled = tiles.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_tiles = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    left = park(labelled.join(open_tiles, "token"), "jaccard-open")
-    other = left.selectExpr("token", "explode(array(band, band + 1)) AS band", "node AS node2", "size AS size2", "place AS place2", "component AS component2")
+    links, labels, before, turn = None, None, None, 0
+    while True:
+        if labels is None:
+            open_tiles = tiles.withColumn("component", F.col("node"))
+        else:
+            open_tiles = tiles.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # pairs of a tile that are in different components: all pairs minus those inside each component
+        apart = (
+            open_tiles.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("token").agg(((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / F.sum("n")).alias("pairs"), F.count(F.lit(1)).alias("components"))
+            .where("components > 1").select("token", "pairs")
+        )
+        open_tiles = park(open_tiles.join(apart, "token"), "jaccard-open")
+        # each of a tile's n rows brings its share of the tile's pairs
+        rows, pairs = open_tiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
+        if turn and (pairs <= PAIRS_PER_ROW * rows or before is not None and pairs > STALLED * before):
+            break
+        before, turn = (pairs if turn else None), turn + 1
+        found = park(_verified(_centre_pairs(open_tiles, turn, percent), members, percent), "jaccard-links")
+        links = found if links is None else links.union(found)
+        labels = park(component_labels(links.selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node"), "jaccard-labels")
+
+    other = open_tiles.selectExpr("token", "explode(array(band, band + 1)) AS band", "node AS node2", "size AS size2", "place AS place2", "component AS component2")
     fits = (
         f"component <> component2 AND (size2 < size OR size2 = size AND node2 < node) AND 100 * size2 >= {percent} * size"
         f" AND least(size - place, size2 - place2) * {100 + percent} >= {percent} * (size + size2)"
     )
-    rest = left.join(other, ["token", "band"]).where(fits).selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").distinct()
-    more = _verified(rest, members, percent)
-    return component_labels(star.union(more).selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node")
+    rest = open_tiles.join(other, ["token", "band"]).where(fits).selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").distinct()
+    links = links.union(_verified(rest, members, percent))
+    return component_labels(links.selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node")
+
+
+def _centre_pairs(tiles: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each member of a tile with the tile's centres, where they are of different components and fit in size.
+
+    Centres are the members of smallest hash, which tiles of the same documents agree on; each turn draws others.
+    """
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), F.col("node").alias("centre"), "size", "component")) for k in range(1 if turn == 1 else CENTRES)]
+    centres = tiles.groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("c")).selectExpr("token", "explode(c) AS c")
+    close = f"100 * least(size, c.size) >= {percent} * greatest(size, c.size)"
+    met = tiles.join(centres, "token").where(f"component <> c.component AND {close}")
+    return met.selectExpr("least(node, c.centre) AS a", "greatest(node, c.centre) AS b").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
