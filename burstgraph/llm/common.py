@@ -85,6 +85,13 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
             yield batch.slice(first), [x or b"" for x in column.slice(first).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few at a time, for code that makes Python objects of them."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """(start, end, hash of each lower-cased word, offsets of each text's words, joined bytes)."""
     joined = b" ".join(texts) + b" "

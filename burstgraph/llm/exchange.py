@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RANGE_TOKENS, FLUSH = 2_000_000, 2_000_000
+RANGE_TOKENS, FLUSH = 1_000_000, 1_000_000
 TOKEN_BITS = 48
 _SHIFT = np.uint64(64 - TOKEN_BITS)
 _ROWS = "part BIGINT, flush BIGINT, kind INT, data BINARY"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import digest64, park, prefix_sums, span_hashes, text_chunks
+from burstgraph.llm.common import digest64, park, pieces, prefix_sums, span_hashes, text_chunks
 from burstgraph.llm.exchange import TOKEN_BITS, gather, ranges_for, repeated, send
 from burstgraph.llm.id_filter import probably_in
 
@@ -172,7 +172,7 @@ def _single_windows(contexts: DataFrame) -> DataFrame:
     """(w1, w2, doc_id, at): every window of the contexts by a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple[int, int, int, int]] = []
             for doc, at, context in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "at", "context")), strict=True):
                 for k in range(len(context) - WINDOW + 1):
@@ -235,7 +235,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     spans = park(removed_spans(docs, facts), "suffix-spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for row in batch.to_pylist():
                 text = row["text"].encode()
