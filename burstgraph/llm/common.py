@@ -19,8 +19,8 @@ SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER_CODES = _BYTE_CODES[LOWER]
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_LOWER_CODES = BYTE_CODES[LOWER]
 _powers: list[np.ndarray] = []
 
 
@@ -55,7 +55,7 @@ def prefix_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """s with s[j] - s[i] = hash of data[i:j] times base**i."""
     up, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER_CODES if lower else _BYTE_CODES)[data] * up[: len(data)], out=sums[1:])
+    np.cumsum((_LOWER_CODES if lower else BYTE_CODES)[data] * up[: len(data)], out=sums[1:])
     return sums
 
 

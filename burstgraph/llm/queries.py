@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
+from burstgraph.llm.language_id import language_id
+from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import suffix_dedup
 from burstgraph.llm.url_filter import url_verdicts
 
@@ -22,6 +24,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(_table(spark, folder, "documents")).drop("node", "kept")
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(_table(spark, folder, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
@@ -30,11 +36,17 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup(_table(spark, folder, "embeddings"))
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
