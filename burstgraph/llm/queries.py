@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burstgraph.llm.decontamination import benchmark_matches
 from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
 from burstgraph.llm.language_id import language_id
@@ -24,6 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(_table(spark, folder, "documents")).drop("node", "kept")
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"))
 
@@ -43,6 +48,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_embedding_dedup": op8_embedding_dedup,
