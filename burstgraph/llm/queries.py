@@ -8,6 +8,7 @@ from burstgraph.llm.decontamination import benchmark_matches
 from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
 from burstgraph.llm.language_id import language_id
+from burstgraph.llm.lm_scoring import lm_scores
 from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import suffix_dedup
 from burstgraph.llm.url_filter import url_verdicts
@@ -25,6 +26,10 @@ def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup(_table(spark, folder, "documents")).drop("node", "kept")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -48,6 +53,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_jaccard_join": op7_jaccard_join,
