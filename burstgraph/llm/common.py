@@ -24,10 +24,10 @@ _LOWER_CODES = BYTE_CODES[LOWER]
 _powers: list[np.ndarray] = []
 
 
-def park(df: DataFrame, name: str) -> DataFrame:
+def park(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, columns can be pruned."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,11 +3,11 @@
 A document sorted before another is one with a smaller doc_id. A full suffix array is not needed to find common strings of a
 fixed length; the buckets that can hold one are:
 
-1. Each window of ``WINDOW`` bytes is put into the bucket of its smallest ``GRAM``-gram hash, which depends on its bytes
-   alone. The token exchange tells which buckets hold windows of several documents; the others are done.
-2. Documents in the remaining buckets are read again. Runs of windows of one bucket become contexts (the run's bytes), equal
-   contexts are one, with the smallest doc_id of theirs.
-3. Refinement: positions of a bucket's contexts get the bucket numbers of their 8-byte grams; sorting on (own number, number
+1. Each window of ``WINDOW`` bytes has a smallest ``KEY``-gram hash, which depends on its bytes alone. The token exchange tells
+   which of these keys occur in several documents; windows of other keys are done.
+2. Documents with shared keys are read again. Their remaining windows fall into buckets by smallest ``GRAM``-gram hash, fewer
+   and larger than those of the keys; a run of windows of one bucket is sent to the part of the bucket as its bytes.
+3. Refinement: positions of a bucket's runs get the bucket numbers of their 8-byte grams; sorting on (own number, number
    ``k`` bytes later) gives those of 16, 32 and ``WINDOW`` bytes, each step reusing the numbers of the one before. Two
    windows have equal numbers exactly if they have equal bytes; the smallest doc_id of each number decides.
 4. A bucket with more than ``HOT_ROWS`` runs is not gathered: its windows are grouped by a 128-bit hash, with minima combined
@@ -21,6 +21,7 @@ are ignored. A cut may fall inside a multi-byte character: ``cut_documents`` dro
 """
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstgraph.llm.common import digest64, park, pieces, prefix_sums, span_hashes, text_chunks
-from burstgraph.llm.exchange import TOKEN_BITS, gather, ranges_for, repeated, send
+from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
 from burstgraph.llm.id_filter import probably_in
 
-WINDOW, GRAM = 50, 24
-HOT_ROWS, PART_ROWS = 100_000, 20_000
+WINDOW, KEY, GRAM = 50, 36, 24
+HOT_ROWS, PART_ROWS, SLICE_ROWS = 100_000, 200_000, 20_000
 _FACTS = "doc_id BIGINT, n_bytes BIGINT, sha STRING, node BIGINT"
 
 
@@ -54,61 +55,65 @@ def document_facts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _FACTS)
 
 
-def window_buckets(data: np.ndarray) -> np.ndarray:
-    """Bucket of the window starting at each byte."""
+def window_buckets(data: np.ndarray, gram: int) -> np.ndarray:
+    """Smallest hash of a ``gram``-gram in the window that starts at each byte."""
     sums = prefix_sums(data)
-    at = np.arange(max(0, len(data) - GRAM + 1))
-    low, span = span_hashes(sums, at, at + GRAM), 1
-    wanted = WINDOW - GRAM + 1
+    at = np.arange(max(0, len(data) - gram + 1))
+    low, span = span_hashes(sums, at, at + gram), 1
+    wanted = WINDOW - gram + 1
     while 2 * span <= wanted:
         low, span = np.minimum(low[:-span], low[span:]), 2 * span
     return np.minimum(low[: len(low) - (wanted - span)], low[wanted - span :])
 
 
-def _buckets(docs: DataFrame, parts: int) -> DataFrame:
-    """(node, buckets): for each text its buckets that another text has too."""
+def _keys(docs: DataFrame, parts: int) -> DataFrame:
+    """(node, keys): for each text its window keys that another text has too."""
 
     def tokens_of(batches):
         for _, texts in text_chunks(batches):
             data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             if len(data) < WINDOW:
                 continue
-            buckets, begin = window_buckets(data), 0
+            keys, begin = window_buckets(data, KEY), 0
             for text in texts:
                 if len(text) >= WINDOW:
-                    yield digest64(text), len(text), np.unique(buckets[begin : begin + len(text) - WINDOW + 1])
+                    yield digest64(text), len(text), np.unique(keys[begin : begin + len(text) - WINDOW + 1])
                 begin += len(text)
 
     def home(group: pa.Table) -> pa.Table:
         rows = [(node, np.unique(tokens).astype("<u8").tobytes()) for node, _, tokens, _ in gather(group)]
-        return pa.table({"node": pa.array([r[0] for r in rows], pa.int64()), "buckets": pa.array([r[1] for r in rows], pa.binary())})
+        return pa.table({"node": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
     found = repeated(send(docs.where("doc_id IS NOT NULL").select("text"), parts, tokens_of))
-    return found.groupBy("flush").applyInArrow(home, "node BIGINT, buckets BINARY").dropDuplicates(["node"])
+    return found.groupBy("flush").applyInArrow(home, "node BIGINT, keys BINARY").dropDuplicates(["node"])
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """(bucket, doc_id, at, context): runs of windows in shared buckets; ``texts`` has doc_id, text, node and buckets."""
+    """(bucket, doc_id, at, context): runs of windows with shared keys; ``texts`` has doc_id, text, node and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, nodes, buckets = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "node", "buckets"))
+            ids, texts, nodes, keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "node", "keys"))
             texts = texts.cast(pa.binary())
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or b""
                 if digest64(text) != nodes[i].as_py():  # another row with this doc_id
                     continue
-                own = window_buckets(np.frombuffer(text, dtype=np.uint8)) >> np.uint64(64 - TOKEN_BITS)
-                known = np.frombuffer(buckets[i].as_py(), dtype="<u8")
+                data = np.frombuffer(text, dtype=np.uint8)
+                own = window_buckets(data, KEY) >> np.uint64(64 - TOKEN_BITS)
+                known = np.frombuffer(keys[i].as_py(), dtype="<u8")
                 shared = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-                edge = np.flatnonzero(np.diff(own, prepend=own[0] + np.uint64(1)) != 0)
-                edge = np.unique(np.concatenate([edge, np.arange(0, len(own), WINDOW)]))
+                bucket = window_buckets(data, GRAM)
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = (bucket[1:] != bucket[:-1]) | (shared[1:] != shared[:-1])
+                new[::WINDOW] = True
+                edge = np.flatnonzero(new)
                 stop = np.append(edge[1:], len(own))
                 keep = shared[edge]
                 edge, stop = edge[keep], stop[keep]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "bucket": pa.array(own[edge].astype(np.int64)),
+                        "bucket": pa.array(bucket[edge].view(np.int64)),
                         "doc_id": pa.array(np.full(len(edge), ids[i].as_py(), dtype=np.int64)),
                         "at": pa.array(edge.astype(np.int64)),
                         "context": pa.array([text[a : b + WINDOW - 1] for a, b in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary()),
@@ -142,30 +147,81 @@ def refine(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(contexts)), counts), number[at]
 
 
-def _decided(distinct: DataFrame, parts: int) -> DataFrame:
-    """(bucket, same, start, stop, first): windows start..stop-1 of a context occur in document ``first`` already."""
+def _packed(contexts: DataFrame, parts: int) -> DataFrame:
+    """(part, data): runs of the buckets of a part, many in one blob."""
+
+    def blob(table: pa.Table, buckets: np.ndarray) -> bytes:
+        ids, slots = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+        texts = table.column("context").to_pylist()
+        sizes = np.array([len(t) for t in texts])
+        columns = (pack(buckets), pack(ids.view(np.uint64)), pack(slots), pack(table.column("at").to_numpy()), pack(sizes))
+        return zlib.compress(b"".join([*columns, *texts]), 1)
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        buckets = table.column("bucket").to_numpy().view(np.uint64)
+        part = ((buckets * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        table, buckets, part = table.take(pa.array(order)), buckets[order], part[order]
+        names, cuts = np.unique(part, return_index=True)
+        blobs = [blob(table.slice(a, b - a), buckets[a:b]) for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PART_ROWS:
+                yield flush(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield flush(held)
+
+    return contexts.mapInArrow(run, "part BIGINT, data BINARY")
+
+
+def _cut(packed: DataFrame) -> DataFrame:
+    """(doc_id, start, stop): bytes whose window occurs in a document of smaller id."""
 
     def run(group: pa.Table) -> pa.Table:
-        contexts = group.column("context").to_pylist()
-        low, high = group.column("low").to_numpy(), group.column("high").to_numpy()
-        buckets = group.column("bucket").to_numpy()
-        whose, number = refine(contexts)
-        first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, number, low[whose])
-        first = first[number]
-        edge = np.flatnonzero((np.diff(whose, prepend=-1) != 0) | (np.diff(first, prepend=first[0]) != 0))
-        stop = np.append(edge[1:], len(whose))
-        begin = np.searchsorted(whose, np.arange(len(contexts)))
-        owner = whose[edge]
-        keep = first[edge] < high[owner]
-        edge, stop, owner = edge[keep], stop[keep], owner[keep]
-        same = group.column("same").to_numpy()
-        return pa.table(
-            {"bucket": buckets[owner], "same": same[owner], "start": edge - begin[owner], "stop": stop - begin[owner], "first": first[edge]}
-        )
-
-    grouped = distinct.withColumn("part", F.expr(f"pmod(xxhash64(bucket), {parts}L)")).groupBy("part")
-    return grouped.applyInArrow(run, "bucket BIGINT, same BIGINT, start BIGINT, stop BIGINT, first BIGINT")
+        columns, texts = ([], [], [], []), []
+        for data in group.column("data").to_pylist():
+            data, at, read = zlib.decompress(data), 0, []
+            for _ in range(5):
+                values, at = unpack(data, at)
+                read.append(values)
+            buckets, ids, slots, begins, sizes = read
+            for held, x in zip(columns, (buckets, ids[slots.astype(np.int64)], begins, sizes), strict=True):
+                held.append(x)
+            ends = np.cumsum(sizes).astype(np.int64) + at
+            texts += [data[a:b] for a, b in zip((ends - sizes.astype(np.int64)).tolist(), ends.tolist(), strict=True)]
+        buckets, ids, begins, _ = (np.concatenate(c) for c in columns)
+        ids, begins = ids.view(np.int64), begins.astype(np.int64)
+        order = np.argsort(buckets, kind="stable")
+        edges = np.flatnonzero(np.diff(buckets[order])) + 1  # slices end between buckets
+        out, first = [], 0
+        while first < len(order):
+            last = np.searchsorted(edges, first + SLICE_ROWS)
+            stop = int(edges[last]) if last < len(edges) else len(order)
+            some = order[first:stop]
+            whose, number = refine([texts[k] for k in some])
+            low = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, number, ids[some][whose])
+            late = low[number] < ids[some][whose]
+            place = np.arange(len(whose)) - np.searchsorted(whose, np.arange(len(some)))[whose]
+            new = np.ones(len(whose), dtype=bool)
+            new[1:] = (whose[1:] != whose[:-1]) | (late[1:] != late[:-1])
+            edge = np.flatnonzero(new)
+            size = np.diff(np.append(edge, len(whose)))
+            edge, size = edge[late[edge]], size[late[edge]]
+            owner = some[whose[edge]]
+            start = begins[owner] + place[edge]
+            out.append((ids[owner], start, start + size + WINDOW - 1))
+            first = stop
+        found = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table(dict(zip(("doc_id", "start", "stop"), found, strict=True)))
+
+    return packed.groupBy("part").applyInArrow(run, "doc_id BIGINT, start BIGINT, stop BIGINT")
 
 
 def _single_windows(contexts: DataFrame) -> DataFrame:
@@ -187,25 +243,17 @@ def _single_windows(contexts: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """(doc_id, node, spans): byte spans (start, stop) to cut from the first document of each text."""
     total = facts.where("doc_id IS NOT NULL").agg(F.sum("n_bytes")).first()[0] or 0
-    parts = ranges_for(2 * total // (WINDOW - GRAM + 2))
+    parts = ranges_for(2 * total // (WINDOW - KEY + 2))
     firsts = facts.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = park(_buckets(docs, parts).join(firsts, "node"), "suffix-buckets")
+    wanted = park(_keys(docs, parts).join(firsts, "node"), "suffix-keys")
     texts = probably_in(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), wanted, "doc_id")
-    contexts = park(_contexts(texts.join(wanted, "doc_id")), "suffix-contexts")
+    contexts = park(_contexts(texts.join(wanted, "doc_id")), "suffix-contexts", "zstd")
 
     per_bucket = contexts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     hot = park(per_bucket.where(F.col("n") > HOT_ROWS).select("bucket"), "suffix-hot")
     rows, none_hot = contexts.count(), hot.isEmpty()
     cold = contexts if none_hot else contexts.join(hot, "bucket", "left_anti")
-    cold = cold.withColumn("same", F.xxhash64("context"))
-    distinct = cold.groupBy("bucket", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("same").alias("same"))
-    decided = _decided(distinct, max(16, -(-rows // PART_ROWS)))
-    cut = (
-        cold.drop("context")
-        .join(decided, ["bucket", "same"])
-        .where("first < doc_id")
-        .selectExpr("doc_id", "at + start AS start", f"at + stop + {WINDOW - 1} AS stop")
-    )
+    cut = _cut(_packed(cold, max(16, -(-rows // PART_ROWS))))
     if not none_hot:
         windows = _single_windows(contexts.join(hot, "bucket", "left_semi"))
         first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
