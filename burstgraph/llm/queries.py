@@ -9,8 +9,10 @@ from burstgraph.llm.embedding_dedup import embedding_dedup
 from burstgraph.llm.jaccard_join import jaccard_components
 from burstgraph.llm.language_id import language_id
 from burstgraph.llm.lm_scoring import lm_scores
+from burstgraph.llm.quality_classifier import quality_scores
 from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import suffix_dedup
+from burstgraph.llm.token_counts import edited_counts
 from burstgraph.llm.url_filter import url_verdicts
 
 
@@ -38,6 +40,10 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(_table(spark, folder, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
@@ -46,6 +52,10 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup(_table(spark, folder, "embeddings"))
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_counts(_table(spark, folder, "documents")).drop("edited")
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(_table(spark, folder, "documents"))
 
@@ -56,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 
