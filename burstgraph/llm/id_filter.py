@@ -15,9 +15,15 @@ BITS = 1 << 23
 _BUCKET = 1 << 15  # bits in one row of bitmap_construct_agg
 
 
-def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``rows`` whose ``column`` may occur in ``ids`` (all that do, and few others)."""
-    place = F.expr(f"pmod(xxhash64({column}), {BITS}L)")
+def split_rows(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` is surely not in ``ids``, rows where it may be: all that are and few others).
+
+    A null is never in ``ids``, yet may be among the latter.
+    """
+    mark = "_place"
+    while mark in rows.columns:
+        mark += "_"
+    place = F.expr(f"pmod(xxhash64(CAST(`{column}` AS BIGINT)), {BITS}L)")
     marked = (
         ids.where(F.col(column).isNotNull())
         .select(place.alias("place"))
@@ -29,10 +35,25 @@ def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         bitmap[bucket * (_BUCKET // 8) :][: _BUCKET // 8] = np.frombuffer(bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            at = batch.column(batch.schema.get_field_index("_place")).fill_null(0).to_numpy()
-            yield batch.filter(pa.array(held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)).select(batch.schema.names[:-1])
+    def side(wanted: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = shared.value
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy()
+                yield batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == wanted)).select(range(batch.num_columns - 1))
+
+        return rows.withColumn(mark, place).mapInArrow(run, rows.schema)
+
+    return side(0), side(1)
+
+
+def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``rows`` whose ``column`` may occur in ``ids`` (all that do, and few others)."""
+    return split_rows(rows, ids, column)[1]
+
 
-    return rows.withColumn("_place", place).mapInArrow(run, rows.schema)
+def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is not in ``ids``; only those that may be are shuffled. Nulls stay."""
+    clear, open_rows = split_rows(rows, ids, column)
+    named = ids.select(F.col(column).cast("bigint").alias("_dropped")).distinct()
+    return clear.union(open_rows.join(named, F.col(column).cast("bigint") == F.col("_dropped"), "left_anti"))

@@ -118,36 +118,62 @@ def piece_models(docs: DataFrame, path: str = MODEL, per_language: int = DOCS_PE
     return [r["lang"] for r in rows], np.array([np.frombuffer(r["p"], "<f8") for r in rows]).T
 
 
+class Predictor:
+    """Languages and scores of texts; remembers words within a bound."""
+
+    def __init__(self, languages: list[str], probabilities: np.ndarray, table: Pieces):
+        self.languages, self.probabilities, self.table = languages, probabilities, table
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, len(languages)))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        words = [words_in(t or "") if self.languages else [] for t in texts]
+        new = list({w for t in words for w in t} - self.known.keys())
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.values, new = {}, self.values[:0], list({w for t in words for w in t})
+        self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+        if new:
+            self.values = np.concatenate([self.values, _log_sums([SPACE + w.encode() for w in new], self.table, self.probabilities)])
+        names, scores = [], []
+        for own in words:
+            if not own:
+                names.append("und")
+                scores.append(0.0)
+                continue
+            total = self.values[list(map(self.known.__getitem__, own))].sum(axis=0)
+            odds = np.exp((total - total.max()) / max(1.0, len(own) / TEMPER))
+            names.append(self.languages[int(np.argmax(total))])
+            scores.append(float(odds.max() / odds.sum()))
+        return names, scores
+
+
 def predict_languages(docs: DataFrame, languages: list[str], probabilities: np.ndarray, path: str = MODEL) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) with lang_pred and score."""
+    """(doc_id, lang_pred, score) of the rows of ``docs`` (doc_id, text)."""
     table = load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        values = np.zeros((0, len(languages)))
+        predict = Predictor(languages, probabilities, table)
         for rows in row_pieces(batches, 1000):
-            texts = [words_in(t or "") if languages else [] for t in rows.column(1).to_pylist()]
-            new = list({w for t in texts for w in t} - known.keys())
-            if len(known) + len(new) > CACHE_WORDS:
-                known, values, new = {}, values[:0], list({w for t in texts for w in t})
-            known.update(zip(new, range(len(values), len(values) + len(new)), strict=True))
-            if new:
-                values = np.concatenate([values, _log_sums([SPACE + w.encode() for w in new], table, probabilities)])
-            names, scores = [], []
-            for words in texts:
-                if not words:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                total = values[list(map(known.__getitem__, words))].sum(axis=0)
-                odds = np.exp((total - total.max()) / max(1.0, len(words) / TEMPER))
-                names.append(languages[int(np.argmax(total))])
-                scores.append(float(odds.max() / odds.sum()))
+            names, scores = predict(rows.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, lang_pred STRING, score DOUBLE")
 
 
+def told_apart(docs: DataFrame, least: float, path: str = MODEL) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and a language with a score of at least ``least``."""
+    languages, probabilities = piece_models(docs, path)
+    table = load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = Predictor(languages, probabilities, table)
+        for rows in row_pieces(batches, 1000):
+            names, scores = predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
+            yield rows.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row."""
     predicted = predict_languages(docs, *piece_models(docs, path), path)

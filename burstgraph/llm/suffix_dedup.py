@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from burstgraph.llm.common import digest64, park, pieces, prefix_sums, span_hashes, text_chunks
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
-from burstgraph.llm.id_filter import probably_in
+from burstgraph.llm.id_filter import probably_in, split_rows
 
 WINDOW, KEY, GRAM = 50, 36, 24
 HOT_ROWS, PART_ROWS, SLICE_ROWS = 100_000, 200_000, 20_000
@@ -289,13 +290,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 text = row["text"].encode()
                 if digest64(text) == row["node"]:
                     kept, count, cut = _kept(text, row["spans"])
-                    rows.append((row["doc_id"], row["node"], cut, count, hashlib.sha256(kept).hexdigest(), kept))
+                    rows.append((row["doc_id"], row["node"], cut, count, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "node", "cut", "spans", "left", "kept"])
 
     texts = probably_in(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spans, "doc_id")
-    partly = texts.join(spans, "doc_id").mapInArrow(run, "doc_id BIGINT, node BIGINT, cut BIGINT, spans BIGINT, left STRING, kept BINARY")
+    partly = texts.join(spans, "doc_id").mapInArrow(run, "doc_id BIGINT, node BIGINT, cut BIGINT, spans BIGINT, left STRING, kept STRING")
     partly = partly.dropDuplicates(["doc_id", "node"])
     firsts = facts.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = facts.join(firsts, "node", "left").join(partly, ["doc_id", "node"], "left")
@@ -310,3 +311,27 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         "node",
         "kept",
     )
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the bytes cut from ``text`` (and n_chars, where there is such a column, counted anew); documents that
+    lose all their text go, others keep their other columns. Rows with a null doc_id stay as they are."""
+    changed = suffix_dedup(docs).where("n_removed > 0").select("doc_id", "node", F.coalesce("kept", F.lit("")).alias("kept"))
+    changed = park(changed.dropDuplicates(["doc_id", "node"]), "suffix-changed")
+    same, open_rows = split_rows(docs, changed, "doc_id")
+    names = ("_node", "_id", "_kept")
+    if set(names) & set(docs.columns):
+        raise ValueError(f"columns {names} are taken")
+    schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            yield batch.append_column("_node", pa.array([digest64(t or b"") for t in texts], pa.int64()))
+
+    new = changed.select(F.col("doc_id").alias("_id"), F.col("node").alias("_there"), F.col("kept").alias("_kept"))
+    joined = open_rows.mapInArrow(run, schema).join(new, (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.col("_node") == F.col("_there")), "left")
+    joined = joined.where("_kept IS NULL OR _kept <> ''").withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return same.union(joined.select(*(F.col(f"`{c}`") for c in docs.columns)))
