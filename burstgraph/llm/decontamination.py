@@ -96,7 +96,7 @@ def _seed_places(texts: list[bytes], seeds: np.ndarray) -> Iterator[tuple[int, n
     inside = place + SEED <= at[text + 1]
     place, text = place[inside], text[inside]
     cuts = np.flatnonzero(np.diff(text, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
+    for a, b in zip(cuts, np.append(cuts, len(place))[1:], strict=True):
         k = int(text[a])
         yield k, words[at[k] : at[k + 1]], place[a:b] - at[k], number[place[a:b]]
 
