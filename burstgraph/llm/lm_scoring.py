@@ -50,7 +50,7 @@ def homes(docs: DataFrame, count: int) -> DataFrame:
             table = pa.table({"doc_id": batch.column(0).cast(pa.int64()), "text": batch.column(1)}).take(pa.array(order))
             names, cuts = np.unique(home[order], return_index=True)
             out = []
-            for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
+            for a, b in zip(cuts, np.append(cuts, len(home))[1:], strict=True):
                 sink = pa.BufferOutputStream()
                 part = table.slice(a, b - a).combine_chunks()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:

@@ -90,7 +90,7 @@ def _keys(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """(bucket, doc_id, at, context): runs of windows with shared keys; ``texts`` has doc_id, text, node and keys."""
+    """(bucket, doc_id, node, at, context): runs of windows with shared keys; ``texts`` has doc_id, text, node and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,12 +116,13 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     {
                         "bucket": pa.array(bucket[edge].view(np.int64)),
                         "doc_id": pa.array(np.full(len(edge), ids[i].as_py(), dtype=np.int64)),
+                        "node": pa.array(np.full(len(edge), nodes[i].as_py(), dtype=np.int64)),
                         "at": pa.array(edge.astype(np.int64)),
                         "context": pa.array([text[a : b + WINDOW - 1] for a, b in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary()),
                     }
                 )
 
-    return texts.mapInArrow(run, "bucket BIGINT, doc_id BIGINT, at BIGINT, context BINARY")
+    return texts.mapInArrow(run, "bucket BIGINT, doc_id BIGINT, node BIGINT, at BIGINT, context BINARY")
 
 
 def refine(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +153,11 @@ def _packed(contexts: DataFrame, parts: int) -> DataFrame:
     """(part, data): runs of the buckets of a part, many in one blob."""
 
     def blob(table: pa.Table, buckets: np.ndarray) -> bytes:
-        ids, slots = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)
+        nodes, first, slots = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
+        ids = table.column("doc_id").to_numpy()[first]
         texts = table.column("context").to_pylist()
         sizes = np.array([len(t) for t in texts])
-        columns = (pack(buckets), pack(ids.view(np.uint64)), pack(slots), pack(table.column("at").to_numpy()), pack(sizes))
+        columns = (pack(buckets), pack(ids.view(np.uint64)), pack(nodes.view(np.uint64)), pack(slots), pack(table.column("at").to_numpy()), pack(sizes))
         return zlib.compress(b"".join([*columns, *texts]), 1)
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -182,22 +184,23 @@ def _packed(contexts: DataFrame, parts: int) -> DataFrame:
 
 
 def _cut(packed: DataFrame) -> DataFrame:
-    """(doc_id, start, stop): bytes whose window occurs in a document of smaller id."""
+    """(doc_id, node, start, stop): bytes whose window occurs in a document of smaller id."""
 
     def run(group: pa.Table) -> pa.Table:
         columns, texts = ([], [], [], []), []
         for data in group.column("data").to_pylist():
             data, at, read = zlib.decompress(data), 0, []
-            for _ in range(5):
+            for _ in range(6):
                 values, at = unpack(data, at)
                 read.append(values)
-            buckets, ids, slots, begins, sizes = read
-            for held, x in zip(columns, (buckets, ids[slots.astype(np.int64)], begins, sizes), strict=True):
+            buckets, ids, nodes, slots, begins, sizes = read
+            slots = slots.astype(np.int64)
+            for held, x in zip(columns, (buckets, ids[slots], nodes[slots], begins), strict=True):
                 held.append(x)
             ends = np.cumsum(sizes).astype(np.int64) + at
             texts += [data[a:b] for a, b in zip((ends - sizes.astype(np.int64)).tolist(), ends.tolist(), strict=True)]
-        buckets, ids, begins, _ = (np.concatenate(c) for c in columns)
-        ids, begins = ids.view(np.int64), begins.astype(np.int64)
+        buckets, ids, nodes, begins = (np.concatenate(c) for c in columns)
+        ids, nodes, begins = ids.view(np.int64), nodes.view(np.int64), begins.astype(np.int64)
         order = np.argsort(buckets, kind="stable")
         edges = np.flatnonzero(np.diff(buckets[order])) + 1  # slices end between buckets
         out, first = [], 0
@@ -217,28 +220,28 @@ def _cut(packed: DataFrame) -> DataFrame:
             edge, size = edge[late[edge]], size[late[edge]]
             owner = some[whose[edge]]
             start = begins[owner] + place[edge]
-            out.append((ids[owner], start, start + size + WINDOW - 1))
+            out.append((ids[owner], nodes[owner], start, start + size + WINDOW - 1))
             first = stop
         found = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table(dict(zip(("doc_id", "start", "stop"), found, strict=True)))
+        return pa.table(dict(zip(("doc_id", "node", "start", "stop"), found, strict=True)))
 
-    return packed.groupBy("part").applyInArrow(run, "doc_id BIGINT, start BIGINT, stop BIGINT")
+    return packed.groupBy("part").applyInArrow(run, "doc_id BIGINT, node BIGINT, start BIGINT, stop BIGINT")
 
 
 def _single_windows(contexts: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, at): every window of the contexts by a 128-bit hash."""
+    """(w1, w2, doc_id, node, at): every window of the contexts by a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: list[tuple[int, int, int, int]] = []
-            for doc, at, context in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "at", "context")), strict=True):
+            out: list[tuple[int, ...]] = []
+            for doc, node, at, context in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "node", "at", "context")), strict=True):
                 for k in range(len(context) - WINDOW + 1):
                     name = hashlib.blake2b(context[k : k + WINDOW], digest_size=16).digest()
-                    out.append((int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), doc, at + k))
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["w1", "w2", "doc_id", "at"])
+                    out.append((int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), doc, node, at + k))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["w1", "w2", "doc_id", "node", "at"])
 
-    return contexts.mapInArrow(run, "w1 BIGINT, w2 BIGINT, doc_id BIGINT, at BIGINT")
+    return contexts.mapInArrow(run, "w1 BIGINT, w2 BIGINT, doc_id BIGINT, node BIGINT, at BIGINT")
 
 
 def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -259,9 +262,8 @@ def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
         windows = _single_windows(contexts.join(hot, "bucket", "left_semi"))
         first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
         late = windows.join(first, ["w1", "w2"]).where("first < doc_id")
-        cut = cut.union(late.selectExpr("doc_id", "at AS start", f"at + {WINDOW} AS stop"))
-    spans = cut.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return spans.join(wanted.select("doc_id", "node"), "doc_id")
+        cut = cut.union(late.selectExpr("doc_id", "node", "at AS start", f"at + {WINDOW} AS stop"))
+    return cut.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def _kept(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
