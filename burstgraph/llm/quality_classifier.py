@@ -55,7 +55,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.stack(
         [
             np.ones(len(texts)), per[0] / size, per[1] / size, per[2] / size, stutter / many,
-            1 - distinct / many, np.minimum(1, (size - per[3]) / many / 20) * (count > 0), np.log1p(count) / 10, per[3] / size,
+            (1 - distinct / many) * (count > 0), np.minimum(1, (size - per[3]) / many / 20) * (count > 0), np.log1p(count) / 10, per[3] / size,
         ],
         axis=1,
     )
