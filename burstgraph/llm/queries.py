@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burstgraph.llm.decontamination import benchmark_matches
 from burstgraph.llm.embedding_dedup import embedding_dedup
@@ -37,7 +38,8 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_documents(_table(spark, folder, "documents"))
+    encoded = encode_documents(_table(spark, folder, "documents"))
+    return encoded.select("doc_id", "n_pieces", F.xxhash64("piece_ids").alias("ids_hash"), "round_trip")
 
 
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,7 +44,8 @@ def encode_words(words: list[bytes], table: Pieces, scores: np.ndarray) -> list[
     out: list[list[int]] = [[] for _ in words]
     for numbers, matrix in by_length(words):
         lattice, rows = Lattice(table, matrix), np.arange(len(matrix))
-        n = lattice.n
+        n, costs = lattice.n, np.append(scores, -np.inf)  # -1, no piece, takes the last
+        gains = [None, *(costs[ids] for ids in lattice.ids[1:])]
         best = np.full((n + 1, len(matrix)), -np.inf)
         best[0] = 0.0
         back, piece = np.zeros((n + 1, len(matrix)), dtype=np.int32), np.zeros((n + 1, len(matrix)), dtype=np.int32)
@@ -52,11 +53,11 @@ def encode_words(words: list[bytes], table: Pieces, scores: np.ndarray) -> list[
             single = table.bytes_at[matrix[:, j - 1]]
             best[j], back[j], piece[j] = best[j - 1] + scores[single], j - 1, single
             for i in lattice.spans(j):
-                words_at, found = lattice.at(i, j)
-                total = best[i, words_at] + scores[found]
-                better = total > best[j, words_at]
-                words_at, found = words_at[better], found[better]
-                best[j, words_at], back[j, words_at], piece[j, words_at] = total[better], i, found
+                total = best[i] + gains[j - i][i]
+                better = total > best[j]
+                np.copyto(best[j], total, where=better)
+                np.copyto(back[j], i, where=better)
+                np.copyto(piece[j], lattice.ids[j - i][i], where=better)
         at = np.full(len(matrix), n)
         while (live := rows[at > 0]).size:
             for k, p in zip(live.tolist(), piece[at[live], live].tolist(), strict=True):

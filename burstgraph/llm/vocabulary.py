@@ -80,18 +80,18 @@ def _column_sums(matrix: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _span_hash(sums: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Hash of bytes i..j-1 of every word."""
+def _gram_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """Row i holds the hash of bytes i..i+length-1 of every word."""
     _, down = powers(len(sums))
-    x = (sums[j] - sums[i]) * down[i]
+    x = (sums[length:] - sums[:-length]) * down[: len(sums) - length, None]
     return (x ^ (x >> np.uint64(32))) * _SPREAD
 
 
 def _whole_hash(piece: bytes) -> int:
-    return int(_span_hash(_column_sums(np.frombuffer(piece, np.uint8)[None]), 0, len(piece))[0])
+    return int(_gram_hashes(_column_sums(np.frombuffer(piece, np.uint8)[None]), len(piece))[0, 0])
 
 
-def by_length(words: list[bytes], cells: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(words: list[bytes], cells: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers, byte matrix) of words of equal length, about ``cells`` bytes at a time."""
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
@@ -105,15 +105,26 @@ def by_length(words: list[bytes], cells: int = 1 << 18) -> Iterator[tuple[np.nda
 
 
 class Lattice:
-    """Pieces over the words of one matrix."""
+    """Pieces over the words of one matrix: row i of ``ids[k]`` holds the piece that bytes i..i+k-1 of every word are, or -1."""
 
     def __init__(self, table: Pieces, matrix: np.ndarray):
-        self.table, self.n, self.sums = table, matrix.shape[1], _column_sums(matrix)
+        self.n = matrix.shape[1]
+        self.longest = min(self.n, table.longest)
+        sums = _column_sums(matrix)
+        self.ids: list[np.ndarray | None] = [None]
+        for length in range(1, self.longest + 1):
+            hashes = _gram_hashes(sums, length)
+            found = np.full(hashes.size, -1, dtype=np.int32)
+            at, ids = table.find(hashes.reshape(-1))
+            found[at] = ids
+            self.ids.append(found.reshape(hashes.shape))
 
     def at(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
         """(words whose bytes i..j-1 are a piece, its id)."""
-        return self.table.find(_span_hash(self.sums, i, j))
+        row = self.ids[j - i][i]
+        words = np.flatnonzero(row >= 0)
+        return words, row[words]
 
     def spans(self, j: int) -> range:
         """Starts of the pieces that may end at j."""
-        return range(max(0, j - self.table.longest), j)
+        return range(max(0, j - self.longest), j)
