@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from burstgraph.session import scratch_path
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+BATCH_ROWS = 1000
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,6 +32,15 @@ def park(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: a batch of long texts is held by the JVM and by
+    Python at once, on every core. The setting stays; a smaller one is left as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``length`` of each."""
     if not _powers or len(_powers[0]) < length:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import digest64, park, shingle_sets, text_chunks
+from burstgraph.llm.common import bound_batches, digest64, park, shingle_sets, text_chunks
 from burstgraph.llm.exchange import gather, ranges_for, repeated, send
 from burstgraph.operators.components import component_labels
 
@@ -52,7 +52,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
             nodes = [digest64(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64())], schema=_SETS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, node BIGINT")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, node BIGINT")
 
 
 def _members(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:

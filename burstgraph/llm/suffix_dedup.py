@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from burstgraph.llm.common import digest64, park, pieces, prefix_sums, span_hashes, text_chunks
+from burstgraph.llm.common import bound_batches, digest64, park, pieces, prefix_sums, span_hashes, text_chunks
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
 from burstgraph.llm.id_filter import probably_in, split_rows
 
@@ -53,7 +53,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _FACTS)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, _FACTS)
 
 
 def window_buckets(data: np.ndarray, gram: int) -> np.ndarray:
