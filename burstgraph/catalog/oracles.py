@@ -44,9 +44,10 @@ def weigh(name: str, source: str, edges: str, start: int, stop: int, floor=0.0,
     where = "" if keep is None else f" WHERE w > {keep}"
     return f"""{name}_k AS (SELECT * FROM {source} WHERE hour > {start} AND hour < {stop} AND value > {floor}),
 {name}_x AS (SELECT id, hour, {value} AS v FROM {name}_k JOIN (SELECT id, count(*) AS n FROM {name}_k GROUP BY id) USING (id)),
-{name}_s AS (SELECT e.src, e.dst, sum(CASE WHEN least(a.v, b.v) / greatest(a.v, b.v) > {lam}
+{name}_j AS MATERIALIZED (SELECT e.src, e.dst, a.hour, a.v FROM {edges} e JOIN {name}_x a ON a.id = e.src),
+{name}_s AS (SELECT a.src, a.dst, sum(CASE WHEN least(a.v, b.v) / greatest(a.v, b.v) > {lam}
     THEN least(a.v, b.v) / greatest(a.v, b.v) ELSE 0 END) AS w
-  FROM {edges} e JOIN {name}_x a ON a.id = e.src JOIN {name}_x b ON b.id = e.dst AND a.hour = b.hour GROUP BY 1, 2),
+  FROM {name}_j a JOIN {name}_x b ON b.id = a.dst AND a.hour = b.hour GROUP BY 1, 2),
 {name} AS (SELECT src, dst, coalesce(w, 0.0) AS weight FROM {edges} {join} {name}_s USING (src, dst){where})"""
 
 
@@ -71,7 +72,7 @@ ALL_WEIGHTS = [SIGNAL, EDGES, weigh("w", "signal", "edges", -1, N)]
 MATRIX = """m AS (SELECT src, dst, sum(weight) AS weight FROM (
   SELECT src, dst, weight FROM w UNION ALL SELECT dst, src, weight FROM w) GROUP BY 1, 2)"""
 CELLS = """cells AS (SELECT s.id, s.hour FROM signal s JOIN stats t ON t.id = s.id WHERE s.value > 2.0 * t.sd + t.mean)"""
-TOTALS = "totals AS (SELECT src AS id, sum(weight) AS total FROM m GROUP BY 1)"
+TOTALS = "totals AS (SELECT src AS id, sum(CAST(weight AS DECIMAL(28, 12))) AS total FROM m GROUP BY 1)"
 ROWS = "rows_ AS (SELECT DISTINCT id FROM signal)"
 MEMORY = [*learned(), MATRIX, CELLS, TOTALS, ROWS]
 CLUSTER = "cluster AS (SELECT p_partkey AS id FROM part WHERE p_brand IN ('Brand#3', 'Brand#4', 'Brand#5'))"
@@ -79,8 +80,8 @@ CLUSTER = "cluster AS (SELECT p_partkey AS id FROM part WHERE p_brand IN ('Brand
 
 def scores(name: str, cells: str, by: str = "") -> str:
     by = f"{by}, " if by else ""
-    return f"""{name} AS (SELECT {by}id, hour, round(2 * a - total, 9) AS score FROM (
-  SELECT {by}src AS id, hour, sum(weight) AS a FROM m JOIN {cells} c ON c.id = m.dst GROUP BY ALL) JOIN totals USING (id))"""
+    return f"""{name} AS (SELECT {by}id, hour, 2 * a - total AS score FROM (
+  SELECT {by}src AS id, hour, sum(CAST(weight AS DECIMAL(28, 12))) AS a FROM m JOIN {cells} c ON c.id = m.dst GROUP BY ALL) JOIN totals USING (id))"""
 
 
 def recalled(name: str, cells: str, tie: int = 1, by: str = "") -> str:
@@ -172,9 +173,9 @@ DOUBLED = "doubled AS (SELECT src AS id, weight FROM w UNION ALL SELECT dst, wei
 
 
 def histogram(values: str, bins: int, count: str) -> str:
-    return f"""edges_(k, lo, hi) AS (SELECT k, pow({BASE}, {TOP} * k / {bins}), pow({BASE}, {TOP} * (k + 1) / {bins}) FROM range({bins}) t(k)),
+    return f"""edges_(k, lo, hi) AS (SELECT k, pow({BASE}, {TOP} * k / {bins}), pow({BASE}, {TOP} * (k + 1) / {bins}) FROM range({bins + 1}) t(k)),
 h AS (SELECT k AS bin, lo AS lower, count(v) AS n FROM edges_ LEFT JOIN {values} s
-  ON v >= lo AND (v < hi OR (k = {bins - 1} AND v <= hi)) GROUP BY 1, 2)
+  ON CASE WHEN k = {bins} THEN v > lo WHEN k = {bins - 1} THEN v BETWEEN lo AND hi ELSE v >= lo AND v < hi END GROUP BY 1, 2)
 SELECT CAST(bin AS INTEGER) AS bin, round(lower, 6) + 0.0::DOUBLE AS lower, {count} AS count FROM h"""
 
 
@@ -341,15 +342,17 @@ UNION ALL SELECT 'component', (SELECT count(*) FROM lcc), count(*), count(*) FRO
     # time series
     "signed_similarity": select(
         [SIGNAL, EDGES, "f AS (SELECT id, count(*) AS n FROM signal GROUP BY 1)", "x AS (SELECT id, hour, value / n AS v FROM signal JOIN f USING (id))",
+         "j AS MATERIALIZED (SELECT src, dst, hour, v FROM edges JOIN x ON id = src)",
          """s AS (SELECT src, dst, sum(CASE WHEN r > 0.5 THEN r ELSE -r END) AS w FROM (
-  SELECT src, dst, least(a.v, b.v) / greatest(a.v, b.v) AS r FROM edges JOIN x a ON a.id = src JOIN x b ON b.id = dst AND a.hour = b.hour) GROUP BY 1, 2)"""],
+  SELECT src, dst, least(a.v, b.v) / greatest(a.v, b.v) AS r FROM j a JOIN x b ON b.id = dst AND a.hour = b.hour) GROUP BY 1, 2)"""],
         "SELECT src, dst, round(coalesce(w, 0), 6) + 0.0::DOUBLE AS weight FROM edges LEFT JOIN s USING (src, dst)",
     ),
     "chunked_pearson": select(
         [SIGNAL, EDGES,
+         "j AS MATERIALIZED (SELECT src, dst, hour, value FROM edges JOIN signal ON id = src)",
          f"""c AS (SELECT src, dst, a.value AS x, b.value AS y, row_number() OVER (PARTITION BY src, dst ORDER BY a.hour) AS rn,
     count(*) OVER (PARTITION BY src, dst) AS n
-  FROM edges JOIN signal a ON a.id = src JOIN signal b ON b.id = dst AND a.hour = b.hour WHERE a.hour > -1 AND a.hour < {N})""",
+  FROM j a JOIN signal b ON b.id = dst AND a.hour = b.hour WHERE a.hour > -1 AND a.hour < {N})""",
          """k AS (SELECT src, dst, (rn - 1) // 24 AS chunk, max(n) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy
   FROM c GROUP BY 1, 2, 3)""",
          "d AS (SELECT *, sqrt(greatest(xx - x * x / n, 0) * greatest(yy - y * y / n, 0)) AS den FROM k)",
@@ -494,7 +497,7 @@ ORACLES.update(
 {_SERIES} WHERE id IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7') GROUP BY id""",
         ),
         "mute_sweep": select(
-            [*MEMORY, "cluster AS (SELECT src AS id FROM w UNION SELECT dst FROM w)", muted("mu", MUTE_DIVISORS), recalled("back", "mu", by="divisor")],
+            [*MEMORY, "cluster AS (SELECT src AS id FROM w UNION SELECT dst FROM w)", muted("mu", MUTE_DIVISORS), recalled("back", "mu", -1, by="divisor")],
             ", sweep AS (WITH "
             + rates("cluster", "cells", "back", N, "divisor", f"(SELECT * FROM (VALUES {DIVISOR_ROWS}) t(divisor))")
             + ") SELECT CAST(floor(100.0 / divisor) AS INTEGER) AS percent, miss_rate, mismatch_rate FROM sweep",

@@ -582,8 +582,8 @@ def binarise_sigma(spark, folder):
 
 @query
 def degrade(spark, folder):
-    _, cells, rows = memory_inputs(spark, folder)
-    return memory.degrade(cells, rows, N, noise=0.2, seed=7)
+    signal = tables.part_signal(spark, folder)
+    return memory.degrade(memory.binarise_sigma(signal, N, 2.0), signal.select("id").distinct(), N, noise=0.2, seed=7)
 
 
 @query
@@ -602,7 +602,7 @@ def recall_step(spark, folder):
 @query
 def recall_scores(spark, folder):
     matrix, cells, _ = memory_inputs(spark, folder)
-    return memory.recall_scores(matrix, cells).select("id", "hour", r6("score"))
+    return memory.recall_scores(matrix, cells).withColumn("score", F.col("score").cast("double")).select("id", "hour", r6("score"))
 
 
 @query
@@ -615,7 +615,8 @@ def recall_steps(spark, folder):
 @query
 def recall_random(spark, folder):
     """The control: recall from noise as dense as the pattern could be."""
-    matrix, _, rows = memory_inputs(spark, folder)
+    matrix = cut_lineage(memory.memory_matrix(learned_edges(spark, folder)))
+    rows = tables.part_signal(spark, folder).select("id").distinct()
     return memory.recall(matrix, memory.random_cells(rows, N, 0.5, seed=3))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from burstgraph.functions.hashing import mixed_sql
 from burstgraph.operators.skew import (
-    MIN_HOT_ROWS,
+    ROWS_PER_TASK,
     hot_from_counts,
     hot_keys,
     join_skewed,
@@ -21,8 +21,6 @@ from burstgraph.operators.skew import (
 )
 from burstgraph.session import cut_lineage, cut_lineage_counted
 
-BROADCAST_ROWS = 200_000  # two longs a row: a few MB
-
 
 def _ordered_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct unordered pairs of different ids."""
@@ -41,14 +39,7 @@ def _representatives(pairs: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def _attach(rows: DataFrame, table: DataFrame, key: str, table_rows: int, hot, how: str = "inner") -> DataFrame:
-    """Join to a table of at most ``table_rows`` rows: broadcast while that is small."""
-    if table_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), key, how)
-    return join_skewed(rows, table, key, how, hot=hot)
-
-
-def component_labels(edges: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def component_labels(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(id, component) of every vertex an edge touches; the label is the smallest id."""
     pairs, size = cut_lineage_counted(_ordered_pairs(edges, "src", "dst"))
     if size == 0:
@@ -60,41 +51,42 @@ def component_labels(edges: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> Data
         moved = pairs
         for end in ("a", "b"):
             table = reps.selectExpr(f"id AS {end}", f"rep AS rep_{end}")
-            hot = None
-            if size >= min_hot_rows:
-                hot = hot_from_counts(reps, "id", "n", size, min_hot_rows).withColumnRenamed("id", end)
-            moved = _attach(moved, table, end, 2 * size, hot)
+            hot = None  # no key can hold more rows than the table
+            if size > rows_per_task:
+                hot = hot_from_counts(reps, "id", "n", rows_per_task).withColumnRenamed("id", end)
+            moved = join_skewed(moved, table, end, hot=hot)
         pairs, size = cut_lineage_counted(_ordered_pairs(moved, "rep_a", "rep_b"))
 
     # Walk back from the last, smallest round; vertices without a later choice are roots.
     reps, bound = rounds[-1]
     roots = reps.selectExpr("id", "rep AS root")
     for reps, rows in reversed(rounds[:-1]):
-        hot = hot_keys(reps, "rep", min_hot_rows) if rows >= min_hot_rows else None
+        hot = hot_keys(reps, "rep", rows_per_task) if rows > rows_per_task else None
         later = roots.selectExpr("id AS rep", "root AS later")
-        roots = _attach(reps, later, "rep", bound, hot, "left").selectExpr("id", "coalesce(later, rep) AS root")
+        roots = join_skewed(reps, later, "rep", "left", hot=hot).selectExpr("id", "coalesce(later, rep) AS root")
         bound = rows
     roots = cut_lineage(roots)
     smallest = roots.groupBy("root").agg(F.min("id").alias("component"))
-    hot = hot_keys(roots, "root", min_hot_rows) if bound >= min_hot_rows else None
-    return _attach(roots, smallest, "root", bound, hot).select("id", "component")
+    hot = hot_keys(roots, "root", rows_per_task) if bound > rows_per_task else None
+    return join_skewed(roots, smallest, "root", hot=hot).select("id", "component")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(id, component) of all vertices; one without edges is its own component."""
-    labels = component_labels(edges, min_hot_rows)
+    labels = component_labels(edges, rows_per_task)
     return vertices.select("id").join(labels, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def hop_distances(edges: DataFrame, sources: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(id, distance) along directed edges from the nearest source, breadth first.
 
-    The edges are laid out once by (src, salt); each round shuffles only the frontier.
+    The edges are laid out once by (src, salt); each round joins the frontier to
+    them and drops what was visited before.
     """
     links = cut_lineage(edges.select("src", "dst").distinct())
-    hot = hot_keys(links, "src", min_hot_rows)
+    hot = hot_keys(links, "src", rows_per_task)
     key = ["src"] if hot is None else ["src", "_salt"]
     laid_out = cut_lineage((links if hot is None else salt_rows(links, "src", hot)).repartition(*key))
     frontier, found = cut_lineage_counted(sources.select("id").distinct().withColumn("distance", F.lit(0)))
@@ -104,8 +96,6 @@ def hop_distances(edges: DataFrame, sources: DataFrame, min_hot_rows: int = MIN_
         heads = frontier.select(F.col("id").alias("src"))
         if hot is not None:
             heads = repeat_rows(heads, "src", hot)
-        if found <= BROADCAST_ROWS:
-            heads = F.broadcast(heads)
         reached = laid_out.join(heads, key).select(F.col("dst").alias("id")).distinct()
         frontier, found = cut_lineage_counted(
             reached.join(visited.select("id"), "id", "left_anti").select("id", F.lit(step).alias("distance"))

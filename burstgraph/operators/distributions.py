@@ -12,30 +12,32 @@ DEGREE_BINS = 19
 COMMUNITY_BINS = 39
 
 
-def _bin(value: Column, bins: int) -> Column:
-    """Index of the half-open bin, the last one closed; null outside the edges."""
-    position = F.floor(F.ln(value) / math.log(BASE) * bins / TOP).cast("int")
-    inside = (value >= 1) & (value <= BASE**TOP)
-    return F.when(inside, F.least(position, F.lit(bins - 1)))
+def _bin(value: Column, bins: int, top: float) -> Column:
+    """Index of the half-open bin, the last one closed; ``bins`` above the edges, null below them."""
+    position = F.floor(F.ln(value) / math.log(BASE) * bins / top).cast("int")
+    return F.when(value > BASE**top, bins).when(value >= 1, F.least(position, F.lit(bins - 1)))
 
 
-def log_histogram(values: DataFrame, column: str, bins: int = DEGREE_BINS, scale: bool = False) -> DataFrame:
-    """(bin, lower, count), one row per bin, empty ones included; ``scale`` divides by the largest."""
+def log_histogram(values: DataFrame, column: str, bins: int = DEGREE_BINS, scale: bool = False, top: float = TOP) -> DataFrame:
+    """(bin, lower, count), one row per bin, empty ones included; ``scale`` divides by the largest.
+
+    Edges are BASE ** (top * k / bins); the row after the last bin counts the values above them.
+    """
     counts = (
-        values.select(_bin(F.col(column), bins).alias("bin"))
+        values.select(_bin(F.col(column), bins, top).alias("bin"))
         .where(F.col("bin").isNotNull())
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    axis = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    axis = values.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias("bin"))
     count = F.coalesce("n", F.lit(0))
     table = axis.join(counts, "bin", "left").select(
-        "bin", F.pow(F.lit(BASE), F.lit(TOP) * F.col("bin") / bins).alias("lower"), count.alias("count")
+        "bin", F.pow(F.lit(BASE), F.lit(top) * F.col("bin") / bins).alias("lower"), count.alias("count")
     )
     if not scale:
         return table
-    top = counts.agg(F.max("n").alias("top")).scalar()
-    return table.withColumn("count", F.col("count") / top)
+    most = counts.agg(F.max("n").alias("most")).scalar()
+    return table.withColumn("count", F.col("count") / most)
 
 
 def powerlaw_alpha(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burstgraph.operators.components import connected_components
-from burstgraph.operators.skew import hot_keys, join_skewed, with_both_ends
+from burstgraph.operators.skew import hot_ends, join_skewed, with_both_ends
 from burstgraph.session import cut_lineage
 
 
@@ -95,12 +95,13 @@ class PropertyGraph:
     def triplets(self) -> DataFrame:
         """Edges with the attributes of both ends as ``src_<name>`` and ``dst_<name>``."""
         joined = self.edges
+        hot = hot_ends(self.edges)
         for end in ("src", "dst"):
             named = self.vertices.select(
                 F.col("id").alias(end),
                 *[F.col(c).alias(f"{end}_{c}") for c in self.vertices.columns if c != "id"],
             )
-            joined = join_skewed(joined, named, end, hot=hot_keys(self.edges, end))
+            joined = join_skewed(joined, named, end, hot=hot[end])
         return joined
 
     def coarsen(self, predicate: Column, **reduced: Column) -> "PropertyGraph":
@@ -122,9 +123,10 @@ class PropertyGraph:
             .agg(*[c.alias(name) for name, c in reduced.items()])
         )
         rest = decided.where(~F.col("_merge")).drop("_merge")
+        hot = hot_ends(decided)
         for end in ("src", "dst"):
             label = components.select(F.col("id").alias(end), F.col("component").alias(f"_{end}"))
-            rest = join_skewed(rest, label, end, hot=hot_keys(decided, end))
+            rest = join_skewed(rest, label, end, hot=hot[end])
         moved = rest.select(
             F.col("_src").alias("src"), F.col("_dst").alias("dst"), *[c for c in columns if c not in ("src", "dst")]
         )
@@ -146,8 +148,9 @@ def nth_component_ids(components: DataFrame, n: int = 0) -> DataFrame:
 
 
 def labelled(vertices: DataFrame, titles: DataFrame) -> DataFrame:
-    """Vertices with the title of their id, null where it is unknown."""
-    return vertices.select("id").join(titles.select("id", "title"), "id", "left")
+    """Vertices with the title of their id, null where it is unknown, the first in order where it has several."""
+    named = titles.groupBy("id").agg(F.min("title").alias("title"))
+    return vertices.select("id").join(named, "id", "left")
 
 
 def stage_counts(stages: dict[str, "PropertyGraph"]) -> DataFrame:

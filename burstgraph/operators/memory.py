@@ -18,7 +18,7 @@ from burstgraph.operators.series import above_threshold
 from burstgraph.operators.skew import join_skewed, with_both_ends
 from burstgraph.session import cut_lineage
 
-DIGITS = 9  # scores are compared with 0 after rounding away summation noise
+WEIGHT = "DECIMAL(28, 12)"  # weights are summed in this type, exactly: a score of 0 is a tie whatever the order of the sum
 MUTE_DIVISORS = (1.0, 1.2, 1.5, 2.0, 3.0, 4.0, 5.0, 10.0)  # fixed values of the mute sweep
 
 
@@ -67,7 +67,7 @@ def mute(cells: DataFrame, cluster: DataFrame, divisor: float) -> DataFrame:
 
 def mute_each(cells: DataFrame, cluster: DataFrame, divisors: tuple[float, ...]) -> DataFrame:
     """One muted copy of the pattern per divisor, told apart by the column ``divisor``."""
-    rows = ordinal_ids(cluster.select("id"))
+    rows = ordinal_ids(cluster.select("id").distinct())
     total = rows.agg(F.count(F.lit(1)).alias("_n")).scalar()
     copies = F.explode(F.array(*[F.lit(float(d)) for d in divisors]))
     return (
@@ -93,11 +93,11 @@ def recall_scores(matrix: DataFrame, cells: DataFrame, by: tuple[str, ...] = ())
         join_skewed(matrix, packed, "dst")
         .select(F.col("src").alias("id"), "weight", F.explode("_cells").alias("_cell"))
         .groupBy("id", *[F.col(f"_cell.{c}").alias(c) for c in (*by, "hour")])
-        .agg(F.sum("weight").alias("_active"))
+        .agg(F.sum(F.col("weight").cast(WEIGHT)).alias("_active"))
     )
-    totals = matrix.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("_total"))
+    totals = matrix.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight").cast(WEIGHT)).alias("_total"))
     return active.join(totals, "id").select(
-        *by, "id", "hour", F.round(2 * F.col("_active") - F.col("_total"), DIGITS).alias("score")
+        *by, "id", "hour", (F.col("_active") + F.col("_active") - F.col("_total")).alias("score")
     )
 
 
@@ -178,7 +178,7 @@ def mute_sweep(
     cluster: DataFrame,
     hours: int,
     divisors: tuple[float, ...] = MUTE_DIVISORS,
-    tie: int = 1,
+    tie: int = -1,
 ) -> DataFrame:
     """Error after muting a growing part of the cluster: all parts in one job."""
     muted = mute_each(cells, cluster, divisors)

@@ -28,15 +28,18 @@ def null_model_edges(links: DataFrame, vertices: int, seed: int) -> DataFrame:
     levels = levels_for(vertices)
     half = 2 ** (levels - 1)
     a, b, c = QUADRANTS["a"], QUADRANTS["b"], QUADRANTS["c"]
-    bit = f"shiftleft(1L, {levels} - level)"
+    u = uniform_sql(["draw", "level"], seed)
+
+    def ordinal(takes: str) -> str:
+        bit = f"if({takes}, shiftleft(1L, {levels} - level), 0L)"
+        return f"aggregate(sequence(1, {levels}), 0L, (sum, level) -> sum + {bit}) - {half}"
+
     return (
-        links.selectExpr("src", "dst", f"{mixed_sql(['src', 'dst'], seed)} AS draw")
-        .selectExpr("src", "dst", "draw", f"explode(sequence(1, {levels})) AS level")
-        .selectExpr("src", "dst", f"{uniform_sql(['draw', 'level'], seed)} AS u", f"{bit} AS bit")
-        .groupBy("src", "dst")  # complete within a task, so the shuffle carries one row per link
-        .agg(
-            F.expr(f"sum(if(u >= {a + b}, bit, 0L)) - {half}").alias("s"),
-            F.expr(f"sum(if((u >= {a} AND u < {a + b}) OR u >= {a + b + c}, bit, 0L)) - {half}").alias("t"),
+        links.select("src", "dst").distinct()
+        .selectExpr(f"{mixed_sql(['src', 'dst'], seed)} AS draw")
+        .selectExpr(
+            ordinal(f"{u} >= {a + b}") + " AS s",
+            ordinal(f"({u} >= {a} AND {u} < {a + b}) OR {u} >= {a + b + c}") + " AS t",
         )
         .selectExpr("s AS src", "t AS dst")
         .where(f"src <> dst AND src >= 0 AND src < {vertices} AND dst >= 0 AND dst < {vertices}")

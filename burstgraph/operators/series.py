@@ -122,6 +122,13 @@ def slice_packed(series: Column, start: int, stop: int) -> Column:
     return F.map_filter(series, lambda hour, _: (hour > start) & (hour < stop))
 
 
+def on_axis(signal: DataFrame, length: int) -> DataFrame:
+    """``signal`` as it is; reading a sample whose hour is not 0..length-1 fails: the axis is too short for the data."""
+    inside = (F.col("hour") >= 0) & (F.col("hour") < length)
+    off = F.raise_error(F.concat(F.lit("sample off the axis, hour "), F.col("hour").cast("string")))
+    return signal.withColumn("hour", F.when(inside, F.col("hour")).otherwise(off.cast("int")))
+
+
 def densify(signal: DataFrame, length: int) -> DataFrame:
     """(id, values ARRAY<DOUBLE>) of exactly ``length`` values, 0 where there is no sample."""
     entries = F.sort_array(F.collect_list(F.struct("hour", "value")))
@@ -129,7 +136,7 @@ def densify(signal: DataFrame, length: int) -> DataFrame:
     zeros = F.map_from_arrays(axis, F.array_repeat(F.lit(0.0), length))
     merged = F.map_zip_with(zeros, F.col("series"), lambda _, zero, v: F.coalesce(v, zero))
     return (
-        signal.where((F.col("hour") >= 0) & (F.col("hour") < length))
+        on_axis(signal, length)
         .groupBy("id")
         .agg(F.map_from_entries(entries).alias("series"))
         .select("id", F.map_values(merged).alias("values"))

@@ -1,10 +1,10 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is *hot* when it holds more than one in ``HOT_SHARE`` of the rows. Fewer
-than ``HOT_SHARE`` keys can be hot, whatever the data, so the hot list is safe
-to broadcast. The rows of a hot key are spread over as many salts as it holds
-shares, and the other side, which has few rows per key, is repeated once per
-salt. At most ``2 * HOT_SHARE`` repeats of a key are made in total.
+A key is *hot* when it holds more than ``ROWS_PER_TASK`` rows. Its rows are
+spread over one salt per ``ROWS_PER_TASK`` of them, and the other side, which
+has few rows per key, is repeated once per salt. The rule does not depend on
+the size of the table. The hot list can hold one key per ``ROWS_PER_TASK`` rows, so
+it is joined like any other table: adaptive execution broadcasts it while it is small.
 """
 
 from pyspark.sql import DataFrame
@@ -13,34 +13,35 @@ from pyspark.sql import types as T
 
 from burstgraph.session import cut_lineage_counted
 
-HOT_SHARE = 1024  # bound on the number of hot keys
-MIN_HOT_ROWS = 1_000_000  # a key with fewer rows fits one task whatever its share
+ROWS_PER_TASK = 2_000_000  # rows of one key that a task takes
 
 DETECT = object()
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int | None = None) -> DataFrame | None:
-    """(key, splits) of the hot keys as a stored table, or None when there is none.
+def hot_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame | None:
+    """(key, _splits) of the hot keys as a stored table, or None when there is none.
 
-    A table with fewer than ``min_rows`` rows is only counted. ``df`` should be
-    stored or checkpointed: it is read again here. Counts combine before the shuffle.
+    ``df`` should be stored or checkpointed: it is read again here. Counts combine before the shuffle.
     """
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    total = df.count()
-    if total < floor:
-        return None
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot, found = cut_lineage_counted(hot_from_counts(counts, key, "_n", total, floor))
+    hot, found = cut_lineage_counted(hot_from_counts(counts, key, "_n", limit))
     return hot if found else None
 
 
-def hot_from_counts(counts: DataFrame, key: str, n: str, total: int, min_rows: int | None = None) -> DataFrame:
+def hot_ends(edges: DataFrame, limit: int | None = None) -> dict[str, DataFrame | None]:
+    """The hot keys of both ends of ``edges``, from one pass over them."""
+    ends = edges.selectExpr("inline(array(struct('src' AS _end, src AS _key), struct('dst' AS _end, dst AS _key)))")
+    counts = ends.groupBy("_end", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    hot, found = cut_lineage_counted(hot_from_counts(counts, "_key", "_n", limit, "_end"))
+    if not found:
+        return {"src": None, "dst": None}
+    return {end: hot.where(F.col("_end") == end).select(F.col("_key").alias(end), "_splits") for end in ("src", "dst")}
+
+
+def hot_from_counts(counts: DataFrame, key: str, n: str, limit: int | None = None, *more: str) -> DataFrame:
     """The same from known row counts, without another pass over the rows."""
-    floor = MIN_HOT_ROWS if min_rows is None else min_rows
-    shares = F.col(n) * HOT_SHARE
-    return counts.where((F.col(n) >= floor) & (shares > total)).select(
-        F.col(key), F.ceil(shares / total).cast("int").alias("_splits")
-    )
+    limit = ROWS_PER_TASK if limit is None else limit
+    return counts.where(F.col(n) > limit).select(*more, key, F.ceil(F.col(n) / limit).cast("int").alias("_splits"))
 
 
 def salt_rows(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def salt_rows(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     ]
     salt = F.pmod(F.xxhash64(*spread), F.col("_splits")).cast("int")
     return (
-        df.join(F.broadcast(hot), key, "left")
+        df.join(hot, key, "left")
         .withColumn("_salt", F.coalesce(salt, F.lit(0)))
         .drop("_splits")
     )
@@ -60,7 +61,7 @@ def repeat_rows(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """Repeat every row once per salt of its key."""
     salts = F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)
     return (
-        df.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(salts)).drop("_splits")
+        df.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_splits")
     )
 
 
@@ -81,7 +82,7 @@ def join_skewed(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
 
 def with_both_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges whose two ends are among ``vertices``."""
-    ids = vertices.select("id")
-    kept = join_skewed(edges, ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    kept = join_skewed(kept, ids.withColumnRenamed("id", "dst"), "dst", "left_semi", hot=hot_keys(edges, "dst"))
+    ids, hot = vertices.select("id"), hot_ends(edges)
+    kept = join_skewed(edges, ids.withColumnRenamed("id", "src"), "src", "left_semi", hot=hot["src"])
+    kept = join_skewed(kept, ids.withColumnRenamed("id", "dst"), "dst", "left_semi", hot=hot["dst"])
     return kept.select(edges.columns)

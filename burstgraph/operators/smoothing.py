@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burstgraph.operators.series import on_axis
+
 
 def savgol_coefficients(window: int, order: int) -> list[float]:
     """Weights of the window's samples in the fitted polynomial's value at its centre."""
@@ -21,10 +23,10 @@ def savgol_coefficients(window: int, order: int) -> list[float]:
     return np.linalg.pinv(powers)[0].tolist()
 
 
-def fill_axis(series: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    """One row per key and hour 0..length-1, 0 where there is no sample."""
+def fill_axis(series: DataFrame, length: int, keys: list[str], of: DataFrame | None = None) -> DataFrame:
+    """One row per key (of ``of``, else of the series) and hour 0..length-1, 0 where there is no sample."""
     axis = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("hour")
-    known = series.select(*keys).distinct() if keys else series.agg(F.count(F.lit(1)).alias("_rows"))
+    known = (series if of is None else of).select(*keys).distinct() if keys else series.agg(F.count(F.lit(1)).alias("_rows"))
     grid = known.select(*keys, axis)
     return grid.join(series, [*keys, "hour"], "left").select(
         *keys, "hour", F.coalesce("value", F.lit(0.0)).cast("double").alias("value")
@@ -34,14 +36,15 @@ def fill_axis(series: DataFrame, length: int, keys: list[str]) -> DataFrame:
 def smooth(series: DataFrame, length: int, window: int, order: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, hour, value) smoothed; the ends are padded by point reflection.
 
-    ``series`` has one row per key and hour; absent hours count as 0.
+    ``series`` has one row per key and hour; absent hours count as 0,
+    hours off the axis are refused. A key whose series is all 0 is kept.
     """
     half = window // 2
     coefficients = savgol_coefficients(window, order)
     if length < half + 1:
         raise ValueError("the series is shorter than half the window")
     keys = list(keys)
-    filled = fill_axis(series, length, keys)
+    filled = fill_axis(on_axis(series, length), length, keys)
     ends = filled.where(F.col("hour").isin(0, length - 1)).groupBy(*keys).agg(
         F.max(F.when(F.col("hour") == 0, F.col("value"))).alias("_first"),
         F.max(F.when(F.col("hour") == length - 1, F.col("value"))).alias("_last"),
@@ -77,4 +80,4 @@ def smooth(series: DataFrame, length: int, window: int, order: int = 2, keys: tu
         .where((F.col("hour") >= 0) & (F.col("hour") < length))
         .groupBy(*keys, "hour")
         .agg(F.sum("value").alias("value"))
-    ).transform(lambda smoothed: fill_axis(smoothed, length, keys))
+    ).transform(lambda smoothed: fill_axis(smoothed, length, keys, series))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from burstgraph.functions.similarity import CHUNK, chunk_correlation, ratio_term, signed_term
 from burstgraph.functions.timeaxis import in_window
-from burstgraph.operators.skew import hot_keys, join_skewed
+from burstgraph.operators.skew import hot_ends, join_skewed
 
 BLOCK_HOURS = 64
 
@@ -44,11 +44,12 @@ def _samples(edges: DataFrame, packed: DataFrame, normalise: bool, how: str) ->
     ``first`` marks one row per edge, so parallel edges can be told from samples.
     """
     joined = edges.select("src", "dst")
+    hot = hot_ends(edges)
     for end, side in (("src", "x"), ("dst", "y")):
         lookup = packed.select(
             F.col("id").alias(end), F.col("freq").alias(f"freq_{side}"), F.col("blocks").alias(f"blocks_{side}")
         )
-        joined = join_skewed(joined, lookup, end, how, hot=hot_keys(edges, end))
+        joined = join_skewed(joined, lookup, end, how, hot=hot[end])
     scale_x, scale_y = ("/ freq_x", "/ freq_y") if normalise else ("", "")
     return (
         joined.selectExpr(

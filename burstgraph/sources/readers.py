@@ -76,11 +76,14 @@ def read_signal_text(spark: SparkSession, path: str, layout: str = "lines") -> D
     """
     separators = {"lines": "\n", "concatenated": "])"}
     lines = spark.read.option("lineSep", separators[layout]).text(path)
-    record = F.regexp_extract_all("value", F.lit(r"(-?[0-9][^,\[\]()]*)"), F.lit(1))
-    parsed = lines.select(record.alias("r")).where(F.size("r") > 1)
-    values = F.slice("r", 2, F.size("r") - 1)
+    parsed = lines.select(
+        F.regexp_extract("value", r"\(\s*(-?\d+)\s*,\s*\[", 1).alias("id"),
+        F.regexp_extract("value", r"\[([^\]]*)", 1).alias("body"),
+    ).where("id <> ''")
     return (
-        parsed.select(F.element_at("r", 1).cast("long").alias("id"), F.posexplode(values).alias("hour", "value"))
+        parsed.where("trim(body) <> ''")
+        .select(F.col("id").cast("long").alias("id"), F.posexplode(F.split("body", ",")).alias("hour", "value"))
+        .withColumn("value", F.trim("value"))
         .select("id", "hour", F.col("value").cast("double").alias("value"))
         .where("value <> 0")
     )

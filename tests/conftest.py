@@ -59,5 +59,5 @@ def joins(request, monkeypatch):
     if request.param == "split":
         from burstgraph.operators import skew
 
-        monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1)
+        monkeypatch.setattr(skew, "ROWS_PER_TASK", 3)
     return request.param

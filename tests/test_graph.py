@@ -52,23 +52,22 @@ def expected_components(vertices, edges):
     return label
 
 
-@pytest.mark.parametrize("broadcast_rows, min_hot_rows", [(200_000, 10**6), (0, 10**6), (0, 1)])
-def test_components_of_random_graphs(make, rows, monkeypatch, broadcast_rows, min_hot_rows):
-    """Broadcast, shuffled and split joins give the same labels; a hub holds a third of the edges."""
-    monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast_rows)
-    rnd = random.Random(broadcast_rows + min_hot_rows)
+@pytest.mark.parametrize("rows_per_task", [10**6, 5])
+def test_components_of_random_graphs(make, rows, rows_per_task):
+    """Plain and split joins give the same labels; a hub holds a third of the edges."""
+    rnd = random.Random(rows_per_task)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(90)]
     edges += [(500, rnd.randrange(300, 345)) for _ in range(45)]
     edges += [(i, i + 1) for i in range(600, 640)]
     vertices = sorted({v for e in edges for v in e} | {999})
-    found = components.connected_components(make.ids(vertices), make.edges(edges), min_hot_rows)
+    found = components.connected_components(make.ids(vertices), make.edges(edges), rows_per_task)
     assert rows(found) == sorted(expected_components(vertices, edges).items())
 
 
-@pytest.mark.parametrize("min_hot_rows", [10**6, 1])
-def test_hop_distances(make, rows, min_hot_rows):
+@pytest.mark.parametrize("rows_per_task", [10**6, 1])
+def test_hop_distances(make, rows, rows_per_task):
     edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 1), (9, 1)]
-    found = components.hop_distances(make.edges(edges), make.ids([1]), min_hot_rows)
+    found = components.hop_distances(make.edges(edges), make.ids([1]), rows_per_task)
     assert rows(found) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]
 
 
@@ -76,19 +75,28 @@ def test_hop_distances(make, rows, min_hot_rows):
 def test_split_join_equals_join(spark, rows, how):
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "key BIGINT, n BIGINT")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (6, "c")], "key BIGINT, t STRING")
-    hot = skew.hot_keys(left, "key", min_rows=1)
-    assert hot.where("key = 1").first()["_splits"] > 100
+    hot = skew.hot_keys(left, "key", limit=2)
+    assert hot.where("key = 1").first()["_splits"] == 100
     plain = left.join(right, "key", how)
     split = skew.join_skewed(left, right, "key", how, hot=hot).select(plain.columns)
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
 
 
-def test_hot_keys_are_few(spark):
-    even = spark.range(100_000).select((F.col("id") % 50_000).alias("key"))
-    assert skew.hot_keys(even, "key", min_rows=1) is None
-    heavy = spark.range(100_000).select((F.col("id") % 500).alias("key"))
-    assert skew.hot_keys(heavy, "key", min_rows=1).count() == 500 < skew.HOT_SHARE
-    assert skew.hot_keys(heavy, "key") is None  # fewer rows than one task holds
+def test_hot_keys_go_by_rows_per_task(spark):
+    """A key far below a thousandth of the rows is split when it holds more rows than a task takes."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15, -1).otherwise(F.col("id")).alias("key"), "id")
+    hot = skew.hot_keys(rows, "key", limit=5)
+    assert [tuple(r) for r in hot.collect()] == [(-1, 3)]
+    salted = skew.salt_rows(rows, "key", hot)
+    assert salted.groupBy("key", "_salt").count().agg(F.max("count")).first()[0] <= 10
+    assert skew.hot_keys(rows, "key") is None
+
+
+def test_hot_ends_are_found_in_one_pass(make):
+    edges = make.edges([(1, k) for k in range(10)] + [(k, 2) for k in range(20, 25)])
+    hot = skew.hot_ends(edges, 4)
+    assert [tuple(r) for r in hot["src"].collect()] == [(1, 3)] and [tuple(r) for r in hot["dst"].collect()] == [(2, 2)]
+    assert skew.hot_ends(edges, 100) == {"src": None, "dst": None}
 
 
 def test_symmetrise_and_degrees(make, rows):
@@ -103,6 +111,8 @@ def test_induced_subgraph_and_labels(make, rows, joins):
     assert rows(part.vertices) == [(1, "a"), (2, "b")] and rows(part.edges) == [(1, 2, 1.0)]
     named = graph.labelled(make.ids([1, 7]), g.vertices)
     assert {tuple(r) for r in named.collect()} == {(1, "a"), (7, None)}
+    twice = g.vertices.union(make.vertices({1: "z"}))
+    assert sorted(map(tuple, graph.labelled(make.ids([1]), twice).collect())) == [(1, "a")]
 
 
 def test_stage_counts(make, rows):

@@ -72,11 +72,12 @@ def test_mute_and_sweep(make, rows):
     cluster = make.ids([1, 2, 3, 4])
     assert rows(memory.mute(cells, cluster, 2.0), "id") == [(3,), (4,), (5,)]
     assert rows(memory.mute(cells, cluster, 1.0), "id") == [(5,)]
+    assert rows(memory.mute(cells, make.ids([1, 2, 2, 3, 4, 1]), 2.0), "id") == [(3,), (4,), (5,)]
     matrix = symmetrise(make.edges([(1, 2, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1)]))
     sweep = memory.mute_sweep(matrix, cells, cluster, 1).orderBy("percent").collect()
     assert [r["percent"] for r in sweep] == [10, 20, 25, 33, 50, 66, 83, 100]
     for r in sweep:
-        alone = memory.recall(matrix, memory.mute(cells, cluster, r["divisor"]))
+        alone = memory.recall(matrix, memory.mute(cells, cluster, r["divisor"]), tie=-1)
         rate = memory.error_rates(cells, alone, cluster, matrix, 1).collect()[0]
         assert (r["miss_rate"], r["mismatch_rate"]) == (rate["miss_rate"], rate["mismatch_rate"])
 

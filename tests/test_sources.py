@@ -1,4 +1,5 @@
 import gzip
+import os
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -61,7 +62,7 @@ def test_signal_text(spark, make, tmp_path, rows, layout, text):
     assert rows(readers.read_signal_text(spark, put(tmp_path, "s.txt", text), layout)) == EXPECTED
     signal = make.signal({1: {1: 2, 2: 3.5}, 2: {0: 1}})
     out = str(tmp_path / "dump")
-    sinks.write_signal_text(signal, out, 3, layout)
+    sinks.write_signal_text(signal.repartition(1).sortWithinPartitions("id"), out, 3, layout)
     assert rows(readers.read_signal_text(spark, out, layout)) == EXPECTED
 
 
@@ -108,3 +109,15 @@ def test_shared_folder_holds_the_checkpoints(spark):
     folder = shared_folder(spark)
     assert scratch_path(spark, "x").startswith(folder)
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_signal_text_keeps_the_place_of_values_that_are_no_numbers(spark, tmp_path, rows):
+    found = readers.read_signal_text(spark, put(tmp_path, "n.txt", "(1,[0.0,NaN,3.0,Infinity,5.0])\n(-2,[])\n"))
+    assert {(r["hour"], str(r["value"])) for r in found.collect()} >= {(2, "3.0"), (4, "5.0")}
+
+
+def test_run_together_text_has_no_blanks(spark, make, tmp_path):
+    out = str(tmp_path / "together")
+    sinks.write_signal_text(make.signal({1: {1: 2}, 2: {0: 1}}).coalesce(1), out, 2, "concatenated")
+    text = "".join(open(f"{out}/{f}").read() for f in sorted(os.listdir(out)) if f.startswith("part"))
+    assert sorted(text.replace(")(", ")\n(").split("\n")) == ["(1,[0.0,2.0])", "(2,[1.0,0.0])"]
