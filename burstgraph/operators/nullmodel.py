@@ -28,18 +28,18 @@ def null_model_edges(links: DataFrame, vertices: int, seed: int) -> DataFrame:
     levels = levels_for(vertices)
     half = 2 ** (levels - 1)
     a, b, c = QUADRANTS["a"], QUADRANTS["b"], QUADRANTS["c"]
-    u = uniform_sql(["draw", "level"], seed)
+    draws = f"struct(shiftleft(1L, {levels} - level) AS bit, {uniform_sql(['draw', 'level'], seed)} AS u)"
 
     def ordinal(takes: str) -> str:
-        bit = f"if({takes}, shiftleft(1L, {levels} - level), 0L)"
-        return f"aggregate(sequence(1, {levels}), 0L, (sum, level) -> sum + {bit}) - {half}"
+        return f"aggregate(draws, 0L, (sum, d) -> sum + if({takes}, d.bit, 0L)) - {half}L"
 
     return (
         links.select("src", "dst").distinct()
         .selectExpr(f"{mixed_sql(['src', 'dst'], seed)} AS draw")
+        .selectExpr(f"transform(sequence(1, {levels}), level -> {draws}) AS draws")
         .selectExpr(
-            ordinal(f"{u} >= {a + b}") + " AS s",
-            ordinal(f"({u} >= {a} AND {u} < {a + b}) OR {u} >= {a + b + c}") + " AS t",
+            ordinal(f"d.u >= {a + b}") + " AS s",
+            ordinal(f"(d.u >= {a} AND d.u < {a + b}) OR d.u >= {a + b + c}") + " AS t",
         )
         .selectExpr("s AS src", "t AS dst")
         .where(f"src <> dst AND src >= 0 AND src < {vertices} AND dst >= 0 AND dst < {vertices}")
