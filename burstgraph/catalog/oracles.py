@@ -502,5 +502,14 @@ ORACLES.update(
             + rates("cluster", "cells", "back", N, "divisor", f"(SELECT * FROM (VALUES {DIVISOR_ROWS}) t(divisor))")
             + ") SELECT CAST(floor(100.0 / divisor) AS INTEGER) AS percent, miss_rate, mismatch_rate FROM sweep",
         ),
+        "mute_sweep_event": select(
+            [*MEMORY, "cluster AS (SELECT src AS id FROM w UNION SELECT dst FROM w)", muted("mu", MUTE_DIVISORS), recalled("all_back", "mu", -1, by="divisor"),
+             f"ev AS (SELECT * FROM cells WHERE hour >= {EVENT[0]} AND hour < {EVENT[1]})",
+             f"""back AS (SELECT divisor, id, CAST(h AS INTEGER) AS hour FROM (SELECT DISTINCT divisor, id FROM all_back
+  WHERE hour >= {EVENT[0]} AND hour < {EVENT[1]}), range({EVENT[0]}, {EVENT[1]}) t(h))"""],
+            ", sweep AS (WITH "
+            + rates("cluster", "ev", "back", EVENT[1] - EVENT[0], "divisor", f"(SELECT * FROM (VALUES {DIVISOR_ROWS}) t(divisor))")
+            + ") SELECT CAST(floor(100.0 / divisor) AS INTEGER) AS percent, miss_rate, mismatch_rate FROM sweep",
+        ),
     }
 )

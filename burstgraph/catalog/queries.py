@@ -646,6 +646,17 @@ def mute_sweep(spark, folder):
     return rates.select("percent", r6("miss_rate"), r6("mismatch_rate"))
 
 
+@query
+def mute_sweep_event(spark, folder):
+    """The sweep inside the event, with every row that recalled any of it counted as a hit."""
+    edges = learned_edges(spark, folder)
+    matrix = cut_lineage(memory.memory_matrix(edges))
+    cells = cut_lineage(memory.binarise_sigma(tables.part_signal(spark, folder), N, 2.0))
+    cluster = cut_lineage(graph.endpoint_ids(edges))
+    rates = memory.mute_sweep(matrix, cells, cluster, N, event=EVENT, row_hits=True)
+    return rates.select("percent", r6("miss_rate"), r6("mismatch_rate"))
+
+
 # Jobs ------------------------------------------------------------------------
 
 

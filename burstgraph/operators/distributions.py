@@ -50,9 +50,9 @@ def powerlaw_alpha(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     )
 
 
-def powerlaw_slope(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(slope, intercept) of ln(y) against ln(x) by least squares over the positive points."""
-    used = points.where((F.col(x) > 0) & (F.col(y) > 0)).select(
+def powerlaw_slope(points: DataFrame, x: str = "x", y: str = "y", tail: float = 0.0) -> DataFrame:
+    """(slope, intercept) of ln(y) against ln(x) by least squares over the positive points with x of at least ``tail``."""
+    used = points.where((F.col(x) > 0) & (F.col(y) > 0) & (F.col(x) >= tail)).select(
         F.ln(x).alias("lx"), F.ln(y).alias("ly")
     )
     return used.agg(

@@ -179,9 +179,20 @@ def mute_sweep(
     hours: int,
     divisors: tuple[float, ...] = MUTE_DIVISORS,
     tie: int = -1,
+    event: tuple[int, int] | None = None,
+    row_hits: bool = False,
 ) -> DataFrame:
-    """Error after muting a growing part of the cluster: all parts in one job."""
+    """Error after muting a growing part of the cluster: all parts in one job.
+
+    With an ``event`` only its hours are compared (``hours`` is not used then); with ``row_hits`` a row that recalled any
+    of its hours counts for all of them.
+    """
     muted = mute_each(cells, cluster, divisors)
     recalled = recall(matrix, muted, 1, tie, by=("divisor",))
+    if row_hits and event is None:
+        raise ValueError("row hits need an event")
+    if event is not None:
+        cells, hours = in_event(cells, *event), event[1] - event[0]
+        recalled = expand_hits(recalled, *event, by=("divisor",)) if row_hits else in_event(recalled, *event)
     rates = error_rates(cells, recalled, cluster, matrix, hours, {"divisor": divisors})
     return rates.withColumn("percent", F.floor(100.0 / F.col("divisor")).cast("int"))

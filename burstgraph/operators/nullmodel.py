@@ -16,8 +16,8 @@ def levels_for(vertices: int) -> int:
     return max(1, math.ceil(math.log2(max(2, 2 * vertices))))
 
 
-def null_model_edges(links: DataFrame, vertices: int, seed: int) -> DataFrame:
-    """One random draw per distinct row of ``links``, kept where both ends exist.
+def null_model_edges(links: DataFrame, vertices: int, seed: int, draws: int | None = None) -> DataFrame:
+    """One random draw per distinct row of ``links``, or ``draws`` numbered draws, kept where both ends exist.
 
     Each draw walks the levels of a recursive matrix over twice as many ids as
     there are vertices; the choice per level is a hash of the row's own
@@ -28,15 +28,19 @@ def null_model_edges(links: DataFrame, vertices: int, seed: int) -> DataFrame:
     levels = levels_for(vertices)
     half = 2 ** (levels - 1)
     a, b, c = QUADRANTS["a"], QUADRANTS["b"], QUADRANTS["c"]
-    draws = f"struct(shiftleft(1L, {levels} - level) AS bit, {uniform_sql(['draw', 'level'], seed)} AS u)"
+    level = f"struct(shiftleft(1L, {levels} - level) AS bit, {uniform_sql(['draw', 'level'], seed)} AS u)"
 
     def ordinal(takes: str) -> str:
         return f"aggregate(draws, 0L, (sum, d) -> sum + if({takes}, d.bit, 0L)) - {half}L"
 
+    if draws is None:
+        numbered = links.select("src", "dst").distinct()
+    else:
+        numbered = links.sparkSession.range(draws).selectExpr("id AS src", "-1L AS dst")
     return (
-        links.select("src", "dst").distinct()
+        numbered
         .selectExpr(f"{mixed_sql(['src', 'dst'], seed)} AS draw")
-        .selectExpr(f"transform(sequence(1, {levels}), level -> {draws}) AS draws")
+        .selectExpr(f"transform(sequence(1, {levels}), level -> {level}) AS draws")
         .selectExpr(
             ordinal(f"d.u >= {a + b}") + " AS s",
             ordinal(f"(d.u >= {a} AND d.u < {a + b}) OR d.u >= {a + b + c}") + " AS t",

@@ -1,4 +1,4 @@
-"""The jobs from files to files: ingest, the four ways of learning, and a cluster's signals.
+"""The jobs from files to files: ingest, the four ways of learning, a cluster's signals, recall and muting.
 
 ``store`` is the folder ``ingest`` fills: parquet tables vertices, edges and
 signal. Windows go by name or as (start, stop). Every learning job leaves
@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from burstgraph.functions.timeaxis import NAMED_WINDOWS, TOTAL_HOURS
 from burstgraph.functions.titles import exported_title
+from burstgraph.operators import memory
 from burstgraph.operators.graph import PropertyGraph
 from burstgraph.plans import learning
+from burstgraph.plans.recall import recall_difference
+from burstgraph.session import cut_lineage
 from burstgraph.sources import readers, sinks
 
 Window = str | tuple[int, int]
@@ -93,3 +96,35 @@ def cluster_signals(spark: SparkSession, signal: str, cluster: str, out: str, le
     """Write the series of a list of ids as text."""
     labels = readers.read_labels(spark, cluster)
     sinks.write_cluster_signals(readers.load_table(spark, signal), labels, out, length)
+
+
+def _pattern(
+    spark: SparkSession, weights: str, signal: str, length: int, min_weight: float, sigmas: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matrix, active cells, rows) from a src,dst,weight file and a signal table."""
+    samples = readers.load_table(spark, signal)
+    matrix = cut_lineage(memory.memory_matrix(readers.read_weighted_edges(spark, weights), min_weight))
+    cells = cut_lineage(memory.binarise_sigma(samples, length, sigmas))
+    return matrix, cells, samples.select("id").distinct()
+
+
+def recall(
+    spark: SparkSession, weights: str, signal: str, out: str, length: int = TOTAL_HOURS, window: int = 721,
+    min_weight: float = 0.0, sigmas: float = 2.0, steps: int = 1, tie: int = 1, noise: float = 0.0, seed: int = 0,
+) -> None:
+    """Recall the pattern, degraded by ``noise``, and leave tables ``curves`` and ``errors``."""
+    matrix, cells, rows = _pattern(spark, weights, signal, length, min_weight, sigmas)
+    start = memory.degrade(cells, rows, length, noise, seed) if noise else cells
+    found = cut_lineage(memory.recall(matrix, start, steps, tie))
+    sinks.save_table(recall_difference(cells, found, length, window), f"{out}/curves")
+    sinks.save_table(memory.error_rates(cells, found, cut_lineage(rows), matrix, length), f"{out}/errors")
+
+
+def mute(
+    spark: SparkSession, weights: str, signal: str, cluster: str, out: str, length: int = TOTAL_HOURS,
+    min_weight: float = 0.0, sigmas: float = 2.0, event: tuple[int, int] | None = None, row_hits: bool = False,
+) -> None:
+    """Mute growing parts of a list of ids, recall, and leave the table ``errors``."""
+    matrix, cells, _ = _pattern(spark, weights, signal, length, min_weight, sigmas)
+    ids = cut_lineage(readers.read_labels(spark, cluster).select("id"))
+    sinks.save_table(memory.mute_sweep(matrix, cells, ids, length, event=event, row_hits=row_hits), f"{out}/errors")

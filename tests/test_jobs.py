@@ -70,3 +70,15 @@ def test_cluster_signals(spark, files, store, rows):
     out = str(files / "cluster-out")
     jobs.cluster_signals(spark, f"{store}/signal", str(files / "cluster.csv"), out, 60)
     assert rows(readers.read_signal_text(spark, out).select("id").distinct()) == [(5,), (6,)]
+
+
+def test_recall_and_mute(spark, files, store, rows):
+    links = [(a, b, 1.0 + (a * b) % 3) for a in range(1, 6) for b in range(a + 1, 6)]
+    weights = files / "weights.csv"
+    weights.write_text("".join(f"{a},{b},{w}\n" for a, b, w in links))
+    jobs.recall(spark, str(weights), f"{store}/signal", str(files / "recall"), 60, window=5, sigmas=1.0)
+    assert spark.read.parquet(str(files / "recall/curves")).count() == 60
+    assert spark.read.parquet(str(files / "recall/errors")).count() == 1
+    (files / "ids.csv").write_text("1,a\n2,b\n3,c\n")
+    jobs.mute(spark, str(weights), f"{store}/signal", str(files / "ids.csv"), str(files / "mute"), 60, sigmas=1.0, event=(10, 40), row_hits=True)
+    assert rows(spark.read.parquet(str(files / "mute/errors")), "percent") == [(p,) for p in (10, 20, 25, 33, 50, 66, 83, 100)]
