@@ -80,14 +80,14 @@ def digest64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """(rows, their texts as bytes; null as empty), about ``CHUNK`` bytes of text at a time."""
+def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chunk: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(rows, their texts as bytes; null as empty), about ``chunk`` bytes of text at a time."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
         first, size = 0, 0
         lengths = [0 if n is None else n for n in pa.compute.binary_length(column).to_pylist()]
         for i, n in enumerate(lengths):
-            if size and size + n > CHUNK:
+            if size and size + n > chunk:
                 yield batch.slice(first, i - first), [x or b"" for x in column.slice(first, i - first).to_pylist()]
                 first, size = i, 0
             size += n

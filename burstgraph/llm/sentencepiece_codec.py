@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from burstgraph.llm.common import text_chunks
 from burstgraph.llm.vocabulary import MODEL, SPACE, Lattice, Pieces, by_length, load
 
-RANK_OFFSET, CACHE_WORDS = 100.0, 300_000
+RANK_OFFSET, CACHE_WORDS, ENCODE_CHUNK = 100.0, 300_000, 4 << 20
 _WORD = re.compile(rb"(?:" + SPACE + rb")*(?:(?!" + SPACE + rb").)+|(?:" + SPACE + rb")+", re.DOTALL)
 
 
@@ -98,7 +98,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(table)
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, chunk=ENCODE_CHUNK):
             ids = encode(texts)
             yield pa.RecordBatch.from_pydict(
                 {
