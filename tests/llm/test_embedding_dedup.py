@@ -53,3 +53,18 @@ def test_recall_on_the_table(spark):
     rows = [(r.vec_id, r.embedding, r.label, "", 0) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
     found = E.embedding_dedup(table(spark, rows)).collect()
     assert sum(r.n_links for r in found) >= 0.9 * sum(v[0] for v in brute(rows).values())
+
+
+@pytest.mark.parametrize("size", [16, 64])
+def test_recall_in_a_cluster_of_a_third_of_the_vectors(spark, size):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    cluster = np.sqrt(0.985) * unit(rng.normal(size=size)) + np.sqrt(0.015 / size) * rng.normal(size=(500, size))
+    vectors = np.concatenate([cluster, unit(rng.normal(size=(1000, size)))]).astype(np.float32)
+    rows = [(k, v.tolist(), 1, "n", 1) for k, v in enumerate(vectors)]
+    found = {r.vec_id: r for r in E.embedding_dedup(table(spark, rows)).collect()}
+    exact = unit(vectors.astype(float))
+    links = (exact @ exact.T >= E.COSINE).sum(axis=1) - 1
+    assert links.sum() > 100_000 and all(found[k].n_links <= links[k] for k in found)
+    assert sum(r.n_links for r in found.values()) >= 0.99 * links.sum()
+    assert sum(found[k].component_id == 0 for k in range(500)) >= 495
