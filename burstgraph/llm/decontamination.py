@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, a lossless count, then Smith-Waterman alignment.
 
-1. Every ``SEED``-word n-gram of the test items is counted in the whole corpus. An item's seeds are those n-grams whose
-   count is at most its ``RARE`` quantile, so an item keeps seeds even when its text stands in many documents.
-2. Each place where a document has a seed proposes a passage as long as the item and half as much more. Places that propose nearly the same
-   passage of an item are one.
-3. Item and passage are aligned word by word (match +2, other word -1, gap -1). The score is divided by that of a verbatim
-   copy; at ``LEAST`` or more the document holds the item.
+1. Item and passage are aligned word by word (match +2, other word -1, gap -1). The score is divided by that of a verbatim
+   copy; at ``LEAST`` or more the document holds the item. The answer is that of the alignment with the whole document.
+2. Seeds are an item's pairs of words one or two apart, sought one or two apart in the documents. Let M words match with E edits
+   between them, 2 M - E >= T. Of the M - 1 steps between matches, one without edit (neighbours in both) counts 2, one with one
+   edit 1, others 0: 2 (M - 1) - E >= T - 2 altogether, over a span of M + E <= 3 M - T words. So only passages whose seeds
+   count T - 2 within 3 size - T words are aligned, whatever the edits and however often an edited copy stands in the corpus.
+3. Seeds of more than ``COMMON`` items are left out, most common first, as far as what they could count is at most half of what
+   their item needs; it then needs that much less. So nothing is lost by it either.
 
 The items are a stated query set, taken in blocks of about ``BLOCK_BYTES`` that travel with the tasks; documents are read
 where they lie and nothing of them is shuffled, so common words or many leaks make no task larger than its input.
 
-Edge cases: null and empty texts hold nothing; items of fewer than ``SEED`` words, or null, are never found. Words are
+Edge cases: null and empty texts hold nothing; items of fewer than ``SHORTEST`` words, or null, are never found. Words are
 lower-cased (A-Z) and compared by hash. Repeated rows are judged row by row; a null id is carried along. Empty tables give
 empty results; other columns are ignored.
 """
@@ -23,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import shingle_hashes, text_chunks, words_of
+from burstgraph.llm.common import mix, text_chunks, words_of
 
-SEED, RARE, LEAST, BLOCK_BYTES = 3, 0.75, 0.5, 8 << 20
+SHORTEST, COMMON, LEAST, BLOCK_BYTES, CELLS = 3, 32, 0.5, 8 << 20, 1 << 16
 MATCH, OTHER, GAP = 2, -1, -1
 _FOUND = "doc_id BIGINT, item_id BIGINT, score DOUBLE, first_word BIGINT, last_word BIGINT"
 _START_BITS = 32
@@ -62,95 +64,103 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _items(block: DataFrame) -> tuple[list[int], list[np.ndarray]]:
     rows = block.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").collect()
     words = [words_of([r["text"].encode()])[2] for r in rows]
-    keep = [k for k, w in enumerate(words) if len(w) >= SEED]
+    keep = [k for k, w in enumerate(words) if len(w) >= SHORTEST]
     return [rows[k]["item_id"] for k in keep], [words[k] for k in keep]
 
 
-def _seed_counts(docs: DataFrame, seeds: np.ndarray) -> np.ndarray:
-    """How often each of the ascending ``seeds`` occurs in ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(seeds), dtype=np.int64)
-        for _, texts in text_chunks(batches):
-            for _, _, _, at in _seed_places(texts, seeds):
-                counts += np.bincount(at, minlength=len(seeds))
-        k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], names=["seed", "n"])
-
-    counts = np.zeros(len(seeds), dtype=np.int64)
-    found = docs.select("text").mapInArrow(run, "seed BIGINT, n BIGINT").groupBy("seed").agg(F.sum("n").alias("n"))
-    for seed, n in found.collect():  # a row per seed of the block at most
-        counts[seed] = n
-    return counts
-
-
-def _seed_places(texts: list[bytes], seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, its words, places of seeds in it, their numbers) of the texts that have any."""
-    _, _, words, at, _ = words_of(texts)
-    if len(words) < SEED or not len(seeds):
-        return
-    grams = shingle_hashes(words, SEED)  # those across two texts are dropped below
-    number = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-    place = np.flatnonzero(seeds[number] == grams)
-    text = np.searchsorted(at, place, side="right") - 1
-    inside = place + SEED <= at[text + 1]
-    place, text = place[inside], text[inside]
-    cuts = np.flatnonzero(np.diff(text, prepend=-1))
-    for a, b in zip(cuts, np.append(cuts, len(place))[1:], strict=True):
-        k = int(text[a])
-        yield k, words[at[k] : at[k + 1]], place[a:b] - at[k], number[place[a:b]]
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one ``apart`` words later."""
+    return mix(words[:-apart] * np.uint64(0xD6E8FEB86659FD93) + words[apart:])
+
+
+def _seed_table(items: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ascending seeds, first entry of each, item and whether neighbours there by entry, what the items' seeds must count)."""
+    pairs = [(_pairs(w, 1), _pairs(w, 2)) for w in items]
+    keys = [np.unique(np.concatenate(p)) for p in pairs]
+    known, owners = np.unique(np.concatenate(keys), return_counts=True)
+    need, kept, near = need.copy(), [], []
+    for k, (one, two) in enumerate(pairs):
+        shared = owners[np.searchsorted(known, keys[k])]
+        lost, out = np.zeros(len(one), dtype=np.int64), []  # by place in the item: what a step from there could count
+        for key in keys[k][np.argsort(-shared, kind="stable")][: (shared > COMMON).sum()]:
+            more = np.maximum(lost, 2 * (one == key))
+            more[:-1] = np.maximum(more[:-1], two == key)
+            if more.sum() <= need[k] // 2:
+                lost = more
+                out.append(key)
+        need[k] -= lost.sum()
+        kept.append(np.setdiff1d(keys[k], np.array(out, dtype=np.uint64)))
+        near.append(np.isin(kept[-1], one))
+    owner, seed = np.repeat(np.arange(len(items)), [len(x) for x in kept]), np.concatenate(kept)
+    order = np.argsort(seed, kind="stable")
+    seeds, first = np.unique(seed[order], return_index=True)
+    return seeds, np.append(first, len(seed)), owner[order], np.concatenate(near)[order], need
 
 
 def _block_matches(docs: DataFrame, ids: list[int], items: list[np.ndarray], least: float) -> DataFrame:
-    grams = [shingle_hashes(w, SEED) for w in items]
-    all_grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-    counts = _seed_counts(docs, all_grams) if len(all_grams) else np.zeros(0, np.int64)
-    owner, offset, seed = [], [], []
-    for k, g in enumerate(grams):
-        n = counts[np.searchsorted(all_grams, g)]
-        rare = np.flatnonzero(n <= np.quantile(n, RARE, method="higher"))
-        owner.append(np.full(len(rare), k))
-        offset.append(rare)
-        seed.append(g[rare])
-    owner, offset, seed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, offset, seed))
-    order = np.argsort(seed, kind="stable")
-    owner, offset, seed = owner[order], offset[order], seed[order]
-    seeds, first = np.unique(seed, return_index=True)
-    first = np.append(first, len(seed))
-
-    def proposals(places: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int]]:
-        """(item, first word it would have in the document), nearly equal ones merged."""
-        reps = first[numbers + 1] - first[numbers]
-        entry = np.repeat(first[numbers] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-        item, begin = owner[entry], np.repeat(places, reps) - offset[entry]
-        order = np.lexsort((begin, item))
-        merged: list[tuple[int, int]] = []
-        for k, b in zip(item[order].tolist(), begin[order].tolist(), strict=True):
-            if not merged or merged[-1][0] != k or b - merged[-1][1] > len(items[k]) // 8:
-                merged.append((k, b))
-        return merged
+    sizes = np.array([len(w) for w in items], dtype=np.int64)
+    wanted = np.ceil(least * MATCH * sizes - 1e-9).astype(np.int64)
+    spans = 3 * sizes - wanted
+    seeds, first, owner, near, need = _seed_table(items, np.maximum(1, wanted - 2)) if items else (np.zeros(0, np.uint64),) * 5
+
+    def passages(words: np.ndarray, at: np.ndarray, maybe: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, text number, first word, end) of what is to be aligned."""
+        item, place, count = [], [], []
+        for apart in (1, 2):
+            grams = _pairs(words, apart)
+            here = np.flatnonzero(maybe[grams >> np.uint64(44)])
+            number = np.minimum(np.searchsorted(seeds, grams[here]), len(seeds) - 1)
+            inside = (seeds[number] == grams[here]) & (here + apart < at[np.searchsorted(at, here, side="right")])
+            here, number = here[inside], number[inside]
+            reps = first[number + 1] - first[number]
+            entry = np.repeat(first[number] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+            item.append(owner[entry])
+            place.append(np.repeat(here, reps))
+            count.append(1 + near[entry] if apart == 1 else np.ones(len(entry), dtype=np.int64))
+        item, place, count = (np.concatenate(x) for x in (item, place, count))
+        if not len(item):
+            return
+        step = len(words) + 1
+        key = item * step + place
+        order = np.lexsort((-count, key))  # a place counts once for an item, by its best pair
+        key, count = key[order], count[order]
+        best = np.diff(key, prepend=-1) > 0
+        key, count = key[best], count[best]
+        item, place = key // step, key % step
+        text = np.searchsorted(at, place, side="right") - 1
+        end = np.minimum(place + spans[item], at[text + 1])
+        total = np.append(0, np.cumsum(count))
+        dense = total[np.searchsorted(key, item * step + end)] - total[:-1] >= need[item]
+        item, place, text, end = item[dense], place[dense], text[dense], end[dense]
+        if not len(item):
+            return
+        begin = np.maximum(place - spans[item], at[text])  # seeds left out may stand before
+        new = (np.diff(item, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0) | (begin >= np.append(0, end[:-1]))
+        yield from zip(item[new].tolist(), text[new].tolist(), begin[new].tolist(), end[np.append(new[1:], True)].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.zeros(1 << 20, dtype=bool)
+        maybe[seeds >> np.uint64(44)] = True
         for rows, texts in text_chunks(batches):
             doc_ids, tasks = rows.column(0).cast(pa.int64()).to_pylist(), {}
-            for k, words, places, numbers in _seed_places(texts, seeds):
-                for item, begin in proposals(places, numbers):
-                    tasks.setdefault(item, []).append((k, words, begin))
+            _, _, words, at, _ = words_of(texts)
+            for item, k, begin, end in passages(words, at, maybe) if len(seeds) and len(words) > 1 else ():
+                tasks.setdefault(item, []).append((end - begin, k, begin))
             out = {}
-            for item, wanted in tasks.items():
-                size = len(items[item])
-                margin = size // 4 + 2
-                for part in range(0, len(wanted), 512):
-                    some = wanted[part : part + 512]
-                    passages = np.zeros((len(some), size + 2 * margin), dtype=np.uint64)
-                    begins = np.array([max(0, b - margin) for _, _, b in some])
-                    for r, ((_, words, _), b) in enumerate(zip(some, begins, strict=True)):
-                        cut = words[b : b + passages.shape[1]]
-                        passages[r, : len(cut)] = cut
-                    scores, starts, stops = align(items[item], passages)
-                    for r in np.flatnonzero(scores >= least * MATCH * size):
-                        name = (some[r][0], ids[item])
-                        out[name] = max(out.get(name, (0.0, 0, 0)), (scores[r] / (MATCH * size), int(begins[r] + starts[r]), int(begins[r] + stops[r])))
+            for item, found in tasks.items():
+                found.sort()
+                while found:
+                    width = found[-1][0]  # the widest left, with others as far as the cells go
+                    count = max(1, CELLS // width)
+                    some, found = found[-count:], found[:-count]
+                    cut = np.zeros((len(some), width), dtype=np.uint64)
+                    for r, (n, _, begin) in enumerate(some):
+                        cut[r, :n] = words[begin : begin + n]
+                    scores, starts, stops = align(items[item], cut)
+                    for r in np.flatnonzero(scores >= wanted[item]):
+                        _, k, begin = some[r]
+                        name, begin = (k, ids[item]), begin - at[k]
+                        out[name] = max(out.get(name, (0.0, 0, 0)), (scores[r] / (MATCH * sizes[item]), int(begin + starts[r]), int(begin + stops[r])))
             found = [(doc_ids[k], item, *best) for (k, item), best in out.items()]
             columns = list(zip(*found, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

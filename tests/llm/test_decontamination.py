@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import burstgraph.llm.decontamination as D
 
@@ -64,3 +65,32 @@ def test_blocks_and_empty_tables(spark, documents, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in D.benchmark_matches(docs, benchmark).collect()) == [(k, k) for k in range(6)]
     assert D.benchmark_matches(documents([]), benchmark).collect() == []
     assert D.benchmark_matches(docs, benchmark.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("common", [32, 0])
+def test_hot_edited_copies_against_full_alignment(spark, documents, words, monkeypatch, common):
+    monkeypatch.setattr(D, "COMMON", common)
+    rng = random.Random(12)
+    items = [(k, " ".join(words(rng, n, 300))) for k, n in enumerate((3, 10, 10, 12, 15, 15, 20, 30, 40))]
+    benchmark = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    texts = ["a b", "a"]
+    for _, text in items:
+        item = text.split()
+        variants = [[f"x{n}" if n % every == every - 1 else w for n, w in enumerate(item)] for every in (3, 4)]  # words replaced
+        variants += [[w for n, w in enumerate(item) if n % every != 1] for every in (3, 4)]  # words missing
+        variants += [[x for n, w in enumerate(item) for x in ((w, f"y{n}") if n % every == 0 else (w,))] for every in (1, 2)]  # words put in
+        for _ in range(10):
+            gone = rng.sample(range(len(item)), len(item) // 3)
+            variants.append([f"z{n}" if n in gone else w for n, w in enumerate(item)])
+        for v in variants:
+            texts.append(" ".join([*words(rng, 20, 300), *v, *words(rng, 20, 300)]))
+    rows = [(k, t) for k, t in enumerate(texts * 3)]  # every edited copy stands in several documents
+    want = set()
+    for k, t in rows:
+        for i, text in items:
+            (item, doc) = (D.words_of([x.encode()])[2] for x in (text, t))
+            score = int(D.align(item, doc[None])[0][0])
+            if score >= len(item):
+                want.add((k, i, score / (2 * len(item))))
+    found = D.benchmark_matches(documents(rows), benchmark).collect()
+    assert len(want) > 300 and {(r.doc_id, r.item_id, r.score) for r in found} == want and len(found) == len(want)
