@@ -1,15 +1,14 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
 p(w | u) = a c(uw)/c(u) + b c(w)/N + (1 - a - b)/(V + 1), with a and b by bucket of the context's frequency c(u), counted in the
-training documents. The weights are learned by expectation-maximisation on held-out counts: every ``EM_EVERY``-th home scores its
-own training documents with each document's counts taken away.
+training documents. The weights are learned by expectation-maximisation on held-out counts: every home scores its own training
+documents with each document's counts taken away.
 
 How counts reach the texts without a table of all words anywhere: documents are laid out by home (a hash of doc_id, about
 ``HOME_BYTES`` of text each, packed and compressed). A home sends its distinct words and bigrams, sorted, to hash
 ranges; a range adds up the counts and sends each home back just the numbers, in the order of its request. The home then reads its
 texts again and fills them in. A word that all documents share enters a range once per home. Requests grow with the corpus;
-nothing is capped. Words have 64-bit hashes, bigrams ``BIGRAM_BITS``: about one bigram in a thousand meets another at 10**9
-tokens.
+nothing is capped. Words and bigrams have 64-bit hashes.
 
 Edge cases: null and empty texts are one end token. Rows with a null doc_id are scored but not learned from. Rows repeating a
 doc_id are learned from and scored one by one. With no training documents, base_score uses c = N = V = 0 and so does score. Other columns
@@ -27,10 +26,9 @@ from pyspark.sql import functions as F
 from burstgraph.llm.common import mix, park, text_chunks, words_of
 from burstgraph.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
 
-HOME_BYTES, EM_EVERY, ROUNDS, BIGRAM_BITS, GRID = 8 << 20, 7, 30, 40, 16
+HOME_BYTES, ROUNDS, GRID = 8 << 20, 30, 16
 FOLDS, HELD_OUT = 7, 2
 START, END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5B)
-_BITS = (64, BIGRAM_BITS)
 _REQUEST = "kind INT, part BIGINT, home BIGINT, data BINARY"
 _ANSWER = "home BIGINT, kind INT, part BIGINT, data BINARY, types BIGINT, tokens BIGINT"
 _SCORES = "doc_id BIGINT, n_tokens BIGINT, n_known BIGINT, base_score DOUBLE, score DOUBLE"
@@ -82,7 +80,7 @@ class Home:
         context[self.begins] = START
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = np.array([i is not None and not held_out(i) for i in self.ids], dtype=bool)
-        bigrams = mix(context * np.uint64(0xD6E8FEB86659FD93) + words) >> np.uint64(64 - BIGRAM_BITS)
+        bigrams = mix(context * np.uint64(0xD6E8FEB86659FD93) + words)
         self.words, number = np.unique(np.concatenate([words, context]), return_inverse=True)
         self.word, self.context = number[: len(words)], number[len(words) :]
         self.bigrams, self.bigram = np.unique(bigrams, return_inverse=True)
@@ -95,8 +93,8 @@ class Home:
         return words, np.bincount(self.bigram, weight, len(self.bigrams)).astype(np.int64)
 
 
-def _starts(parts: int, bits: int) -> np.ndarray:
-    return np.array([-(-(p << bits) // parts) for p in range(parts)], dtype=np.uint64)
+def _starts(parts: int) -> np.ndarray:
+    return np.array([-(-(p << 64) // parts) for p in range(parts)], dtype=np.uint64)
 
 
 def _requests(placed: DataFrame, parts: int) -> DataFrame:
@@ -104,7 +102,7 @@ def _requests(placed: DataFrame, parts: int) -> DataFrame:
         name, home = group.column("home")[0].as_py(), Home(group.column("data").to_pylist())
         rows = []
         for kind, (types, counts) in enumerate(zip((home.words, home.bigrams), home.counts(), strict=True)):
-            cuts = np.append(np.searchsorted(types, _starts(parts, _BITS[kind])), len(types))
+            cuts = np.append(np.searchsorted(types, _starts(parts)), len(types))
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
                     rows.append((kind, p, name, zlib.compress(pack_sorted(types[a:b]) + pack(counts[a:b]), 1)))
@@ -215,8 +213,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     answers = park(_answers(_requests(placed, count)), "lm-answers")
     types, tokens = (x or 0 for x in answers.where("home = -1").agg(F.sum("types"), F.sum("tokens")).first())
     answers = answers.where("home >= 0").select("home", "kind", "part", "data")
-    some = f"home % {EM_EVERY} = 3"
-    cells = _cells(placed.where(some), answers.where(some), types, tokens).collect()  # bounded by the grid
+    cells = _cells(placed, answers, types, tokens).collect()  # bounded by the grid
     weights = mixture_weights(np.array([tuple(c) for c in cells], dtype=np.int64).reshape(-1, 4), types)
 
     def run(texts: pa.Table, own: pa.Table) -> pa.Table:

@@ -57,3 +57,36 @@ def test_empty_and_nothing_to_learn(documents):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     rows = [(held, "a b"), (None, None)]
     check(rows, L.lm_scores(documents(rows)).collect())
+
+
+def test_every_training_document_gives_held_out_events(documents, words):
+    rng = random.Random(7)
+    rows = [(k, " ".join(words(rng, rng.randrange(1, 40), 30))) for k in range(12)]
+    train = {i: tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    ones, twos, befores = collections.Counter(), collections.Counter(), collections.Counter()
+    of = lambda t: list(zip(["", *t[:-1]], t, strict=True))
+    for t in train.values():
+        ones.update(t)
+        twos.update(of(t))
+        befores.update(["", *t[:-1]])
+    n, v = sum(ones.values()), len(ones)
+    bucket = lambda c: c.bit_length()
+    grid = lambda p: round(L.GRID * math.log2(p)) if p > 0 else 1
+    cells = collections.Counter()
+    for t in train.values():
+        own, own_one, own_two = collections.Counter(["", *t[:-1]]), collections.Counter(t), collections.Counter(of(t))
+        for u, w in of(t):
+            c = befores[u] - own[u]
+            cells[bucket(c), grid((twos[u, w] - own_two[u, w]) / c if c else 0), grid((ones[w] - own_one[w]) / (n - len(t)))] += 1
+    weights = L.mixture_weights(np.array([(*k, x) for k, x in cells.items()]), v)
+    for r in L.lm_scores(documents(rows)).collect():
+        want = 0.0
+        for u, w in of(tokens(dict(rows)[r.doc_id])):
+            a, b, c = weights[bucket(befores[u])]
+            want += math.log10(min(1.0, a * (twos[u, w] / befores[u] if befores[u] else 0) + b * ones[w] / n + c / (v + 1)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
+def test_bigrams_have_whole_hashes(documents):
+    blobs = [bytes(r.data) for r in L.homes(documents([(k, f"some words of text {k}") for k in range(50)]), 1).collect()]
+    assert L.Home(blobs).bigrams.max() >= 2**63
