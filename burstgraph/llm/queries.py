@@ -39,7 +39,7 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_documents(_table(spark, folder, "documents"))
-    return encoded.select("doc_id", "n_pieces", F.xxhash64("piece_ids").alias("ids_hash"), "round_trip")
+    return encoded.select("doc_id", "n_pieces", "piece_ids", F.xxhash64("piece_ids").alias("ids_hash"), "round_trip")
 
 
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

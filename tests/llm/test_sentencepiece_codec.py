@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 import burstgraph.llm.sentencepiece_codec as C
+from burstgraph.llm.queries import QUERIES
 from burstgraph.llm.vocabulary import SPACE, load
 
 TEXTS = ["", " ", "  two  spaces ", "Hello, world!", "naïve ÜBER 漢字 😀\n\ttabs\r\n", "a" * 500, "x\0y", "=" * 64, "the the the"]
@@ -58,3 +59,11 @@ def test_documents_there_and_back(documents):
 def test_the_table(spark):
     found = C.encode_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert found and all(r.round_trip for r in found)
+
+
+def test_the_query_returns_ids_that_give_the_texts_back(spark):
+    folder = "/root/testdata/sf0.001"
+    encoded = QUERIES["op5_sentencepiece"](spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
+    assert all(r.n_pieces == len(r.piece_ids) for r in encoded.collect())
+    assert sorted(map(tuple, C.decode_documents(encoded).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
