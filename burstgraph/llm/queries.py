@@ -15,6 +15,7 @@ from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import suffix_dedup
 from burstgraph.llm.token_counts import edited_counts
 from burstgraph.llm.url_filter import url_verdicts
+from burstgraph.llm.window_dedup import cut_windows
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +63,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id(_table(spark, folder, "documents"))
 
 
+def op11_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = cut_windows(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_window_dedup": op11_window_dedup,
 }
 
 ORACLES: dict[str, str] = {}
