@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from burstgraph.llm.common import CHUNK, SEPARATORS, mix, powers, prefix_sums, span_hashes, text_chunks
 from burstgraph.llm.exchange import pack, pack_sorted, unpack, unpack_sorted
-from burstgraph.llm.id_filter import split_rows
+from burstgraph.llm.id_marks import divide
 from burstgraph.session import cut_lineage
 
 WINDOW, LEAST, CELL = 13, 1_000_000, 100
@@ -264,7 +264,7 @@ def cut_windows(docs: DataFrame, size: int = WINDOW, least: int = LEAST, cell: i
     parts = max(32, -(-total // (6 * flush)))
     answers = settle(meet(send(docs.where("doc_id IS NOT NULL"), parts, flush, size)))
     late = cut_lineage(answers)
-    whole, open_rows = split_rows(docs, late.select(F.col("id").alias("doc_id")), "doc_id")
+    whole, open_rows = divide(docs, late.select(F.col("id").alias("doc_id")), "doc_id")
     merged = late.groupBy("id", "text_key").agg(F.max("windows").alias("windows"))  # equal rows have equal answers in every flush
     met = open_rows.alias("d").join(
         merged.alias("w"), F.expr("d.doc_id = w.id AND d.text_key = w.text_key"), "left"
