@@ -14,6 +14,7 @@ from burstgraph.llm.lm_scoring import lm_scores
 from burstgraph.llm.quality_classifier import quality_scores
 from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import suffix_dedup
+from burstgraph.llm.token_alignment import token_alignment
 from burstgraph.llm.token_counts import edited_counts
 from burstgraph.llm.url_filter import url_verdicts
 from burstgraph.llm.window_dedup import cut_windows
@@ -69,6 +70,10 @@ def op11_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment(_table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = _table(spark, folder, "conversations")
     return repair_reports(damaged(rows), rows)
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_window_dedup": op11_window_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
