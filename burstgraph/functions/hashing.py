@@ -23,13 +23,26 @@ def mixed(keys: list[Column], seed: int) -> Column:
     return (h * LAST % P1 * A2 + C1) % P2
 
 
+def absorb_sql(state: str, key: str) -> str:
+    """The hash's state after one more key."""
+    state = f"((({state} + CAST({key} AS BIGINT) % {P1}) * {A1} + {C1}) % {P1})"
+    return f"(({state} * {A2} + {C2}) % {P2})"
+
+
+def finish_sql(state: str) -> str:
+    return f"(({state} * {LAST} % {P1} * {A2} + {C1}) % {P2})"
+
+
+def start_sql(seed: int) -> str:
+    return f"CAST({seed % P1} AS BIGINT)"
+
+
 def mixed_sql(keys: list[str], seed: int) -> str:
     """The same expression as DuckDB text."""
-    h = f"CAST({seed % P1} AS BIGINT)"
+    h = start_sql(seed)
     for key in keys:
-        h = f"((({h} + CAST({key} AS BIGINT) % {P1}) * {A1} + {C1}) % {P1})"
-        h = f"(({h} * {A2} + {C2}) % {P2})"
-    return f"(({h} * {LAST} % {P1} * {A2} + {C1}) % {P2})"
+        h = absorb_sql(h, key)
+    return finish_sql(h)
 
 
 def uniform(keys: list[Column], seed: int) -> Column:

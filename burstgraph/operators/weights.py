@@ -1,21 +1,17 @@
 """Edge weights from the series of the two ends.
 
-Each series is packed once per vertex and travels to the edge as one value: two
-lookups bring both series to the edge, against the (edge x hour) rows that a
-join on (id, hour) would shuffle and sort. There the samples are unrolled and
-matched inside the same generated code, and the sums per edge combine before
-their shuffle. A series is packed as blocks of hours, so finding the other
-end's sample costs at most a block and not the whole axis.
+Each series is packed once per vertex, as arrays, and sent to the cells of a grid that hold one of the vertex's links
+(``operators.grid``): no exchange carries a series per link, and parallel links are weighed once.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.functions.similarity import CHUNK, chunk_correlation, ratio_term, signed_term
+from burstgraph.functions.similarity import CHUNK
 from burstgraph.functions.timeaxis import in_window
-from burstgraph.operators.skew import hot_ends, join_skewed
+from burstgraph.operators.grid import chunked_correlation, grid_weights, pack_series, ratio_sum, signed_sum
 
-BLOCK_HOURS = 64
+BLOCK_HOURS, _COPIES = 64, 100_000
 
 
 def pack_blocks(signal: DataFrame, start: int | None, stop: int | None, floor: float | None) -> DataFrame:
@@ -38,48 +34,15 @@ def pack_blocks(signal: DataFrame, start: int | None, stop: int | None, floor: f
     )
 
 
-def _samples(edges: DataFrame, packed: DataFrame, normalise: bool, how: str) -> DataFrame:
-    """(src, dst, first, hour, x, y): the source's samples with the destination's at the same hour.
-
-    ``first`` marks one row per edge, so parallel edges can be told from samples.
-    """
-    joined = edges.select("src", "dst")
-    hot = hot_ends(edges)
-    for end, side in (("src", "x"), ("dst", "y")):
-        lookup = packed.select(
-            F.col("id").alias(end), F.col("freq").alias(f"freq_{side}"), F.col("blocks").alias(f"blocks_{side}")
-        )
-        joined = join_skewed(joined, lookup, end, how, hot=hot[end])
-    scale_x, scale_y = ("/ freq_x", "/ freq_y") if normalise else ("", "")
-    return (
-        joined.selectExpr(
-            "src", "dst", "freq_x", "freq_y", "blocks_y", "posexplode_outer(blocks_x) AS (block_pos, block, samples_x)"
-        )
-        .selectExpr(
-            "src", "dst", "freq_x", "freq_y", "block_pos", "blocks_y[block] AS samples_y",
-            "posexplode_outer(samples_x) AS (pos, hour, a)",
-        )
-        .selectExpr("src", "dst", "freq_x", "freq_y", "block_pos", "pos", "hour", "a", "samples_y[hour] AS b")
-        .selectExpr(
-            "src", "dst", "coalesce(block_pos, 0) = 0 AND coalesce(pos, 0) = 0 AS first", "hour",
-            f"a {scale_x} AS x", f"b {scale_y} AS y",
-        )
-        .where("first OR y IS NOT NULL")
-    )
-
-
-def _per_edge(samples: DataFrame, *aggregates: Column) -> DataFrame:
-    """Aggregate per (src, dst) with the number of parallel edges as ``copies``."""
-    return samples.groupBy("src", "dst").agg(F.count_if("first").alias("copies"), *aggregates)
+def _samples(signal: DataFrame, start: int | None, stop: int | None, floor: float | None = None) -> DataFrame:
+    kept = signal.where(in_window(F.col("hour"), start, stop))
+    return kept if floor is None else kept.where(F.col("value") > floor)
 
 
 def _one_row_per_copy(weighed: DataFrame) -> DataFrame:
-    return weighed.selectExpr("src", "dst", "weight", "explode(array_repeat(0, int(copies))) AS _copy").drop("_copy")
-
-
-def _summed(edges: DataFrame, packed: DataFrame, term: Column, normalise: bool, how: str) -> DataFrame:
-    total = _per_edge(_samples(edges, packed, normalise, how), F.sum(term).alias("total"))
-    return total.selectExpr("src", "dst", "copies", "total / copies AS weight")
+    """A link's copies are counted out in steps, so no row ever holds an array of all of them."""
+    steps = weighed.selectExpr("src", "dst", "weight", "copies", f"explode(sequence(0L, copies - 1, {_COPIES}L)) AS _from")
+    return steps.selectExpr("src", "dst", "weight", f"explode(sequence(_from, least(_from + {_COPIES}L, copies) - 1)) AS _copy").drop("_copy")
 
 
 def hebb_weights(
@@ -99,47 +62,25 @@ def hebb_weights(
     vertex with at most ``min_weight`` samples cannot have a heavier edge and is
     left out before the join; this is exact.
     """
-    packed = pack_blocks(signal, start, stop, floor)
-    term = ratio_term(F.col("x"), F.col("y"), lam)
-    if min_weight is None or min_weight < 0:
-        weighed = _summed(edges, packed, term, normalise, "left")
-        if min_weight is not None:
-            weighed = weighed.where(F.col("weight") > min_weight)
-    else:
-        packed = packed.where(F.col("freq") > min_weight)
-        weighed = _summed(edges, packed, term, normalise, "inner").where(F.col("weight") > min_weight)
+    packed = pack_series(_samples(signal, start, stop, floor))
+    keep_all = min_weight is None or min_weight < 0
+    if not keep_all:
+        packed = packed.where(F.size("hours") > min_weight)
+    weighed = grid_weights(edges, packed, ratio_sum(lam), normalise, keep_all)
+    if min_weight is not None:
+        weighed = weighed.where(F.col("weight") > min_weight)
     return _one_row_per_copy(weighed)
 
 
 def signed_weights(edges: DataFrame, signal: DataFrame, normalise: bool = True) -> DataFrame:
     """Ratios above one half minus the others, over the whole axis."""
-    packed = pack_blocks(signal, None, None, None)
-    return _one_row_per_copy(_summed(edges, packed, signed_term(F.col("x"), F.col("y")), normalise, "left"))
+    return _one_row_per_copy(grid_weights(edges, pack_series(signal), signed_sum, normalise, True))
 
 
 def correlation_weights(edges: DataFrame, signal: DataFrame, start: int, stop: int) -> DataFrame:
-    """Chunked correlation over the open window.
+    """Chunked correlation over the open window: an edge's common hours in order, cut into chunks of ``CHUNK``.
 
-    The common hours of an edge are ranked in time and summed per chunk; the
-    window, the chunks and the edges all group on (src, dst), so one shuffle
-    serves the three. A group holds at most the window's hours. Dividing a
-    series by its frequency cancels out, so values stay as they are.
+    Dividing a series by its frequency cancels out, so values stay as they are.
     """
-    edge = Window.partitionBy("src", "dst")
-    ranked = (
-        _samples(edges, pack_blocks(signal, start, stop, None), False, "left")
-        .withColumn("copies", F.count_if("first").over(edge))
-        .withColumn("n", F.count("y").over(edge) / F.col("copies"))
-        .withColumn("rank", F.dense_rank().over(edge.orderBy(F.col("y").isNull(), "hour")))
-    )
-    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.col("y")
-    chunks = ranked.groupBy("src", "dst", "copies", "n", F.floor((F.col("rank") - 1) / CHUNK).alias("chunk")).agg(
-        *[
-            (F.sum(term) / F.col("copies")).alias(name)
-            for name, term in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))
-        ]
-    )
-    weighed = chunks.groupBy("src", "dst", "copies").agg(
-        F.sum(F.coalesce(chunk_correlation(F.col("n")), F.lit(0.0))).alias("weight")
-    )
-    return _one_row_per_copy(weighed)
+    packed = pack_series(_samples(signal, start, stop))
+    return _one_row_per_copy(grid_weights(edges, packed, chunked_correlation(CHUNK), False, True))

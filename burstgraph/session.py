@@ -43,3 +43,13 @@ def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """
     seen = Observation()
     return cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"))), seen.get["rows"]
+
+
+def store(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df``, computed and written once as column files in the shared folder and read from there.
+
+    A checkpoint computes its last stage twice; this is for rows that are dear to make. Partitioning and order are not kept.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from burstgraph.operators import weights
+from burstgraph.operators import grid, weights
 from burstgraph.operators.pairs import similar_pairs
 
 A = {1: 2, 2: 4, 3: 8, 5: 1}
@@ -116,3 +116,34 @@ def test_similar_pairs_against_all_pairs(make, joins, min_weight, block_rows, no
 def test_pairs_need_a_minimum(make):
     with pytest.raises(ValueError):
         similar_pairs(make.signal({1: A}), 0, 6, -1.0)
+
+
+@pytest.mark.parametrize("samples", [60, 400, 4_000_000])
+def test_grid_with_a_hot_vertex_and_parallel_links(make, samples):
+    """Vertex 0 has a third of all links; every seventh link stands three times."""
+    series = random_series(3, 80, 60, {7})
+    series[5] = {}
+    links = [(0, b) for b in range(1, 80)] + [(a, (a * 7 + k) % 80) for a in range(80) for k in (1, 3)] + [(200, 1)]
+    edges = [e for k, e in enumerate(links) for _ in range(3 if k % 7 == 0 else 1)]
+    packed = grid.pack_series(make.signal(series))
+    found = grid.grid_weights(make.edges(edges), packed, grid.ratio_sum(0.5), False, True, samples).collect()
+    assert {(r["src"], r["dst"]): r["copies"] for r in found} == {e: edges.count(e) for e in set(edges)}
+    for r in found:
+        known = r["src"] in series and r["dst"] in series
+        assert r["weight"] == pytest.approx(brute(series, r["src"], r["dst"], -1, 60, False, 0.5) if known else 0.0)
+
+
+def test_no_series_is_shuffled_per_link(make):
+    """The plan has no exchange by one end that carries a series, and parallel links meet before any series."""
+    weighed = weights.hebb_weights(make.edges([(1, 2), (1, 2), (2, 3)]), make.signal({1: A, 2: B}), 0, 6)
+    assert sorted(r["weight"] for r in weighed.collect()) == [0.0, 1.0, 1.0]
+    plan = weighed._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("hashpartitioning(src" in x or "hashpartitioning(dst" in x for x in exchanges)
+    assert "map<" not in weighed._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_parallel_links_are_counted_out(spark):
+    weighed = spark.createDataFrame([(1, 2, 250_001, 0.5), (3, 4, 1, 0.25)], "src BIGINT, dst BIGINT, copies BIGINT, weight DOUBLE")
+    counts = {r["src"]: r["count"] for r in weights._one_row_per_copy(weighed).groupBy("src").count().collect()}
+    assert counts == {1: 250_001, 3: 1}
