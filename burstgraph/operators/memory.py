@@ -50,9 +50,12 @@ def _grid(ids: DataFrame, length: int) -> DataFrame:
 
 def degrade(cells: DataFrame, ids: DataFrame, length: int, noise: float, seed: int) -> DataFrame:
     """Flip every cell of the grid with probability ``noise``, by a hash of the cell."""
-    marked = _grid(ids, length).join(cells.withColumn("_on", F.lit(True)), ["id", "hour"], "left")
-    flip = uniform([F.col("id"), F.col("hour")], seed) < noise
-    return marked.where(F.coalesce("_on", F.lit(False)) != flip).select("id", "hour")
+    # What is shuffled is the flips and the active cells; the grid is only counted through.
+    flips = _grid(ids, length).where(uniform([F.col("id"), F.col("hour")], seed) < noise)
+    inside = cells.where((F.col("hour") >= 0) & (F.col("hour") < length)).join(ids.select("id").distinct(), "id", "left_semi")
+    tagged = inside.select("id", "hour", F.lit(False).alias("_flip")).union(flips.select("id", "hour", F.lit(True).alias("_flip")))
+    once = tagged.groupBy("id", "hour").agg(F.min("_flip").alias("_least"), F.max("_flip").alias("_most"))
+    return once.where("_least = _most").select("id", "hour")
 
 
 def random_cells(ids: DataFrame, length: int, share: float, seed: int) -> DataFrame:
@@ -125,51 +128,58 @@ def expand_hits(cells: DataFrame, start: int, stop: int, by: tuple[str, ...] = (
     return in_event(cells, start, stop).select(*by, "id").distinct().select(*by, "id", hours)
 
 
-def error_rates(
-    original: DataFrame,
-    recalled: DataFrame,
-    rows: DataFrame,
-    matrix: DataFrame,
-    hours: int,
-    by: dict[str, tuple] | None = None,
-) -> DataFrame:
-    """(by, miss_rate, mismatch_rate) over the given rows and ``hours`` hours.
+def _rates(cells: DataFrame, marks: list[str], rows: DataFrame, matrix: DataFrame, hours: int) -> DataFrame:
+    """One row of rates: ``miss_rate`` and ``mismatch_rate`` arrays, an entry per mark.
 
-    Miss rate: originally active cells that are not active any more. Mismatch
-    rate: all cells that differ; every cell of a row without neighbours does,
-    because it is 0. ``by`` names the experiment columns and their values.
+    ``cells`` has a row per cell that is active originally (``_in``) or after a recall (one boolean column per mark). Cells are counted
+    per row first, so the list of rows and the matrix are read once and met once.
     """
-    by = by or {}
-    names = list(by)
-    ids = rows.select("id").distinct()
-    mine = original.join(ids, "id", "left_semi").withColumn("_in", F.lit(1))
-    theirs = recalled.join(ids, "id", "left_semi")
-    hits = theirs.join(mine, ["id", "hour"], "left").groupBy(*names).agg(
-        F.count(F.lit(1)).alias("_recalled"), F.count("_in").alias("_hits")
+    inside = F.coalesce("_in", F.lit(False))
+    counts = [F.count_if(inside).alias("_original")]
+    for mark in marks:
+        counts += [F.count_if(F.col(mark)).alias(f"_n{mark}"), F.count_if(F.col(mark) & inside).alias(f"_hit{mark}")]
+    linked = matrix.select(F.col("src").alias("id")).distinct().withColumn("_linked", F.lit(True))
+    of_row = rows.select("id").distinct().join(linked, "id", "left").join(cells.groupBy("id").agg(*counts), "id", "left")
+    alone = F.col("_linked").isNull()
+    total = of_row.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(alone).alias("_isolated"),
+        F.coalesce(F.sum("_original"), F.lit(0)).alias("_original"),
+        F.coalesce(F.sum(F.when(alone, F.col("_original"))), F.lit(0)).alias("_lost"),
+        *[F.coalesce(F.sum(f"_{kind}{mark}"), F.lit(0)).alias(f"_{kind}{mark}") for mark in marks for kind in ("n", "hit")],
     )
-    linked = matrix.select(F.col("src").alias("id")).distinct()
-    isolated = ids.join(linked, "id", "left_anti")
-    facts = mine.agg(F.count(F.lit(1)).alias("_original")).select(
-        "_original",
-        ids.agg(F.count(F.lit(1)).alias("n")).scalar().alias("_rows"),
-        isolated.agg(F.count(F.lit(1)).alias("n")).scalar().alias("_isolated"),
-        mine.join(isolated, "id", "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar().alias("_lost"),
+
+    def differing(mark: str) -> Column:
+        changed = F.col("_original") + F.col(f"_n{mark}") - 2 * F.col(f"_hit{mark}")
+        return changed + F.col("_isolated") * hours - F.col("_lost")
+
+    return total.select(
+        F.array(*[1 - F.try_divide(F.col(f"_hit{mark}"), F.col("_original")) for mark in marks]).alias("miss_rate"),
+        F.array(*[F.try_divide(differing(mark), F.col("_rows") * hours) for mark in marks]).alias("mismatch_rate"),
     )
-    for name, values in by.items():
-        facts = facts.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    if names:
-        table = facts.join(hits, names, "left")
-    else:
-        table = facts.withColumn("_recalled", hits.select("_recalled").scalar()).withColumn(
-            "_hits", hits.select("_hits").scalar()
-        )
-    recalled_n, hit_n = F.coalesce("_recalled", F.lit(0)), F.coalesce("_hits", F.lit(0))
-    differing = F.col("_original") + recalled_n - 2 * hit_n + F.col("_isolated") * hours - F.col("_lost")
-    return table.select(
-        *names,
-        (1 - hit_n / F.col("_original")).alias("miss_rate"),
-        (differing / (F.col("_rows") * hours)).alias("mismatch_rate"),
+
+
+def error_rates(original: DataFrame, recalled: DataFrame, rows: DataFrame, matrix: DataFrame, hours: int) -> DataFrame:
+    """(miss_rate, mismatch_rate) over the given rows and ``hours`` hours.
+
+    Miss rate: originally active cells that are not active any more. Mismatch
+    rate: all cells that differ; every cell of a row without neighbours does,
+    because it is 0. Null where there is nothing to divide by.
+    """
+    tagged = original.select("id", "hour", F.lit(True).alias("_in"), F.lit(False).alias("_on")).union(
+        recalled.select("id", "hour", F.lit(False).alias("_in"), F.lit(True).alias("_on"))
     )
+    cells = tagged.groupBy("id", "hour").agg(F.max("_in").alias("_in"), F.max("_on").alias("_on"))
+    return _rates(cells, ["_on"], rows, matrix, hours).select(F.col("miss_rate")[0].alias("miss_rate"), F.col("mismatch_rate")[0].alias("mismatch_rate"))
+
+
+def _active_since(cells: DataFrame, cluster: DataFrame, divisors: list[float]) -> DataFrame:
+    """(id, hour, since): the first of the ascending ``divisors`` under which the cell is not muted; cells that always are go."""
+    rows = ordinal_ids(cluster.select("id").distinct())
+    total = rows.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    muted = [F.coalesce((F.col("ordinal") < F.floor(total / F.lit(d))).cast("int"), F.lit(0)) for d in divisors]
+    since = sum(muted[1:], muted[0])
+    return cells.join(rows, "id", "left").select("id", "hour", since.alias("since")).where(F.col("since") < len(divisors))
 
 
 def mute_sweep(
@@ -184,15 +194,44 @@ def mute_sweep(
 ) -> DataFrame:
     """Error after muting a growing part of the cluster: all parts in one job.
 
+    A larger divisor mutes fewer rows, so a cell is active from one divisor on. Each active cell travels once with that place,
+    a cell's incoming weight is summed per place, and running sums over the places are the scores of all parts.
     With an ``event`` only its hours are compared (``hours`` is not used then); with ``row_hits`` a row that recalled any
     of its hours counts for all of them.
     """
-    muted = mute_each(cells, cluster, divisors)
-    recalled = recall(matrix, muted, 1, tie, by=("divisor",))
     if row_hits and event is None:
         raise ValueError("row hits need an event")
+    steps = sorted(float(d) for d in divisors)
+    packed = _active_since(cells, cluster, steps).groupBy(F.col("id").alias("dst")).agg(
+        F.collect_list(F.struct("hour", "since")).alias("_cells")  # at most the axis
+    )
+    weight = F.col("weight").cast(WEIGHT)
+    sums = (
+        join_skewed(matrix, packed, "dst")
+        .select(F.col("src").alias("id"), "weight", F.explode("_cells").alias("_cell"))
+        .select("id", "weight", "_cell.hour", "_cell.since")
+        .transform(lambda df: df if event is None else in_event(df, *event))
+        .groupBy("id", "hour")
+        .agg(*[F.coalesce(F.sum(F.when(F.col("since") == k, weight)), F.lit(0)).alias(f"_w{k}") for k in range(len(steps))])
+    )
+    totals = matrix.groupBy(F.col("src").alias("id")).agg(F.sum(weight).alias("_total"))
+    marks, active = [f"_on{k}" for k in range(len(steps))], F.lit(0).cast("DECIMAL(1, 0)")
+    on = []
+    for k, mark in enumerate(marks):
+        active = active + F.col(f"_w{k}").cast(WEIGHT)  # wider sums would lose decimal places
+        score = active + active - F.col("_total").cast(WEIGHT)
+        on.append((score >= 0 if tie > 0 else score > 0).alias(mark))
+    scored = sums.join(totals, "id").select("id", "hour", *on).where(" OR ".join(marks))
     if event is not None:
         cells, hours = in_event(cells, *event), event[1] - event[0]
-        recalled = expand_hits(recalled, *event, by=("divisor",)) if row_hits else in_event(recalled, *event)
-    rates = error_rates(cells, recalled, cluster, matrix, hours, {"divisor": divisors})
-    return rates.withColumn("percent", F.floor(100.0 / F.col("divisor")).cast("int"))
+        if row_hits:
+            scored = scored.groupBy("id").agg(*[F.max(mark).alias(mark) for mark in marks])
+            scored = scored.withColumn("hour", F.explode(F.sequence(F.lit(event[0]), F.lit(event[1] - 1))))
+    tagged = cells.select("id", "hour", F.lit(True).alias("_in"), *[F.lit(False).alias(mark) for mark in marks]).union(
+        scored.select("id", "hour", F.lit(False).alias("_in"), *marks)
+    )
+    met = tagged.groupBy("id", "hour").agg(*[F.max(c).alias(c) for c in ("_in", *marks)])
+    rates = _rates(met, marks, cluster, matrix, hours)
+    named = F.arrays_zip(F.array(*[F.lit(d) for d in steps]).alias("divisor"), "miss_rate", "mismatch_rate")
+    rows = rates.select(F.inline(named)).toDF("divisor", "miss_rate", "mismatch_rate")
+    return rows.withColumn("percent", F.floor(100.0 / F.col("divisor")).cast("int"))

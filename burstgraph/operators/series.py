@@ -158,7 +158,7 @@ def daily_activity(activity: DataFrame, hours_per_day: int = 24) -> DataFrame:
     daily = activity.groupBy(F.floor(F.col("hour") / hours_per_day).cast("int").alias("day")).agg(
         F.sum("value").alias("value")
     )
-    top = daily.agg(F.max("value").alias("top")).scalar()
+    top = F.max("value").over(Window.partitionBy())  # one row per block of the axis
     return daily.select("day", (F.col("value") * 100.0 / top).alias("value"))
 
 
@@ -169,10 +169,9 @@ def compare_with_reference(daily: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def baseline_shift(series: DataFrame, column: str = "value") -> DataFrame:
-    """Subtract the smallest value."""
-    lowest = series.agg(F.min(column).alias("_low")).scalar()
-    return series.withColumn(column, F.col(column) - lowest)
+def baseline_shift(series: DataFrame, column: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Subtract the smallest value of each key's series, which has at most the axis' hours."""
+    return series.withColumn(column, F.col(column) - F.min(column).over(Window.partitionBy(*keys)))
 
 
 def select_by_title(labels: DataFrame, titles: DataFrame, title_column: str = "label") -> DataFrame:

@@ -1,26 +1,36 @@
 """Polynomial (Savitzky-Golay) smoothing of many series at once.
 
-A sample at hour j adds coefficient * value to each hour within half a window,
-so smoothing is one generate and one grouped sum: the sums combine before the
-shuffle and no task ever needs a whole series.
+The value of a polynomial fitted over a window is a sum of the window's moments (of v, k v, k^2 v, ...), and a moment of a
+window is the difference of two running sums. So each series becomes its rows once, running sums go over them, and a window of 721
+samples costs what one of 5 does: one shuffle by key, no row per sample and window place.
 """
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstgraph.operators.series import on_axis
 
 
-def savgol_coefficients(window: int, order: int) -> list[float]:
-    """Weights of the window's samples in the fitted polynomial's value at its centre."""
+def _moment_weights(window: int, order: int) -> list[float]:
+    """a with c(k) = sum of a[j] * k**j, the weight of the sample k places from the centre; odd powers cancel out."""
     if window < 1 or window % 2 != 1:
-        raise ValueError("window must be a positive odd number")
+        raise ValueError("the window must have a centre: a positive odd number of samples")
     if window < order + 2:
-        raise ValueError("window is too small for the order")
+        raise ValueError("a polynomial of this order needs a wider window")
     half = window // 2
-    powers = np.vander(np.arange(-half, half + 1, dtype=float), order + 1, increasing=True)
-    return np.linalg.pinv(powers)[0].tolist()
+    places = np.arange(-half, half + 1, dtype=float) / half
+    powers = np.vander(places, order + 1, increasing=True)
+    row = np.linalg.inv(powers.T @ powers)[0]
+    return [0.0 if j % 2 else float(a / half**j) for j, a in enumerate(row)]
+
+
+def savgol_coefficients(window: int, order: int) -> list[float]:
+    """Weights of the window's samples in the fitted polynomial's value at its centre."""
+    weights, half = _moment_weights(window, order), window // 2
+    return [sum(a * float(k) ** j for j, a in enumerate(weights)) for k in range(-half, half + 1)]
 
 
 def fill_axis(series: DataFrame, length: int, keys: list[str], of: DataFrame | None = None) -> DataFrame:
@@ -33,51 +43,50 @@ def fill_axis(series: DataFrame, length: int, keys: list[str], of: DataFrame | N
     )
 
 
+def _padded(series: DataFrame, length: int, half: int, keys: list[str]) -> DataFrame:
+    """(keys, _at, _v) with _at from -half to length - 1 + half: the whole axis, its ends padded by point reflection.
+
+    (key, hour) is unique, so a packed series holds at most the axis.
+    """
+    samples = F.map_from_entries(F.collect_list(F.struct("hour", F.col("value").cast("double").alias("value"))))
+    zeros = F.map_from_arrays(F.sequence(F.lit(0), F.lit(length - 1)), F.array_repeat(F.lit(0.0), length))
+    dense = F.map_values(F.map_zip_with(zeros, F.col("_s"), lambda _, zero, v: F.coalesce(v, zero)))
+    packed = on_axis(series, length).groupBy(*keys).agg(samples.alias("_s")).select(*keys, dense.alias("_d"))
+    first, last = F.col("_d")[0], F.col("_d")[length - 1]
+    before = F.transform(F.reverse(F.slice("_d", 2, half)), lambda v: first - F.abs(v - first))
+    after = F.transform(F.reverse(F.slice("_d", length - half, half)), lambda v: last + F.abs(v - last))
+    placed = packed.select(*keys, F.posexplode(F.concat(before, "_d", after)).alias("_pos", "_v"))
+    return placed.select(*keys, (F.col("_pos") - half).alias("_at"), "_v")
+
+
 def smooth(series: DataFrame, length: int, window: int, order: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, hour, value) smoothed; the ends are padded by point reflection.
 
     ``series`` has one row per key and hour; absent hours count as 0,
     hours off the axis are refused. A key whose series is all 0 is kept.
     """
-    half = window // 2
-    coefficients = savgol_coefficients(window, order)
+    half, weights = window // 2, _moment_weights(window, order)
     if length < half + 1:
         raise ValueError("the series is shorter than half the window")
     keys = list(keys)
-    filled = fill_axis(on_axis(series, length), length, keys)
-    ends = filled.where(F.col("hour").isin(0, length - 1)).groupBy(*keys).agg(
-        F.max(F.when(F.col("hour") == 0, F.col("value"))).alias("_first"),
-        F.max(F.when(F.col("hour") == length - 1, F.col("value"))).alias("_last"),
-    )
-    if keys:
-        filled = filled.join(ends, keys)
-    else:  # one row for one series
-        filled = filled.withColumn("_first", ends.select("_first").scalar()).withColumn(
-            "_last", ends.select("_last").scalar()
-        )
-    hour, value, first, last = (F.col(c) for c in ("hour", "value", "_first", "_last"))
-    copies = F.array(
-        F.struct(hour.alias("hour"), value.alias("value")),
-        F.when(
-            (hour >= 1) & (hour <= half),
-            F.struct((-hour).alias("hour"), (first - F.abs(value - first)).alias("value")),
-        ),
-        F.when(
-            (hour >= length - 1 - half) & (hour < length - 1),
-            F.struct(
-                (F.lit(2 * (length - 1)) - hour).alias("hour"), (last + F.abs(value - last)).alias("value")
-            ),
-        ),
-    )
-    padded = filled.select(*keys, F.explode(copies).alias("_p")).where("_p IS NOT NULL").select(
-        *keys, F.col("_p.hour").alias("_at"), F.col("_p.value").alias("_v")
+    along = Window.partitionBy(*keys).orderBy("_at")
+    middle = (length - 1) // 2  # whole numbers near 0 keep the running sums of whole values exact
+    place = (F.col("_at") - middle).cast("double")
+    degrees = range(len(weights))
+    summed = _padded(series, length, half, keys).select(
+        *keys,
+        "_at",
+        *[F.sum(F.col("_v") * F.pow(place, F.lit(j)) if j else F.col("_v")).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_s{j}") for j in degrees],
     )
-    weights = F.array(*[F.lit(c) for c in coefficients])
-    return (
-        padded.where("_v <> 0")
-        .select(*keys, "_at", "_v", F.posexplode(weights).alias("_k", "_c"))
-        .select(*keys, (F.col("_at") - F.col("_k") + half).alias("hour"), (F.col("_v") * F.col("_c")).alias("value"))
-        .where((F.col("hour") >= 0) & (F.col("hour") < length))
-        .groupBy(*keys, "hour")
-        .agg(F.sum("value").alias("value"))
-    ).transform(lambda smoothed: fill_axis(smoothed, length, keys, series))
+    moments = summed.select(
+        *keys,
+        F.col("_at").cast("int").alias("hour"),
+        *[(F.lead(f"_s{j}", half).over(along) - F.lag(f"_s{j}", half + 1, 0.0).over(along)).alias(f"_m{j}") for j in degrees],
+    ).where((F.col("hour") >= 0) & (F.col("hour") < length))
+    here = (F.col("hour") - middle).cast("double")
+    terms = [  # sum of (place - here)**j * v over the window, written out in the moments about the middle
+        a * sum((math.comb(j, i) * F.pow(-here, F.lit(j - i)) * F.col(f"_m{i}") for i in range(j)), F.col(f"_m{j}"))
+        for j, a in enumerate(weights)
+        if a
+    ]
+    return moments.select(*keys, "hour", sum(terms[1:], terms[0]).alias("value"))

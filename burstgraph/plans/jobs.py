@@ -99,32 +99,40 @@ def cluster_signals(spark: SparkSession, signal: str, cluster: str, out: str, le
 
 
 def _pattern(
-    spark: SparkSession, weights: str, signal: str, length: int, min_weight: float, sigmas: float
+    spark: SparkSession, weights: str, signal: str, length: int, min_weight: float, sigmas: float,
+    threshold: float | None = None, cluster: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matrix, active cells, rows) from a src,dst,weight file and a signal table."""
+    """(matrix, active cells, rows) from a src,dst,weight file and a signal table.
+
+    Cells are active above ``threshold`` or, without one, above their row's mean + ``sigmas`` deviations; with a ``cluster`` the
+    matrix holds the links inside it alone.
+    """
     samples = readers.load_table(spark, signal)
-    matrix = cut_lineage(memory.memory_matrix(readers.read_weighted_edges(spark, weights), min_weight))
-    cells = cut_lineage(memory.binarise_sigma(samples, length, sigmas))
-    return matrix, cells, samples.select("id").distinct()
+    matrix = cut_lineage(memory.memory_matrix(readers.read_weighted_edges(spark, weights), min_weight, cluster))
+    active = memory.binarise_sigma(samples, length, sigmas) if threshold is None else memory.binarise(samples, threshold)
+    return matrix, cut_lineage(active), samples.select("id").distinct()
 
 
 def recall(
     spark: SparkSession, weights: str, signal: str, out: str, length: int = TOTAL_HOURS, window: int = 721,
     min_weight: float = 0.0, sigmas: float = 2.0, steps: int = 1, tie: int = 1, noise: float = 0.0, seed: int = 0,
+    threshold: float | None = None, cluster: str | None = None,
 ) -> None:
     """Recall the pattern, degraded by ``noise``, and leave tables ``curves`` and ``errors``."""
-    matrix, cells, rows = _pattern(spark, weights, signal, length, min_weight, sigmas)
+    ids = None if cluster is None else cut_lineage(readers.read_labels(spark, cluster).select("id"))
+    matrix, cells, rows = _pattern(spark, weights, signal, length, min_weight, sigmas, threshold, ids)
     start = memory.degrade(cells, rows, length, noise, seed) if noise else cells
     found = cut_lineage(memory.recall(matrix, start, steps, tie))
     sinks.save_table(recall_difference(cells, found, length, window), f"{out}/curves")
-    sinks.save_table(memory.error_rates(cells, found, cut_lineage(rows), matrix, length), f"{out}/errors")
+    sinks.save_table(memory.error_rates(cells, found, rows, matrix, length), f"{out}/errors")
 
 
 def mute(
     spark: SparkSession, weights: str, signal: str, cluster: str, out: str, length: int = TOTAL_HOURS,
     min_weight: float = 0.0, sigmas: float = 2.0, event: tuple[int, int] | None = None, row_hits: bool = False,
+    threshold: float | None = None, inside: bool = False,
 ) -> None:
-    """Mute growing parts of a list of ids, recall, and leave the table ``errors``."""
-    matrix, cells, _ = _pattern(spark, weights, signal, length, min_weight, sigmas)
+    """Mute growing parts of a list of ids, recall, and leave the table ``errors``; ``inside`` keeps the list's own links alone."""
     ids = cut_lineage(readers.read_labels(spark, cluster).select("id"))
+    matrix, cells, _ = _pattern(spark, weights, signal, length, min_weight, sigmas, threshold, ids if inside else None)
     sinks.save_table(memory.mute_sweep(matrix, cells, ids, length, event=event, row_hits=row_hits), f"{out}/errors")

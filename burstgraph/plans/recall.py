@@ -16,12 +16,21 @@ def pattern_activity(cells: DataFrame, length: int) -> DataFrame:
 
 
 def recall_difference(original: DataFrame, recalled: DataFrame, length: int, window: int, order: int = 2) -> DataFrame:
-    """(hour, original, recalled, difference) of the smoothed, baseline-shifted activities."""
-    sides = []
-    for cells, name in ((original, "original"), (recalled, "recalled")):
-        curve = smooth(pattern_activity(cells, length), length, window, order)
-        sides.append(baseline_shift(curve).withColumnRenamed("value", name))
-    return sides[0].join(sides[1], "hour").withColumn("difference", F.col("recalled") - F.col("original"))
+    """(hour, original, recalled, difference) of the smoothed, baseline-shifted activities.
+
+    Both sides are smoothed together, as two keys of one job; a pattern without a cell has the activity 0.
+    """
+    def tagged(cells: DataFrame, side: str) -> DataFrame:
+        return cells.groupBy("hour").agg(F.count(F.lit(1)).alias("_n")).select(
+            F.lit(side).alias("side"), "hour", (2.0 * F.col("_n")).alias("value")
+        )
+
+    ground = original.sparkSession.createDataFrame([("original", 0, 0.0), ("recalled", 0, 0.0)], "side STRING, hour INT, value DOUBLE")
+    both = tagged(original, "original").union(tagged(recalled, "recalled")).union(ground)
+    both = both.groupBy("side", "hour").agg(F.sum("value").alias("value"))
+    curves = baseline_shift(smooth(both, length, window, order, ("side",)), keys=("side",))
+    sides = [F.max(F.when(F.col("side") == name, F.col("value"))).alias(name) for name in ("original", "recalled")]
+    return curves.groupBy("hour").agg(*sides).withColumn("difference", F.col("recalled") - F.col("original"))
 
 
 def recall_experiment(

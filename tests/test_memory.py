@@ -107,3 +107,43 @@ def test_binarise(make, rows):
     with pytest.raises(ValueError):
         memory.binarise(signal, -1.0)
     assert rows(memory.binarise_sigma(signal, 10, 2.0)) == [(1, 1)]
+
+
+def test_sweep_is_muting_one_by_one(make):
+    """Random matrix and pattern: every part of the sweep is its own mute, recall and error, with and without an event."""
+    rnd = random.Random(8)
+    links = [(a, b, rnd.choice((0.25, 0.5, 1.0))) for a in range(14) for b in range(a + 1, 14) if rnd.random() < 0.35]
+    matrix = symmetrise(make.edges(links))
+    cells = make.cells([(i, h) for i in range(16) for h in range(8) if rnd.random() < 0.5])
+    cluster, steps = make.ids(range(2, 13)), (4.0, 1.0, 1.5, 10.0)
+    for options in ({}, {"event": (2, 6)}, {"event": (2, 6), "row_hits": True}):
+        for tie in (1, -1):
+            sweep = {r["divisor"]: r for r in memory.mute_sweep(matrix, cells, cluster, 8, steps, tie, **options).collect()}
+            assert set(sweep) == set(steps)
+            for divisor in steps:
+                found, original, hours = memory.recall(matrix, memory.mute(cells, cluster, divisor), tie=tie), cells, 8
+                if options:
+                    original, hours = memory.in_event(cells, 2, 6), 4
+                    found = memory.expand_hits(found, 2, 6) if "row_hits" in options else memory.in_event(found, 2, 6)
+                alone = memory.error_rates(original, found, cluster, matrix, hours).collect()[0]
+                assert (sweep[divisor]["miss_rate"], sweep[divisor]["mismatch_rate"]) == (alone["miss_rate"], alone["mismatch_rate"])
+
+
+def test_sweep_sends_each_cell_once(make):
+    """Only the packed cells and the rates of the result are generated, nothing per divisor below the sums."""
+    matrix, cells = make.edges([(1, 2, 1), (2, 1, 1)]), make.cells(CELLS)
+    plan = memory.mute_sweep(matrix, cells, make.ids([1, 2]), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2
+
+
+def test_flips_alone_are_shuffled(make, rows):
+    cells = make.cells([(1, 0), (1, 7), (9, 0), (2, 50)])  # 9 is no row, 50 no hour
+    ids = make.ids([1, 2])
+    assert rows(memory.degrade(cells, ids, 10, 0.0, seed=1)) == [(1, 0), (1, 7)]
+    everything = {(i, h) for i in (1, 2) for h in range(10)}
+    assert set(rows(memory.degrade(cells, ids, 10, 1.1, seed=1))) == everything - {(1, 0), (1, 7)}
+
+
+def test_rates_of_nothing_are_null(make):
+    rate = memory.error_rates(make.cells([(5, 0)]).where("id < 0"), make.cells(CELLS), make.ids([1, 2]), symmetrise(make.edges(EDGES)), 3).collect()[0]
+    assert rate["miss_rate"] is None and rate["mismatch_rate"] == pytest.approx(1 / 6)
