@@ -15,14 +15,20 @@ BITS = 1 << 23
 _BUCKET = 1 << 15  # bits in one row of bitmap_construct_agg
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one, that is none of ``columns`` (compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_rows(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``column`` is surely not in ``ids``, rows where it may be: all that are and few others).
 
     A null is never in ``ids``, yet may be among the latter.
     """
-    mark = "_place"
-    while mark in rows.columns:
-        mark += "_"
+    mark = free_name(rows.columns, "_place")
     place = F.expr(f"pmod(xxhash64(CAST(`{column}` AS BIGINT)), {BITS}L)")
     marked = (
         ids.where(F.col(column).isNotNull())
@@ -55,5 +61,6 @@ def probably_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def without(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not in ``ids``; only those that may be are shuffled. Nulls stay."""
     clear, open_rows = split_rows(rows, ids, column)
-    named = ids.select(F.col(column).cast("bigint").alias("_dropped")).distinct()
-    return clear.union(open_rows.join(named, F.col(column).cast("bigint") == F.col("_dropped"), "left_anti"))
+    dropped = free_name(rows.columns, "_dropped")
+    named = ids.select(F.col(column).cast("bigint").alias(dropped)).distinct()
+    return clear.union(open_rows.join(named, F.col(column).cast("bigint") == F.col(dropped), "left_anti"))

@@ -17,12 +17,12 @@ nothing to learn from, every text is ``und``. Rows with a null doc_id count as n
 Rows are independent; other columns are ignored. Empty tables give empty results.
 """
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from burstgraph.llm.vocabulary import MODEL, SPACE, Lattice, Pieces, by_length,
 
 DOCS_PER_LANGUAGE, ROUNDS, SMOOTHING, TEMPER, FOLDS = 300, 3, 0.01, 20.0, 5
 CACHE_WORDS = 300_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_in(text: str) -> list[str]:

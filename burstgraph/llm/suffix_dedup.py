@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from burstgraph.llm.common import bound_batches, digest64, park, pieces, prefix_sums, span_hashes, text_chunks
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
-from burstgraph.llm.id_filter import probably_in, split_rows
+from burstgraph.llm.id_filter import free_name, probably_in, split_rows
 
 WINDOW, KEY, GRAM = 50, 36, 24
 HOT_ROWS, PART_ROWS, SLICE_ROWS = 100_000, 200_000, 20_000
@@ -321,19 +321,17 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     changed = suffix_dedup(docs).where("n_removed > 0").select("doc_id", "node", F.coalesce("kept", F.lit("")).alias("kept"))
     changed = park(changed.dropDuplicates(["doc_id", "node"]), "suffix-changed")
     same, open_rows = split_rows(docs, changed, "doc_id")
-    names = ("_node", "_id", "_kept")
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {names} are taken")
-    schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
+    node, there, other, kept = (free_name(docs.columns, name) for name in ("_node", "_there", "_id", "_kept"))
+    schema = StructType([*docs.schema.fields, StructField(node, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            yield batch.append_column("_node", pa.array([digest64(t or b"") for t in texts], pa.int64()))
+            yield batch.append_column(node, pa.array([digest64(t or b"") for t in texts], pa.int64()))
 
-    new = changed.select(F.col("doc_id").alias("_id"), F.col("node").alias("_there"), F.col("kept").alias("_kept"))
-    joined = open_rows.mapInArrow(run, schema).join(new, (F.col("doc_id").cast("bigint") == F.col("_id")) & (F.col("_node") == F.col("_there")), "left")
-    joined = joined.where("_kept IS NULL OR _kept <> ''").withColumn("text", F.coalesce("_kept", "text"))
+    new = changed.select(F.col("doc_id").alias(other), F.col("node").alias(there), F.col("kept").alias(kept))
+    joined = open_rows.mapInArrow(run, schema).join(new, (F.col("doc_id").cast("bigint") == F.col(other)) & (F.col(node) == F.col(there)), "left")
+    joined = joined.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return same.union(joined.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -66,3 +66,10 @@ def test_odd_rows(documents):
     assert L.language_id(documents([])).collect() == []
     nothing = L.language_id(docs.where("doc_id = 200")).collect()
     assert [r.lang_pred for r in nothing] == ["und"]  # nothing to learn from
+
+
+def test_numbers_that_look_like_letters_are_none(documents):
+    rows = [(k, "sun moon star") for k in range(10)] + [(50, "½ ²"), (51, "Ⅳ ⑤ ㊙"), (52, "1_2 ٣"), (53, "½ sun"), (54, "漢")]
+    found = {r.doc_id: r for r in L.language_id(documents(rows)).collect()}
+    assert [found[k].lang_pred for k in (50, 51, 52)] == ["und"] * 3 and found[50].score == 0
+    assert found[53].lang_pred == found[54].lang_pred == "en"

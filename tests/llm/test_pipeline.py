@@ -39,3 +39,23 @@ def test_stages_on_odd_rows(spark, tmp_path, words):
 def test_the_table(spark):
     found = P.run(spark, "/root/testdata/sf0.001").collect()
     assert found and all(r.round_trip and r.n_pieces for r in found)
+
+
+def test_columns_named_like_the_helpers(spark, tmp_path, words):
+    """Columns that helpers use themselves pass through both filtering helpers."""
+    from burstgraph.llm.id_filter import without
+    from burstgraph.llm.suffix_dedup import cut_documents
+
+    rng = random.Random(4)
+    passage = " ".join(words(rng, 60))
+    names = ("_dropped", "_place", "_node", "_id", "_kept", "_there", "_KEPT_")
+    rows = [(k, f"{k} " + (passage if k < 3 else " ".join(words(rng, 20))), *range(len(names))) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, " + ", ".join(f"`{n}` INT" for n in names))
+    gone = spark.createDataFrame([(5,)], "doc_id BIGINT")
+    left = without(docs, gone, "doc_id")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7]
+    cut = cut_documents(docs)
+    assert cut.columns == docs.columns
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert passage in texts[0] and passage not in texts[1] and passage not in texts[2]
+    assert {tuple(r)[2:] for r in cut.collect()} == {tuple(range(len(names)))}
