@@ -2,11 +2,13 @@
 
 Documents send their token hashes to token ranges as packed blobs and only the repeated ones come back. A task works in
 flushes of about ``FLUSH`` tokens: each flush has a table of its documents' keys, its tokens travel as (delta, slot) byte
-planes, some six bytes a token at every size of the input. A range holds ``RANGE_TOKENS`` tokens on average, whatever the
-input; a token enters a range once per document, and copies within a task are skipped by key, so a group of copies adds at
+planes, some six bytes a token. A range holds ``RANGE_TOKENS`` tokens on average; beyond 10^10 tokens flushes and ranges both grow with
+the square root of the input, so that a flush keeps ``CELL`` tokens for a range: the number of blobs, and of steps of the loop
+over ranges, is in proportion to the input (some 30 million tokens a flush at 10^13 tokens). A token enters a range once per document, and copies within a task are skipped by key, so a group of copies adds at
 most one entry per flush.
 """
 
+import math
 import struct
 from collections.abc import Callable, Iterator
 
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RANGE_TOKENS, FLUSH = 1_000_000, 1_000_000
+RANGE_TOKENS, FLUSH, CELL = 1_000_000, 1_000_000, 100
 TOKEN_BITS = 48
 _SHIFT = np.uint64(64 - TOKEN_BITS)
 _ROWS = "part BIGINT, flush BIGINT, kind INT, data BINARY"
@@ -23,7 +25,12 @@ _ARROW = pa.schema([("part", pa.int64()), ("flush", pa.int64()), ("kind", pa.int
 
 def ranges_for(tokens: int) -> int:
     """Number of token ranges for so many tokens."""
-    return max(16, -(-tokens // RANGE_TOKENS))
+    return max(16, -(-tokens // max(RANGE_TOKENS, math.isqrt(CELL * tokens))))
+
+
+def flush_size(parts: int) -> int:
+    """Tokens of a flush that is cut over so many ranges: ``CELL`` for each at least."""
+    return max(FLUSH, CELL * parts)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -59,6 +66,8 @@ def send(docs: DataFrame, parts: int, tokens_of: Callable) -> DataFrame:
     """Forward rows. ``tokens_of(batches)`` yields (key, size, distinct 64-bit tokens) per document; each (part, flush)
     becomes one row, and one part of each flush also gets the table of its documents."""
 
+    starts, full = part_starts(parts), flush_size(parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -71,7 +80,7 @@ def send(docs: DataFrame, parts: int, tokens_of: Callable) -> DataFrame:
             tokens = np.concatenate(held) >> _SHIFT
             order = np.argsort(tokens, kind="stable")
             tokens, slots = tokens[order], slots[order]
-            cuts = np.searchsorted(tokens, part_starts(parts))
+            cuts = np.searchsorted(tokens, starts)
             rows = [
                 (p, name, 0, pack_sorted(tokens[a:b]) + pack(slots[a:b]))
                 for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(tokens)], strict=True))
@@ -88,7 +97,7 @@ def send(docs: DataFrame, parts: int, tokens_of: Callable) -> DataFrame:
             sizes.append(size)
             held.append(tokens)
             count += len(tokens)
-            if count >= FLUSH:
+            if count >= full:
                 yield flush()
                 keys, sizes, held, count, number = [], [], [], 0, number + 1
         if count:
