@@ -29,7 +29,17 @@ def park(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, columns can be pruned."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._parked = path
+    return kept
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete the files of a result of ``park`` that nothing reads any more."""
+    if path := getattr(df, "_parked", None):
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bound_batches(df: DataFrame) -> DataFrame:

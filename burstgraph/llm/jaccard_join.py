@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import bound_batches, digest64, park, shingle_sets, text_chunks
+from burstgraph.llm.common import bound_batches, digest64, forget, park, pieces, shingle_sets, text_chunks
 from burstgraph.llm.exchange import gather, ranges_for, repeated, send
 from burstgraph.operators.components import component_labels
 
@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     def by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for size_a, ta, size_b, tb in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("size_a", "tokens_a", "size_b", "tokens_b")), strict=True):
                 both = np.intersect1d(np.frombuffer(ta, "<u8"), np.frombuffer(tb, "<u8"), assume_unique=True)
@@ -144,8 +144,9 @@ def similar_sets(docs: DataFrame, sizes: DataFrame, words: int = WORDS, percent:
     members = park(_members(docs, ranges_for(total), words, percent), "jaccard-members")
     tiles = park(_tiles(members, percent), "jaccard-tiles")
 
-    links, labels, before, turn = None, None, None, 0
+    links, labels, open_tiles, before, turn = None, None, None, None, 0
     while True:
+        last = open_tiles
         if labels is None:
             open_tiles = tiles.withColumn("component", F.col("node"))
         else:
@@ -157,14 +158,19 @@ def similar_sets(docs: DataFrame, sizes: DataFrame, words: int = WORDS, percent:
             .where("components > 1").select("token", "pairs")
         )
         open_tiles = park(open_tiles.join(apart, "token"), "jaccard-open")
+        forget(last)
         # each of a tile's n rows brings its share of the tile's pairs
         rows, pairs = open_tiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("pairs"), F.lit(0.0))).first()
         if turn and (pairs <= PAIRS_PER_ROW * rows or before is not None and pairs > STALLED * before):
             break
         before, turn = (pairs if turn else None), turn + 1
         found = park(_verified(_centre_pairs(open_tiles, turn, percent), members, percent), "jaccard-links")
-        links = found if links is None else links.union(found)
+        # the labels so far stand for all earlier links
+        links = found if labels is None else labels.selectExpr("node AS a", "component AS b").union(found)
+        last = labels
         labels = park(component_labels(links.selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node"), "jaccard-labels")
+        forget(last)
+        forget(found)
 
     other = open_tiles.selectExpr("token", "explode(array(band, band + 1)) AS band", "node AS node2", "size AS size2", "place AS place2", "component AS component2")
     fits = (
@@ -172,7 +178,7 @@ def similar_sets(docs: DataFrame, sizes: DataFrame, words: int = WORDS, percent:
         f" AND least(size - place, size2 - place2) * {100 + percent} >= {percent} * (size + size2)"
     )
     rest = open_tiles.join(other, ["token", "band"]).where(fits).selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").distinct()
-    links = links.union(_verified(rest, members, percent))
+    links = labels.selectExpr("node AS a", "component AS b").union(_verified(rest, members, percent))
     return component_labels(links.selectExpr("a AS src", "b AS dst")).withColumnRenamed("id", "node")
 
 
