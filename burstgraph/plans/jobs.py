@@ -1,4 +1,5 @@
-"""The jobs from files to files: ingest, the four ways of learning, a cluster's signals, recall and muting.
+"""The jobs from files to files: ingest, the four ways of learning, a cluster's signals and its activity against a
+reference, degree distributions, recall and muting.
 
 ``store`` is the folder ``ingest`` fills: parquet tables vertices, edges and
 signal. Windows go by name or as (start, stop). Every learning job leaves
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from burstgraph.functions.timeaxis import NAMED_WINDOWS, TOTAL_HOURS
 from burstgraph.functions.titles import exported_title
-from burstgraph.operators import memory
-from burstgraph.operators.graph import PropertyGraph
+from burstgraph.operators import distributions, memory, series
+from burstgraph.operators.graph import PropertyGraph, degrees
 from burstgraph.plans import learning
 from burstgraph.plans.recall import recall_difference
-from burstgraph.session import cut_lineage
+from burstgraph.session import Scratch, cut_lineage
 from burstgraph.sources import readers, sinks
 
 Window = str | tuple[int, int]
@@ -50,7 +51,9 @@ def ingest(
     kept = readers.join_series(readers.read_vertices(spark, vertices), samples)
     sinks.save_table(kept, f"{store}/vertices")
     kept = readers.load_table(spark, f"{store}/vertices")
-    sinks.save_table(readers.with_both_ends(readers.read_edges(spark, edges), kept), f"{store}/edges")
+    with Scratch(spark, "ingest") as scratch:  # the joins read the links more than once, the text is parsed once
+        links, _ = scratch.keep(readers.read_edges(spark, edges))
+        sinks.save_table(readers.with_both_ends(links, kept), f"{store}/edges")
 
 
 def static(
@@ -98,6 +101,38 @@ def cluster_signals(spark: SparkSession, signal: str, cluster: str, out: str, le
     sinks.write_cluster_signals(readers.load_table(spark, signal), labels, out, length)
 
 
+def activity(
+    spark: SparkSession, signal: str, cluster: str, reference: str, out: str, origin: str, hours_per_day: int = 24
+) -> None:
+    """A cluster's daily activity, scaled to 100, beside a date,value file whose day 0 is the date ``origin``.
+
+    Leaves the tables ``daily``, ``compared`` (days in both) and ``correlation`` (null under two days).
+    """
+    samples = series.of_cluster(readers.load_table(spark, signal), readers.read_labels(spark, cluster))
+    sinks.save_table(series.daily_activity(series.overall_activity(samples), hours_per_day), f"{out}/daily")
+    daily = readers.load_table(spark, f"{out}/daily")
+    sinks.save_table(series.compare_with_reference(daily, readers.read_reference(spark, reference, origin)), f"{out}/compared")
+    both = readers.load_table(spark, f"{out}/compared")
+    sinks.save_table(both.agg(F.corr("proposed", "reference").alias("correlation"), F.count(F.lit(1)).alias("days")), f"{out}/correlation")
+
+
+def degree_distribution(
+    spark: SparkSession, edges: str, out: str, bins: int = distributions.DEGREE_BINS, tail: float = 0.0
+) -> None:
+    """Degrees of a src,dst,weight file: tables ``degrees``, ``histogram`` (counts divided by the largest) and ``exponent``.
+
+    The exponent is the slope over the histogram's bins whose lower edge is at least ``tail``, and the estimate from the degrees.
+    """
+    sinks.save_table(degrees(readers.read_weighted_edges(spark, edges)), f"{out}/degrees")
+    counted = readers.load_table(spark, f"{out}/degrees")
+    sinks.save_table(distributions.log_histogram(counted, "degree", bins, scale=True), f"{out}/histogram")
+    points = readers.load_table(spark, f"{out}/histogram")
+    slope = distributions.powerlaw_slope(points, "lower", "count", tail)
+    # one row each
+    estimate = distributions.powerlaw_alpha(counted.select(F.col("degree").alias("x"), F.lit(1.0).alias("y"))).select("alpha")
+    sinks.save_table(slope.select("*", estimate.scalar().alias("alpha")), f"{out}/exponent")
+
+
 def _pattern(
     spark: SparkSession, weights: str, signal: str, length: int, min_weight: float, sigmas: float,
     threshold: float | None = None, cluster: DataFrame | None = None,

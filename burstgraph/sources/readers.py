@@ -17,16 +17,17 @@ def read_signal_long(spark: SparkSession, path: str) -> DataFrame:
 def read_signal_wide(spark: SparkSession, path: str, hour_base: int = 1) -> DataFrame:
     """CSV with header: id, then one value per hour; the first value column is hour ``hour_base``.
 
-    Only the header decides how many hours there are, so it is read for the schema.
+    A line is split into one array, so the plan does not grow with the hours. Lines whose first field is no whole number, the
+    header above all, are dropped; so are fields that are no number.
     """
-    names = spark.read.csv(path, header=True, inferSchema=False).columns
-    fields = ["id BIGINT", *[f"v{i} DOUBLE" for i in range(len(names) - 1)]]
-    rows = spark.read.schema(", ".join(fields)).csv(path, header=True, enforceSchema=True)
-    values = F.array(*[F.col(f"v{i}") for i in range(len(names) - 1)])
+    fields = F.split(F.translate("value", '"\r', ""), ",")
+    cells = spark.read.text(path).select(fields.alias("fields")).select(
+        F.expr("try_cast(trim(fields[0]) AS BIGINT)").alias("id"), F.posexplode("fields").alias("pos", "text")
+    )
     return (
-        rows.select("id", F.posexplode(values).alias("pos", "value"))
+        cells.where("id IS NOT NULL AND pos > 0 AND text NOT IN ('0', '0.0')")
+        .selectExpr("id", f"pos + {hour_base - 1} AS hour", "try_cast(trim(text) AS DOUBLE) AS value")
         .where("value <> 0")
-        .select("id", (F.col("pos") + hour_base).cast("int").alias("hour"), "value")
     )
 
 
@@ -57,6 +58,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LABEL).csv(path)
 
 
+def read_reference(spark: SparkSession, path: str, origin: str) -> DataFrame:
+    """CSV with header: date, value. Days are counted from the date ``origin``; rows without a date or a value go."""
+    rows = spark.read.schema("date STRING, value DOUBLE").csv(path, header=True)
+    day = F.date_diff(F.expr("try_cast(date AS DATE)"), F.to_date(F.lit(origin)))
+    return rows.select(day.alias("day"), "value").where("day IS NOT NULL AND value IS NOT NULL")
+
+
 def read_weighted_edges(spark: SparkSession, path: str) -> DataFrame:
     """CSV without header: src, dst, weight."""
     return spark.read.schema(schema.EDGE).csv(path)

@@ -71,6 +71,46 @@ def test_hop_distances(make, rows, rows_per_task):
     assert rows(found) == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 3)]
 
 
+def test_hops_on_a_random_graph(make, rows):
+    """More rounds than buckets, sources twice, a hub, a cycle."""
+    rnd = random.Random(8)
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(90)] + [(0, k) for k in range(20)] + [(k, k + 1) for k in range(100, 112)]
+    links += [(5, 100), (112, 5)]
+    expected, front = {0: 0, 3: 0}, {0, 3}
+    while front:
+        step = max(expected.values()) + 1
+        front = {b for a, b in links if a in front} - set(expected)
+        expected |= dict.fromkeys(front, step)
+    found = components.hop_distances(make.edges(links), make.ids([0, 3, 0]), 4)
+    assert rows(found) == sorted(expected.items())
+
+
+def test_hops_never_exchange_what_was_visited(spark, tmp_path):
+    name, path = "visited_ids", str(tmp_path / "visited")
+    for step in range(3):
+        rows = spark.range(10 * step, 10 * step + 10).withColumn("distance", F.lit(step))
+        rows.write.partitionBy("distance").bucketBy(4, "id").option("path", path).mode("append").saveAsTable(name)
+    try:
+        left = components.unvisited(spark.range(5, 40, 5).distinct(), spark.table(name))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1  # the distinct ids of the left side
+        assert "Exchange" not in plan[plan.index("Exchange ") + 9 :] and "Bucketed: true" in plan
+        assert sorted(r["id"] for r in left.collect()) == [30, 35]
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_component_rounds_leave_no_files(make, rows, monkeypatch, tmp_path):
+    from burstgraph import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    found = components.component_labels(make.edges([(k, k + 1) for k in range(50)]))
+    assert rows(found) == [(k, 0) for k in range(51)]
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["component-labels"]
+    assert rows(components.component_labels(make.edges([]))) == []
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_split_join_equals_join(spark, rows, how):
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "key BIGINT, n BIGINT")

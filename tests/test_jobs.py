@@ -1,3 +1,5 @@
+import math
+import statistics
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -72,6 +74,32 @@ def test_cluster_signals(spark, files, store, rows):
     assert rows(readers.read_signal_text(spark, out).select("id").distinct()) == [(5,), (6,)]
 
 
+def test_activity_against_a_reference(spark, files, store, rows):
+    (files / "one.csv").write_text("1,one\n")
+    (files / "trend.csv").write_text("date,value\n2014-09-23,50\n2014-09-24,100\n2014-09-25,30\n2014-12-01,1\n")
+    out = str(files / "activity")
+    jobs.activity(spark, f"{store}/signal", str(files / "one.csv"), str(files / "trend.csv"), out, "2014-09-23")
+    hours = [900.0 if h in (10, 20, 30, 40) else 1.0 for h in range(60)]
+    days = [sum(hours[k : k + 24]) for k in (0, 24, 48)]
+    assert rows(readers.load_table(spark, f"{out}/compared")) == [(d, pytest.approx(v * 100 / max(days)), r) for d, (v, r) in enumerate(zip(days, (50.0, 100.0, 30.0)))]
+    (row,) = readers.load_table(spark, f"{out}/correlation").collect()
+    assert row["days"] == 3 and row["correlation"] == pytest.approx(statistics.correlation(days, [50, 100, 30]))
+
+
+def test_degree_distribution(spark, files, rows):
+    (files / "star.csv").write_text("".join(f"0,{k},1.0\n" for k in range(1, 30)) + "1,2,2.0\n")
+    out = str(files / "degrees")
+    jobs.degree_distribution(spark, str(files / "star.csv"), out, bins=9)
+    assert readers.load_table(spark, f"{out}/degrees").count() == 30
+    found = {r["bin"]: r["count"] for r in readers.load_table(spark, f"{out}/histogram").collect()}
+    # edges 3 ** k: degrees 1 and 2 in bin 0, 29 in bin 3
+    assert found == {k: pytest.approx({0: 1.0, 3: 1 / 29}.get(k, 0.0)) for k in range(10)}
+    (row,) = readers.load_table(spark, f"{out}/exponent").collect()
+    assert row["slope"] == pytest.approx(-math.log(29) / math.log(27))
+    logs = [math.log(29)] + [math.log(2)] * 2
+    assert row["alpha"] == pytest.approx(1 + 30 / sum(logs))
+
+
 def test_recall_and_mute(spark, files, store, rows):
     links = [(a, b, 1.0 + (a * b) % 3) for a in range(1, 6) for b in range(a + 1, 6)]
     weights = files / "weights.csv"

@@ -4,7 +4,7 @@ import xml.etree.ElementTree as ET
 
 import pytest
 
-from burstgraph import PropertyGraph
+from burstgraph import PropertyGraph, session
 from burstgraph.session import cut_lineage, scratch_path, shared_folder
 from burstgraph.sources import readers, sinks
 
@@ -26,6 +26,37 @@ def test_wide_signal(spark, tmp_path, rows):
     assert rows(readers.read_signal_wide(spark, path, hour_base=0)) == [(7, 1, 5.0), (7, 3, 2.0)]
 
 
+def test_wide_signal_of_full_width(spark, tmp_path, rows):
+    """As many hours as the surveyed files have; lines that are no series and fields that are no numbers go."""
+    hours = 5279
+    lines = ["id," + ",".join(map(str, range(hours)))]
+    lines += [f"{k}," + ",".join("7.5" if h % 1000 == k else "0.0" for h in range(hours)) for k in range(40)]
+    lines += ["x,1,2", "", "41,,nan_,3"]
+    path = put(tmp_path, "wide.csv", "\n".join(lines) + "\n")
+    found = readers.read_signal_wide(spark, path)
+    expected = sorted([(k, h + 1, 7.5) for k in range(40) for h in range(k, hours, 1000)] + [(41, 3, 3.0)])
+    assert rows(found) == expected
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "int", "double"]
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 2000
+
+
+def test_reference_series(spark, tmp_path, rows):
+    path = put(tmp_path, "r.csv", "date,value\n2014-09-23,5\n2014-09-25,7.5\nnever,1\n2014-09-26,\n")
+    assert rows(readers.read_reference(spark, path, "2014-09-23")) == [(0, 5.0), (2, 7.5)]
+
+
+def test_scratch_is_deleted_by_its_owner(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    with session.Scratch(spark, "work") as scratch:
+        first, n = scratch.keep(spark.range(7))
+        second, none = scratch.keep(spark.range(0))
+        assert (n, none, first.count(), second.count()) == (7, 0, 7, 0)
+        scratch.forget(first)
+        scratch.forget(spark.range(3))
+        assert second.count() == 0
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_ingest(spark, make, tmp_path, rows):
     vertices = readers.read_vertices(spark, put(tmp_path, "v.csv", "1,AT&T\n2,b\nx3,c\n4,\n5,no_series\n"))
     edges = readers.read_edges(spark, put(tmp_path, "e.csv", "1 2\n2 4\n2 5\n2 1\n"))

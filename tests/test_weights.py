@@ -113,6 +113,29 @@ def test_similar_pairs_against_all_pairs(make, joins, min_weight, block_rows, no
         assert r["weight"] == pytest.approx(expected[r["src"], r["dst"]])
 
 
+@pytest.mark.parametrize("matches", [1, 3, 6])
+def test_similar_pairs_by_matches_in_the_heads(make, matches):
+    """Whatever the heads must share, the pairs are the same; with more matches fewer candidates are looked up."""
+    series = random_series(5, 60, 40, {4, 9})
+    for k in range(60):  # a busy hour in all series, a quiet one in few
+        series[k][39] = 1.0
+    signal, counts, fewer = make.signal(series), {}, {}
+    found = similar_pairs(signal, -1, 40, 5.5, matches=matches, counts=counts).collect()
+    expected = {(a, b): w for a in range(60) for b in range(a + 1, 60) if (w := brute(series, a, b, -1, 40, False, 0.5)) > 5.5}
+    assert {(r["src"], r["dst"]) for r in found} == set(expected) and expected
+    for r in found:
+        assert r["weight"] == pytest.approx(expected[r["src"], r["dst"]])
+    if matches < 6:
+        similar_pairs(signal, -1, 40, 5.5, matches=matches + 1 + matches // 3, counts=fewer).collect()
+        assert len(expected) <= fewer.get("candidates", len(expected)) <= counts["candidates"]
+
+
+def test_matches_out_of_range(make):
+    for matches in (0, 5):
+        with pytest.raises(ValueError):
+            similar_pairs(make.signal({1: A}), 0, 6, 3.0, matches=matches)
+
+
 def test_pairs_need_a_minimum(make):
     with pytest.raises(ValueError):
         similar_pairs(make.signal({1: A}), 0, 6, -1.0)
