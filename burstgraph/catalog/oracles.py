@@ -38,17 +38,38 @@ bursts AS (SELECT * FROM peaks WHERE id IN (
 
 
 def weigh(name: str, source: str, edges: str, start: int, stop: int, floor=0.0, normalise=True, lam=0.5, keep=None) -> str:
-    """CTEs that give edge weights; ``keep`` prunes and drops unweighted edges."""
+    """CTEs that give edge weights; ``keep`` prunes and drops unweighted edges.
+
+    Without ``keep`` all links are weighed, from arrays with one place per hour: a join row per link, none per link and hour.
+    """
     value = "value / n" if normalise else "value"
-    join = "LEFT JOIN" if keep is None else "JOIN"
-    where = "" if keep is None else f" WHERE w > {keep}"
-    return f"""{name}_k AS (SELECT * FROM {source} WHERE hour > {start} AND hour < {stop} AND value > {floor}),
-{name}_x AS (SELECT id, hour, {value} AS v FROM {name}_k JOIN (SELECT id, count(*) AS n FROM {name}_k GROUP BY id) USING (id)),
+    series = f"""{name}_k AS (SELECT * FROM {source} WHERE hour > {start} AND hour < {stop} AND value > {floor}),
+{name}_x AS (SELECT id, hour, {value} AS v FROM {name}_k JOIN (SELECT id, count(*) AS n FROM {name}_k GROUP BY id) USING (id)),"""
+    if keep is None:
+        return f"""{series}
+{packed(name, name + "_x", start, stop)},
+{name} AS (SELECT src, dst, {ratios(lam, "0.0")} AS weight
+  FROM {edges} e LEFT JOIN {name}_d a ON a.id = e.src LEFT JOIN {name}_d b ON b.id = e.dst)"""
+    return f"""{series}
 {name}_j AS MATERIALIZED (SELECT e.src, e.dst, a.hour, a.v FROM {edges} e JOIN {name}_x a ON a.id = e.src),
 {name}_s AS (SELECT a.src, a.dst, sum(CASE WHEN least(a.v, b.v) / greatest(a.v, b.v) > {lam}
     THEN least(a.v, b.v) / greatest(a.v, b.v) ELSE 0 END) AS w
   FROM {name}_j a JOIN {name}_x b ON b.id = a.dst AND a.hour = b.hour GROUP BY 1, 2),
-{name} AS (SELECT src, dst, coalesce(w, 0.0) AS weight FROM {edges} {join} {name}_s USING (src, dst){where})"""
+{name} AS (SELECT src, dst, w AS weight FROM {edges} JOIN {name}_s USING (src, dst) WHERE w > {keep})"""
+
+
+def packed(name: str, samples: str, start: int, stop: int) -> str:
+    """CTE ``<name>_d``: (id, vs), the values v of each id as a list with a place for every hour of the open window."""
+    return f"""{name}_d AS MATERIALIZED (SELECT id, list(v ORDER BY hour) AS vs FROM (
+  SELECT i.id, h.hour, x.v FROM (SELECT DISTINCT id FROM {samples}) i CROSS JOIN (SELECT unnest(range({start} + 1, {stop})) AS hour) h
+  LEFT JOIN {samples} x ON x.id = i.id AND x.hour = h.hour) GROUP BY id)"""
+
+
+def ratios(lam: float, otherwise: str) -> str:
+    """Sum over the common hours of lists a.vs and b.vs: the ratio where it exceeds ``lam``, else ``otherwise``."""
+    ratio = "least(p[1], p[2]) / greatest(p[1], p[2])"
+    terms = f"[CASE WHEN {ratio} > {lam} THEN {ratio} ELSE {otherwise} END FOR p IN list_zip(a.vs, b.vs) IF p[1] IS NOT NULL AND p[2] IS NOT NULL]"
+    return f"coalesce(list_sum({terms}), 0.0)"
 
 
 def components(name: str, edges: str) -> str:
@@ -342,10 +363,9 @@ UNION ALL SELECT 'component', (SELECT count(*) FROM lcc), count(*), count(*) FRO
     # time series
     "signed_similarity": select(
         [SIGNAL, EDGES, "f AS (SELECT id, count(*) AS n FROM signal GROUP BY 1)", "x AS (SELECT id, hour, value / n AS v FROM signal JOIN f USING (id))",
-         "j AS MATERIALIZED (SELECT src, dst, hour, v FROM edges JOIN x ON id = src)",
-         """s AS (SELECT src, dst, sum(CASE WHEN r > 0.5 THEN r ELSE -r END) AS w FROM (
-  SELECT src, dst, least(a.v, b.v) / greatest(a.v, b.v) AS r FROM j a JOIN x b ON b.id = dst AND a.hour = b.hour) GROUP BY 1, 2)"""],
-        "SELECT src, dst, round(coalesce(w, 0), 6) + 0.0::DOUBLE AS weight FROM edges LEFT JOIN s USING (src, dst)",
+         packed("x", "x", -1, N)],
+        f"""SELECT src, dst, round({ratios(0.5, "-least(p[1], p[2]) / greatest(p[1], p[2])")}, 6) + 0.0::DOUBLE AS weight
+FROM edges LEFT JOIN x_d a ON a.id = src LEFT JOIN x_d b ON b.id = dst""",
     ),
     "chunked_pearson": select(
         [SIGNAL, EDGES,
