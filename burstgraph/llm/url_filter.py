@@ -7,7 +7,7 @@
 * Naive Bayes with add-one smoothing learns from the pages that a rule judges (tokens of allowed and of blocked urls) and
   judges the rest. Its token weights are joined to the urls' tokens; frequent tokens are counted per (host, path) first.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and gets the method's verdict from the
+Edge cases: words and names may be of any length. Of segmentations of equal cost the one whose last word is longest wins. A null url, or one without ``://``, has an empty host and path, no rule, and gets the method's verdict from the
 priors alone. With no judged page of one class, the other class is the verdict; with none at all it is allow. Rows repeating a
 page_id are judged row by row. Null html counts as no words. Other columns are ignored. Empty tables give empty results.
 """
@@ -29,7 +29,7 @@ RULES = (
     ("net/fr/", "block"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST_WORD = 24
+PREFIX = 24  # longer words are found by their first letters
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -57,7 +57,7 @@ def word_costs(pages: DataFrame) -> DataFrame:
     """(word, cost) of the lower-cased words of the pages' visible text."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word"))
-    counts = words.where(f"length(word) BETWEEN 1 AND {LONGEST_WORD}").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = park(counts, "url-words")
     total = counts.agg(F.sum("n")).first()[0] or 1
     return counts.selectExpr("word", f"ln({total}) - ln(n) AS cost")
@@ -66,9 +66,10 @@ def word_costs(pages: DataFrame) -> DataFrame:
 def segment(text: str, costs: dict[str, float], unknown: float) -> list[str]:
     """Words of least total cost; a character in no word costs ``unknown``, neighbours of that kind stay together."""
     best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
+    lengths = {len(word) for word in costs}
     for end in range(1, len(text) + 1):
         choices = [(best[end - 1][0] + unknown, end - 1, False)]
-        for begin in range(max(0, end - LONGEST_WORD), end):
+        for begin in (end - n for n in lengths if n <= end):
             cost = costs.get(text[begin:end])
             if cost is not None:
                 choices.append((best[begin][0] + cost, begin, True))
@@ -86,12 +87,18 @@ def segment(text: str, costs: dict[str, float], unknown: float) -> list[str]:
 
 
 def segmented(names: DataFrame, costs: DataFrame) -> DataFrame:
-    """(name, words) of every distinct ``name``."""
+    """(name, words) of every distinct ``name``.
+
+    Substrings of up to ``PREFIX`` letters are all looked up. A longer word is tried where its first ``PREFIX`` letters stand,
+    in the lengths that words with these letters have, so a name's work follows the words there are and no length is left out.
+    """
     names = names.select("name").where("name <> ''").distinct()
-    parts = names.selectExpr("name", "explode(sequence(1, length(name))) AS at").selectExpr(
-        "name", "at", f"explode(sequence(1, least({LONGEST_WORD}, length(name) - at + 1))) AS n"
-    )
-    found = parts.selectExpr("name", "substring(name, at, n) AS word").distinct().join(costs, "word")
+    parts = names.selectExpr("name", "explode(sequence(1, length(name))) AS at", "length(name) AS size")
+    short = parts.selectExpr("name", "at", f"explode(sequence(1, least({PREFIX}, size - at + 1))) AS n")
+    heads = costs.where(f"length(word) > {PREFIX}").groupBy(F.substring("word", 1, PREFIX).alias("head")).agg(F.collect_set(F.length("word")).alias("lengths"))
+    long = parts.where(f"size - at + 1 > {PREFIX}").withColumn("head", F.expr(f"substring(name, at, {PREFIX})")).join(heads, "head")
+    long = long.selectExpr("name", "at", "explode(filter(lengths, n -> n <= size - at + 1)) AS n")
+    found = short.union(long).selectExpr("name", "substring(name, at, n) AS word").distinct().join(costs, "word")
     known = found.groupBy("name").agg(F.collect_list(F.struct("word", "cost")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,19 @@ def test_naive_bayes_judges_open_urls(spark):
     assert found[1].verdict == "block" and found[1].rule == "net/es/" and found[1].score is None
 
 
+def test_long_words_are_words(spark):
+    """Words beyond the looked-up prefix: alone, inside a name, one the beginning of another, with a shared beginning."""
+    a, b = "abcdefghij" * 3, "abcdefghij" * 2 + "abcdqqqqqqqqqq"
+    html = f"<p>{a} {a} {b} {a}xy sun x</p>"
+    costs = U.word_costs(pages(spark, [(1, None, html)]))
+    assert {r.word for r in costs.collect()} == {a, b, a + "xy", "sun", "x", "p"} - {"p"}
+    names = {a: [a], "sun" + a + "sun": ["sun", a, "sun"], a + "xysun": [a + "xy", "sun"], b + "x": [b, "x"], a[:-1]: None, "sun" + b + a: ["sun", b, a]}
+    found = {r.name: r.words for r in U.segmented(spark.createDataFrame([(n,) for n in names], "name STRING"), costs).collect()}
+    assert all("".join(found[n]) == n and words in (None, found[n]) for n, words in names.items())
+    long = "http://" + "luckycasino" * 200 + "." + "z" * 5000 + ".org/" + "y" * 3000
+    assert U.url_verdicts(pages(spark, [(1, long, "lucky casino " + "z" * 4000)])).first().verdict == "allow"
+
+
 def test_without_rules_or_rows(spark):
     assert U.url_verdicts(pages(spark, [])).collect() == []
     assert [r.verdict for r in U.url_verdicts(pages(spark, [(1, "http://x.org/", None)])).collect()] == ["allow"]
