@@ -9,7 +9,8 @@ fixed length; the buckets that can hold one are:
    and larger than those of the keys; a run of windows of one bucket is sent to the part of the bucket as its bytes.
 3. Refinement: positions of a bucket's runs get the bucket numbers of their 8-byte grams; sorting on (own number, number
    ``k`` bytes later) gives those of 16, 32 and ``WINDOW`` bytes, each step reusing the numbers of the one before. Two
-   windows have equal numbers exactly if they have equal bytes; the smallest doc_id of each number decides.
+   windows have equal numbers exactly if they have equal bytes; the smallest doc_id of each number decides. Runs begin where
+   their bytes say, so copies of a passage give equal runs, and equal runs are refined once.
 4. A bucket with more than ``HOT_ROWS`` runs is not gathered: its windows are grouped by a 128-bit hash, with minima combined
    before the shuffle.
 
@@ -56,9 +57,9 @@ def document_facts(docs: DataFrame) -> DataFrame:
     return bound_batches(docs).select("doc_id", "text").mapInArrow(run, _FACTS)
 
 
-def window_buckets(data: np.ndarray, gram: int) -> np.ndarray:
-    """Smallest hash of a ``gram``-gram in the window that starts at each byte."""
-    sums = prefix_sums(data)
+def window_buckets(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """Smallest hash of a ``gram``-gram in the window that starts at each byte; ``sums`` are the prefix sums of ``data``."""
+    sums = prefix_sums(data) if sums is None else sums
     at = np.arange(max(0, len(data) - gram + 1))
     low, span = span_hashes(sums, at, at + gram), 1
     wanted = WINDOW - gram + 1
@@ -89,6 +90,14 @@ def _keys(docs: DataFrame, parts: int) -> DataFrame:
     return found.groupBy("flush").applyInArrow(home, "node BIGINT, keys BINARY").dropDuplicates(["node"])
 
 
+def cut_runs(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs in pieces of at most ``WINDOW`` windows, counted from each run's start, so that copies are cut alike."""
+    count = -(-(stop - start) // WINDOW)
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first = np.repeat(start, count) + WINDOW * within
+    return first, np.minimum(first + WINDOW, np.repeat(stop, count))
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
     """(bucket, doc_id, node, at, context): runs of windows with shared keys; ``texts`` has doc_id, text, node and keys."""
 
@@ -101,17 +110,17 @@ def _contexts(texts: DataFrame) -> DataFrame:
                 if digest64(text) != nodes[i].as_py():  # another row with this doc_id
                     continue
                 data = np.frombuffer(text, dtype=np.uint8)
-                own = window_buckets(data, KEY) >> np.uint64(64 - TOKEN_BITS)
+                sums = prefix_sums(data)
+                own = window_buckets(data, KEY, sums) >> np.uint64(64 - TOKEN_BITS)
                 known = np.frombuffer(keys[i].as_py(), dtype="<u8")
                 shared = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-                bucket = window_buckets(data, GRAM)
+                bucket = window_buckets(data, GRAM, sums)
                 new = np.ones(len(own), dtype=bool)
                 new[1:] = (bucket[1:] != bucket[:-1]) | (shared[1:] != shared[:-1])
-                new[::WINDOW] = True
                 edge = np.flatnonzero(new)
                 stop = np.append(edge[1:], len(own))
                 keep = shared[edge]
-                edge, stop = edge[keep], stop[keep]
+                edge, stop = cut_runs(edge[keep], stop[keep])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": pa.array(bucket[edge].view(np.int64)),
@@ -208,11 +217,19 @@ def _cut(packed: DataFrame) -> DataFrame:
             last = np.searchsorted(edges, first + SLICE_ROWS)
             stop = int(edges[last]) if last < len(edges) else len(order)
             some = order[first:stop]
-            whose, number = refine([texts[k] for k in some])
+            forms: dict[bytes, int] = {}  # equal runs are refined once
+            form = np.array([forms.setdefault(texts[k], len(forms)) for k in some.tolist()])
+            lowest = np.full(len(forms), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, form, ids[some])
+            owner, number = refine(list(forms))
             low = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, number, ids[some][whose])
-            late = low[number] < ids[some][whose]
-            place = np.arange(len(whose)) - np.searchsorted(whose, np.arange(len(some)))[whose]
+            np.minimum.at(low, number, lowest[owner])
+            low = low[number]  # by window of a form
+            windows = np.bincount(owner, minlength=len(forms))
+            begin, count = (np.cumsum(windows) - windows)[form], windows[form]
+            whose = np.repeat(np.arange(len(some)), count)
+            place = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
+            late = low[begin[whose] + place] < ids[some][whose]
             new = np.ones(len(whose), dtype=bool)
             new[1:] = (whose[1:] != whose[:-1]) | (late[1:] != late[:-1])
             edge = np.flatnonzero(new)
