@@ -3,13 +3,20 @@
 A document is kept as its pre-tokens (the pieces that the tokenizer's pattern cuts before it merges) under a segment tree with
 character and token sums. An edit replaces a span of characters: the tree finds the leaf of its first character; matching starts
 two leaves earlier and goes on until a new pre-token ends where an old one began, for the pattern only looks ahead, so
-everything behind is cut as before. Only the leaves in between are encoded; their sums are updated up to the root.
+everything behind is cut as before. Only the leaves in between are encoded; their sums are updated up to the root. An edit
+looks at the leaves near it and at the path to the root, whatever the size of the document.
+
+Every document gets a tree, and its count is the sum at the root. Trees are stored: a row holds the sizes and tokens of its
+leaves, from which ``edit_trees`` has the tree again without cutting or encoding the text, and returns the tree as edited,
+ready to be stored and edited again.
 
 The corpus query redacts personal data: every e-mail address, IPv4 address and long digit group is an edit.
 
 Edge cases: null and empty texts have 0 tokens and no edits. Edits may insert, delete or replace, also at the ends; they are
-given by position in the text as it is then. Rows are independent; a null id is carried along; other columns are ignored.
-Empty tables give empty results. Special tokens are ordinary text.
+given by position in the text as it is then. Rows are independent, also where they repeat an id; a null id is carried along;
+other columns are ignored. Of edits that overlap the first to start counts, of those that start together the shortest. A very
+long text is one row and one tree; a very long pre-token is one leaf. Empty tables give empty results. Special tokens are
+ordinary text.
 """
 
 import base64
@@ -21,7 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from burstgraph.llm.common import park
 from burstgraph.llm.common import pieces as row_pieces
+from burstgraph.llm.exchange import pack, unpack
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how this public vocabulary's text is cut before merging
@@ -32,6 +41,8 @@ REDACT = (
     (r"\+?\d(?:[ ().-]{0,2}\d){8,}", "[NUMBER]"),
 )
 CACHE_PIECES = 300_000
+_TREES = "doc_id BIGINT, n_tokens BIGINT, leaves BINARY, edits ARRAY<STRUCT<start: BIGINT, stop: BIGINT, new: STRING>>, text STRING"
+_EDITED = "doc_id BIGINT, n_tokens BIGINT, n_edits BIGINT, n_tokens_edited BIGINT, n_chars_encoded BIGINT, leaves BINARY, edited STRING"
 
 
 class Counter:
@@ -53,7 +64,8 @@ class Counter:
         pieces = self.cut(text)
         tokens = self.encoding.encode_ordinary(text)
         ends = np.cumsum(self.lengths[tokens]) if tokens else np.zeros(0, np.int64)
-        stops = np.cumsum([len(p.encode()) for p in pieces], dtype=np.int64)
+        sizes = map(len, pieces) if text.isascii() else (len(p.encode()) for p in pieces)
+        stops = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(pieces)))
         return pieces, np.diff(np.searchsorted(ends, stops, side="right"), prepend=0)
 
     def tokens(self, pieces: list[str]) -> list[int]:
@@ -70,22 +82,34 @@ class Counter:
 class TokenTree:
     """Pre-tokens of a text with sums of characters and tokens over a complete binary tree."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, stored: bytes | None = None):
+        """The tree of ``text``; from ``stored`` leaves, where they are given, nothing is cut or encoded."""
+        if stored is None:
+            leaves, counts = counter.split(text)
+        else:
+            sizes, at = unpack(stored)
+            stops = [0, *np.cumsum(sizes.astype(np.int64)).tolist()]
+            leaves, counts = [text[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], unpack(stored, at)[0]
         self.counter = counter
-        self.leaves, counts = counter.split(text)
+        self.leaves, self.used = leaves, len(leaves)
         self.encoded = 0  # characters encoded by edits
-        self.size = 1 << max(1, len(self.leaves) - 1).bit_length()
+        self.size = 1 << max(1, len(leaves) - 1).bit_length()
         self.sums = np.zeros((2, 2 * self.size), dtype=np.int64)
-        n = len(self.leaves)
-        self.sums[0, self.size : self.size + n] = list(map(len, self.leaves))
-        self.sums[1, self.size : self.size + n] = counts
-        self.leaves += [""] * (self.size - n)
+        self.sums[0, self.size : self.size + self.used] = list(map(len, leaves))
+        self.sums[1, self.size : self.size + self.used] = counts
+        if not leaves:
+            self.leaves, self.used = [""], 1
         width = self.size
         while width > 1:
             level = self.sums[:, width : 2 * width]
             self.sums[:, width // 2 : width] = level[:, 0::2] + level[:, 1::2]
             width //= 2
 
+    def stored(self) -> bytes:
+        """Sizes and tokens of the leaves that hold text."""
+        sizes, tokens = self.sums[:, self.size : self.size + self.used]
+        return pack(sizes[sizes > 0]) + pack(tokens[sizes > 0])
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -133,7 +157,7 @@ class TokenTree:
         region = held[: start - begin] + new + held[stop - begin :]
         fixed, ahead = start - begin + len(new), 4  # matches that end before ``fixed`` cannot be old ones
         while True:
-            tail = list(islice(((k, t) for k, t in enumerate(self.leaves[last + 1 :], last + 1) if t), ahead + 1))
+            tail = list(islice(((k, self.leaves[k]) for k in range(last + 1, self.used) if self.leaves[k]), ahead + 1))
             whole = len(tail) <= ahead
             text = region + "".join(t for _, t in tail[:ahead])
             starts, at = {len(region): last + 1}, len(region)
@@ -151,13 +175,13 @@ class TokenTree:
                 end += len(piece)
             else:
                 if whole:
-                    met = self.size
+                    met = self.used
             if met is not None:
                 break
             ahead *= 2
         self.encoded += sum(map(len, pieces))
         self._put(first, "".join(pieces), sum(self.counter.tokens(pieces)))
-        for leaf in range(first + 1, min(met, self.size)):
+        for leaf in range(first + 1, met):
             if self.leaves[leaf]:
                 self._put(leaf, "", 0)
 
@@ -174,9 +198,9 @@ def redactions(text: str, rules=REDACT) -> list[tuple[int, int, str]]:
     return taken[::-1]
 
 
-def edited_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rules=REDACT) -> DataFrame:
-    """(doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_encoded, edited) per row; edited is the text after its edits,
-    null where there are none; n_chars_encoded is what the edits had to encode."""
+def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY, rules=REDACT) -> DataFrame:
+    """(doc_id, n_tokens, leaves, edits, text) per row: the tree of the text, its count at the root, and the edits that
+    ``rules`` ask for; text is kept where there are edits, else null. Without rules, text is always kept."""
     with open(vocabulary, "rb") as file:
         ranks = file.read()
 
@@ -185,20 +209,46 @@ def edited_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rules=REDACT) -
         for rows in row_pieces(batches):
             out = []
             for text in rows.column(1).to_pylist():
-                edits = redactions(text, rules) if text else []
+                leaves, counts = counter.split(text) if text else ([], np.zeros(0, np.int64))
+                sizes = np.fromiter(map(len, leaves), dtype=np.int64, count=len(leaves))
+                edits = [{"start": a, "stop": b, "new": new} for a, b, new in redactions(text, rules)] if text else []
+                out.append((int(counts.sum()), pack(sizes) + pack(counts), edits, text if edits or not rules else None))
+            tokens, leaves, edits, texts = zip(*out, strict=True)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("new", pa.string())]))
+            columns = [rows.column(0).cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(leaves, pa.binary()), pa.array(edits, kind), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "leaves", "edits", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _TREES)
+
+
+def edit_trees(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_encoded, leaves, edited) per row of ``trees`` (doc_id, n_tokens,
+    leaves, edits, text): its edits are made in turn on the stored tree. leaves is the tree and edited the text after them; edited
+    is null where there are none; n_chars_encoded is what the edits had to encode."""
+    with open(vocabulary, "rb") as file:
+        ranks = file.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks)
+        for rows in row_pieces(batches):
+            out = []
+            for tokens, stored, edits, text in zip(*(rows.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 if not edits:
-                    n = len(counter.encoding.encode_ordinary(text)) if text else 0
-                    out.append((n, 0, n, 0, None))
+                    out.append((0, tokens, 0, stored, None))
                     continue
-                tree = TokenTree(text, counter)
-                before = tree.tokens
+                tree = TokenTree(text or "", counter, stored)
                 for edit in edits:
-                    tree.edit(*edit)
-                out.append((before, len(edits), tree.tokens, tree.encoded, tree.text()))
+                    tree.edit(edit["start"], edit["stop"], edit["new"])
+                out.append((len(edits), tree.tokens, tree.encoded, tree.stored(), tree.text()))
             columns = list(zip(*out, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            names = ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded", "edited"]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *made], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded", "leaves", "edited"])
 
-    schema = "doc_id BIGINT, n_tokens BIGINT, n_edits BIGINT, n_tokens_edited BIGINT, n_chars_encoded BIGINT, edited STRING"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return trees.select("doc_id", "n_tokens", "leaves", "edits", "text").mapInArrow(run, _EDITED)
+
+
+def edited_counts(docs: DataFrame, vocabulary: str = VOCABULARY, rules=REDACT) -> DataFrame:
+    """(doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_encoded, edited) per row, from the stored trees of ``docs``."""
+    trees = park(token_trees(docs, vocabulary, rules), "token-trees", "zstd")
+    return edit_trees(trees, vocabulary).drop("leaves")

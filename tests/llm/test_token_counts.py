@@ -58,3 +58,38 @@ def test_the_table(spark, counter):
         for start, stop, new in T.redactions(text):
             text = text[:start] + new + text[stop:]
         assert r.n_tokens_edited == len(counter.encoding.encode_ordinary(text))
+
+
+def test_stored_trees_are_edited_again(documents, counter):
+    """A tree comes back from its leaves without cutting or encoding, and an edited one is edited again."""
+    from pyspark.sql import functions as F
+
+    text = "first words, then a.b@example.org, then the last words é漢"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (None, "no edit here")]
+    trees = T.token_trees(documents(rows), rules=()).drop("edits")
+    one = F.expr("CASE WHEN doc_id = 1 THEN array(named_struct('start', 6L, 'stop', 11L, 'new', 'things')) WHEN doc_id = 3 THEN array(named_struct('start', 0L, 'stop', 0L, 'new', 'new text')) END")
+    first = T.edit_trees(trees.withColumn("edits", one))
+    again = first.select("doc_id", F.col("n_tokens_edited").alias("n_tokens"), "leaves", F.col("edited").alias("text"))
+    two = F.expr("CASE WHEN doc_id = 1 THEN array(named_struct('start', 0L, 'stop', 5L, 'new', 'No')) END")
+    found = {r.doc_id: r for r in T.edit_trees(again.withColumn("edits", two)).collect()}
+    assert found[1].edited == text.replace("first words", "No things") and found[3].edited is None
+    assert found[1].n_tokens_edited == len(counter.encoding.encode_ordinary(found[1].edited))
+    assert 0 < found[1].n_chars_encoded < 40
+    assert found[3].n_tokens == len(counter.encoding.encode_ordinary("new text")) and found[2].n_tokens_edited == 0
+    tree = T.TokenTree(found[1].edited, counter, bytes(found[1].leaves))
+    assert tree.text() == found[1].edited and tree.tokens == found[1].n_tokens_edited
+
+
+def test_an_edit_reads_a_bounded_number_of_leaves(counter):
+    class Watched(list):
+        read = 0
+
+        def __getitem__(self, key):
+            Watched.read += len(range(*key.indices(len(self)))) if isinstance(key, slice) else 1
+            return list.__getitem__(self, key)
+
+    tree = T.TokenTree("some words of a long text " * 20_000, counter)
+    tree.leaves = Watched(tree.leaves)
+    for at in (100, 250_000, 500_000):
+        tree.edit(at, at + 3, "NEW")
+    assert Watched.read < 300
