@@ -34,7 +34,7 @@ from burstgraph.operators.components import component_labels
 WORDS, PERCENT, SIGNATURE_BYTES = 5, 75, 128
 CENTRES = 4  # drawn per tile and turn after the first
 PAIRS_PER_ROW, STALLED = 2, 0.9  # compare the remaining pairs when they are so few per row, or when a turn leaves so many
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("text_key", pa.int64())])
 _MEMBERS = "node BIGINT, size BIGINT, tokens BINARY, counts BINARY, signature BINARY"
 
 
@@ -44,15 +44,18 @@ def least_overlap(a, b, percent: int):
 
 
 def set_sizes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node) per row; node identifies the set and is null for an empty one."""
+    """(doc_id, n_shingles, node, text_key) per row; node identifies the set and is null for an empty one; text_key is the
+    xxhash64 of the text, to tell rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
             sets = shingle_sets(texts, words)
             nodes = [digest64(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64())], schema=_SETS)
+            columns = [rows.column(0).cast(pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), rows.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
-    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, node BIGINT")
+    rows = bound_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, node BIGINT, text_key BIGINT")
 
 
 def _members(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
@@ -196,6 +199,11 @@ def _centre_pairs(tiles: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``: component_id is the smallest doc_id reachable by links."""
+    return components_by_text(docs, words, percent).drop("text_key")
+
+
+def components_by_text(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``jaccard_components`` with text_key, the xxhash64 of the row's text: it tells rows that repeat an id apart."""
     sizes = park(set_sizes(docs, words), "jaccard-sizes")
     found = park(similar_sets(docs, sizes, words, percent), "jaccard-components")
     named = sizes.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -203,5 +211,5 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     answers = placed.join(least, "component").select("node", "component_id")
     return sizes.join(answers, "node", "left").selectExpr(
-        "doc_id", "n_shingles", "CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id"
+        "doc_id", "n_shingles", "CASE WHEN doc_id IS NOT NULL THEN coalesce(component_id, doc_id) END AS component_id", "text_key"
     )

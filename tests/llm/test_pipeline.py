@@ -27,7 +27,9 @@ def test_stages_on_odd_rows(spark, tmp_path, words):
     ids = {n: sorted((r.doc_id for r in rows), key=str) for n, rows in seen.items()}
     told, joined, cut, clean, encoded = (ids[n] for n, _ in P.STAGES)
     assert 70 not in told and 71 not in told and told.count(5) == 2 and None in told
-    assert 57 not in joined and 58 not in joined and joined.count(5) == 1 and None in joined and set(range(57)) <= set(joined)
+    assert told.count(58) == 2 and joined.count(58) == 1  # two rows of one id: only the copy of 5 goes
+    assert text[58] in {r.text for r in seen["n-gram Jaccard join"]}
+    assert 57 not in joined and joined.count(5) == 1 and None in joined and set(range(57)) <= set(joined)
     assert set(cut) == set(joined)
     left = {r.doc_id: r for r in seen["suffix-array dedup"]}
     assert passage in left[40].text and passage not in left[41].text and left[41].n_chars == len(left[41].text)
@@ -59,3 +61,14 @@ def test_columns_named_like_the_helpers(spark, tmp_path, words):
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert passage in texts[0] and passage not in texts[1] and passage not in texts[2]
     assert {tuple(r)[2:] for r in cut.collect()} == {tuple(range(len(names)))}
+
+
+def test_rows_of_one_id_are_judged_by_text(spark, words):
+    """Only the row that is a copy goes, and its other row keeps standing for its own group."""
+    rng = random.Random(12)
+    x, y, z = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(5, x), (7, x), (7, y), (9, y), (7, None), (11, z), (11, z)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id INT, text STRING, _copy INT")
+    kept = P.join_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, x), (7, y), (7, None), (11, z)], key=str)
