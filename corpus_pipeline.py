@@ -2,18 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet in the shared folder and reads
 again as the next stage's docs. All but the last return the columns of documents; a column of another name passes through.
-A row stays or goes by its doc_id: rows repeating one share their fate. Rows with a null doc_id stay where a decision
-needs the id.
+Near duplicates are decided by row, that is by doc_id and text, so that of rows repeating an id only the copies go; a leak of the
+benchmark takes all rows of its doc_id along. Rows with a null doc_id stay where a decision needs the id.
 """
 
 from burstgraph.llm.common import park
 from burstgraph.llm.decontamination import benchmark_matches
-from burstgraph.llm.id_filter import split_rows, without
-from burstgraph.llm.jaccard_join import jaccard_components
+from burstgraph.llm.id_filter import free_name, split_rows, without
+from burstgraph.llm.jaccard_join import components_by_text
 from burstgraph.llm.language_id import told_apart
 from burstgraph.llm.sentencepiece_codec import encode_documents
 from burstgraph.llm.suffix_dedup import cut_documents
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONFIDENT = 0.5
 
@@ -28,8 +29,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; of equal rows of one id and text, one."""
-    judged = park(jaccard_components(docs), "pipeline-groups")
-    kept = without(docs, judged.where("doc_id <> component_id").select("doc_id"), "doc_id")
+    judged = park(components_by_text(docs), "pipeline-groups")
+    copies = judged.where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    clear, doubted = split_rows(docs, copies, "doc_id")
+    names = [free_name(docs.columns, name) for name in ("_copy", "_text_key")]
+    key = [F.col("doc_id").cast("bigint") == F.col(names[0]), F.xxhash64("text") == F.col(names[1])]
+    kept = clear.union(doubted.join(copies.toDF(*names), key, "left_anti"))
     repeated = judged.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
