@@ -5,7 +5,7 @@ chunk of its own), so memory follows one text or one chunk, never a partition.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from burstgraph.session import scratch_path
 
 CHUNK = 1 << 19
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -43,14 +43,36 @@ def forget(df: DataFrame | None) -> None:
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows: a batch of long texts is held by the JVM and by
-    Python at once, on every core. The setting stays; a smaller one is left as it is."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """``df``, with the session's Arrow batches held to ``BATCH_ROWS`` rows and about ``BATCH_BYTES``: a batch of long texts is
+    held by the JVM and by Python at once, on every core. The settings stay; smaller ones are left as they are."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(name).rstrip("b")) <= most:
+            conf.set(name, str(most))
     return df
 
 
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system: workers wait for the next task beside busy ones, and
+    what they hold counts for their executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with memory given back when the task's rows are through."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, at least ``length`` of each."""
     if not _powers or len(_powers[0]) < length:

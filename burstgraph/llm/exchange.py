@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from burstgraph.llm.common import release, tidy
+
 RANGE_TOKENS, FLUSH, CELL = 1_000_000, 1_000_000, 100
 TOKEN_BITS = 48
 _SHIFT = np.uint64(64 - TOKEN_BITS)
@@ -103,7 +105,7 @@ def send(docs: DataFrame, parts: int, tokens_of: Callable) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(tidy(run), _ROWS)
 
 
 def part_starts(parts: int) -> np.ndarray:
@@ -116,6 +118,7 @@ def repeated(forward: DataFrame) -> DataFrame:
     (255 stands for that many or more), and its table of documents."""
 
     def meet(group: pa.Table) -> pa.Table:
+        release()
         passed, tokens, owners, names = [], [], [], []
         for name, kind, data in zip(*(group.column(c).to_pylist() for c in ("flush", "kind", "data")), strict=True):
             if kind:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import bound_batches, digest64, forget, park, pieces, shingle_sets, text_chunks
+from burstgraph.llm.common import bound_batches, digest64, forget, park, pieces, shingle_sets, text_chunks, tidy
 from burstgraph.llm.exchange import gather, ranges_for, repeated, send
 from burstgraph.operators.components import component_labels
 
@@ -55,7 +55,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
 
     rows = bound_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id BIGINT, n_shingles BIGINT, node BIGINT, text_key BIGINT")
+    return rows.mapInArrow(tidy(run), "doc_id BIGINT, n_shingles BIGINT, node BIGINT, text_key BIGINT")
 
 
 def _members(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in out.items()})
 
     schema = "token BIGINT, band BIGINT, node BIGINT, size BIGINT, place BIGINT"
-    return members.select("node", "size", "tokens", "counts").mapInArrow(run, schema)
+    return members.select("node", "size", "tokens", "counts").mapInArrow(tidy(run), schema)
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -137,8 +137,8 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     light = members.withColumn("held", F.expr("length(tokens) div 8"))
     bits = [light.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "held", "signature"))) for s in "ab"]
-    near = pairs.join(bits[0], "a").join(bits[1], "b").mapInArrow(by_bits, "a BIGINT, b BIGINT")
-    return near.join(side(("size", "tokens"), "a"), "a").join(side(("size", "tokens"), "b"), "b").mapInArrow(by_sets, "a BIGINT, b BIGINT")
+    near = pairs.join(bits[0], "a").join(bits[1], "b").mapInArrow(tidy(by_bits), "a BIGINT, b BIGINT")
+    return near.join(side(("size", "tokens"), "a"), "a").join(side(("size", "tokens"), "b"), "b").mapInArrow(tidy(by_sets), "a BIGINT, b BIGINT")
 
 
 def similar_sets(docs: DataFrame, sizes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

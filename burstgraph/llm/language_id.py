@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstgraph.llm.common import bound_batches, tidy
 from burstgraph.llm.common import pieces as row_pieces
 from burstgraph.llm.vocabulary import MODEL, SPACE, Lattice, Pieces, by_length, load
 
@@ -171,7 +172,7 @@ def told_apart(docs: DataFrame, least: float, path: str = MODEL) -> DataFrame:
             names, scores = predict(rows.column(rows.schema.get_field_index("text")).to_pylist())
             yield rows.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bound_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def language_id(docs: DataFrame, path: str = MODEL) -> DataFrame:

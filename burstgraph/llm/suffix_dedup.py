@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from burstgraph.llm.common import bound_batches, digest64, park, pieces, prefix_sums, span_hashes, text_chunks
+from burstgraph.llm.common import bound_batches, digest64, park, pieces, prefix_sums, release, span_hashes, text_chunks, tidy
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
 from burstgraph.llm.id_filter import free_name, probably_in, split_rows
 
@@ -54,7 +54,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, _FACTS)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), _FACTS)
 
 
 def window_buckets(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
@@ -83,6 +83,7 @@ def _keys(docs: DataFrame, parts: int) -> DataFrame:
                 begin += len(text)
 
     def home(group: pa.Table) -> pa.Table:
+        release()
         rows = [(node, np.unique(tokens).astype("<u8").tobytes()) for node, _, tokens, _ in gather(group)]
         return pa.table({"node": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -131,7 +132,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     }
                 )
 
-    return texts.mapInArrow(run, "bucket BIGINT, doc_id BIGINT, node BIGINT, at BIGINT, context BINARY")
+    return texts.mapInArrow(tidy(run), "bucket BIGINT, doc_id BIGINT, node BIGINT, at BIGINT, context BINARY")
 
 
 def refine(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +190,14 @@ def _packed(contexts: DataFrame, parts: int) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield flush(held)
 
-    return contexts.mapInArrow(run, "part BIGINT, data BINARY")
+    return contexts.mapInArrow(tidy(run), "part BIGINT, data BINARY")
 
 
 def _cut(packed: DataFrame) -> DataFrame:
     """(doc_id, node, start, stop): bytes whose window occurs in a document of smaller id."""
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         columns, texts = ([], [], [], []), []
         for data in group.column("data").to_pylist():
             data, at, read = zlib.decompress(data), 0, []
@@ -258,7 +260,7 @@ def _single_windows(contexts: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["w1", "w2", "doc_id", "node", "at"])
 
-    return contexts.mapInArrow(run, "w1 BIGINT, w2 BIGINT, doc_id BIGINT, node BIGINT, at BIGINT")
+    return contexts.mapInArrow(tidy(run), "w1 BIGINT, w2 BIGINT, doc_id BIGINT, node BIGINT, at BIGINT")
 
 
 def removed_spans(docs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -315,7 +317,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "node", "cut", "spans", "left", "kept"])
 
     texts = probably_in(docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), spans, "doc_id")
-    partly = texts.join(spans, "doc_id").mapInArrow(run, "doc_id BIGINT, node BIGINT, cut BIGINT, spans BIGINT, left STRING, kept STRING")
+    partly = texts.join(spans, "doc_id").mapInArrow(tidy(run), "doc_id BIGINT, node BIGINT, cut BIGINT, spans BIGINT, left STRING, kept STRING")
     partly = partly.dropDuplicates(["doc_id", "node"])
     firsts = facts.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = facts.join(firsts, "node", "left").join(partly, ["doc_id", "node"], "left")
@@ -347,7 +349,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
             yield batch.append_column(node, pa.array([digest64(t or b"") for t in texts], pa.int64()))
 
     new = changed.select(F.col("doc_id").alias(other), F.col("node").alias(there), F.col("kept").alias(kept))
-    joined = open_rows.mapInArrow(run, schema).join(new, (F.col("doc_id").cast("bigint") == F.col(other)) & (F.col(node) == F.col(there)), "left")
+    joined = open_rows.mapInArrow(tidy(run), schema).join(new, (F.col("doc_id").cast("bigint") == F.col(other)) & (F.col(node) == F.col(there)), "left")
     joined = joined.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
