@@ -4,6 +4,7 @@ import pytest
 
 from burstgraph.operators import grid, weights
 from burstgraph.operators.pairs import similar_pairs
+from burstgraph.plans import learning
 
 A = {1: 2, 2: 4, 3: 8, 5: 1}
 B = {2: 4, 3: 2, 4: 9, 5: 2}
@@ -136,6 +137,25 @@ def test_matches_out_of_range(make):
             similar_pairs(make.signal({1: A}), 0, 6, 3.0, matches=matches)
 
 
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_no_pair_is_shuffled(make):
+    """Equal series all pair up: the series are dealt to cells, the pairs stay where they are made."""
+    signal = make.signal({i: {h: 2.0 for h in range(6)} for i in range(50)} | {90: {h: -1.0 for h in range(6)}})
+    found = similar_pairs(signal, -1, 6, 3.0, block_rows=8)
+    assert sorted((r["src"], r["dst"], r["weight"]) for r in found.collect()) == [(a, b, 6.0) for a in range(50) for b in range(a + 1, 50)]
+    assert exchanges(found) and all("cell" in x for x in exchanges(found))
+
+
+def test_all_pairs_job_stores_no_pair(make, rows):
+    signal = make.signal({i: {h: 2.0 + 8.0 * (i < 40) for h in range(6)} for i in range(50)} | {60: {1: 10.0}})
+    found = learning.learn_all_pairs(signal, make.vertices({0: "zero"}), -1, 6, level=5.0, min_weight=3.0)
+    assert found.edges.count() == 40 * 39 // 2 and rows(found.vertices.select("id")) == [(i,) for i in range(40)]
+    assert "FlatMapGroupsInArrow" in found.edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_need_a_minimum(make):
     with pytest.raises(ValueError):
         similar_pairs(make.signal({1: A}), 0, 6, -1.0)
