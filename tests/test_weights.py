@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from burstgraph.operators import grid, weights
@@ -186,6 +187,36 @@ def test_no_series_is_shuffled_per_link(make):
     assert "map<" not in weighed._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("flush", [1, 50, 4_000_000])
+def test_series_go_to_cells_as_blobs(monkeypatch, flush):
+    """What a task sends to a cell is one row however many series it has for it, and comes back as it was."""
+    monkeypatch.setattr(grid, "_FLUSH", flush)
+    rnd = random.Random(4)
+    series = {i: [(h, rnd.choice((0.1, -2.0, 1e300, 37.0))) for h in sorted(rnd.sample(range(-99, 99), rnd.randrange(6)))] for i in range(-9, 20)}
+    cells = {i: [{"cell": c, "part": c % 2} for c in range(3) if (i + c) % 4] for i in series}
+    rows = [{"id": i, "hours": [h for h, _ in s], "values": [v for _, v in s], "cells": cells[i]} for i, s in series.items()]
+    pairs = pa.struct([("cell", pa.int64()), ("part", pa.int64())])
+    kinds = pa.schema([("id", pa.int64()), ("hours", pa.list_(pa.int32())), ("values", pa.list_(pa.float64())), ("cells", pa.list_(pairs))])
+    blobs = pa.Table.from_batches(grid.to_blobs(pa.Table.from_pylist(rows[::-1], kinds).to_batches(max_chunksize=7)))
+    if flush > 50:
+        assert blobs.num_rows == 3
+    for cell in range(3):
+        mine = blobs.filter(pa.compute.equal(blobs.column("_cell"), cell))
+        ids, starts, hours, values = grid._read_blobs(mine)
+        assert set(mine.column("_part").to_pylist()) == {cell % 2}
+        assert ids.tolist() == [i for i in series if (i + cell) % 4]
+        for i, a, b in zip(ids.tolist(), starts[:-1], starts[1:], strict=True):
+            assert list(zip(hours[a:b].tolist(), values[a:b].tolist(), strict=True)) == series[i]
+
+
+def test_learned_weights_are_stored(make):
+    """The cells are worked out once and read from column files, which a checkpoint would not do."""
+    signal = make.signal({1: A, 2: B, 3: A})
+    found = learning.learn_static(make.vertices({1: "a", 2: "b", 3: "c"}), make.edges([(1, 2), (1, 3)]), signal, 0, 6, min_weight=0.0)
+    plan = found.stages["pruned"].edges._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan and found.graph.edges.count() == 2
+
+
 def test_parallel_links_are_counted_out(spark):
     weighed = spark.createDataFrame([(1, 2, 250_001, 0.5), (3, 4, 1, 0.25)], "src BIGINT, dst BIGINT, copies BIGINT, weight DOUBLE")
     counts = {r["src"]: r["count"] for r in weights._one_row_per_copy(weighed).groupBy("src").count().collect()}
