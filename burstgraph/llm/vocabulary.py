@@ -23,24 +23,27 @@ _TOP = 20  # bits of a hash that the first test looks at
 
 @dataclass(frozen=True)
 class Pieces:
-    """Pieces as bytes; hashes of the usable ones in ascending order with their ids; which leading hash bits occur; the ids
-    of the 256 single bytes."""
+    """Pieces as bytes; hashes of the usable ones in ascending order with their ids; the place of the first key of each
+    leading hash bits, or -1, and the most keys that share them; the ids of the 256 single bytes."""
 
     pieces: tuple[bytes, ...]
     scores: np.ndarray
     keys: np.ndarray
     ids: np.ndarray
     tops: np.ndarray
+    deepest: int
     bytes_at: np.ndarray
     longest: int
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the hashes that are pieces, ids of those pieces)."""
-        maybe = np.flatnonzero(self.tops[hashes >> np.uint64(64 - _TOP)])
-        wanted = hashes[maybe]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        hit = self.keys[at] == wanted
-        return maybe[hit], self.ids[at[hit]]
+        at = self.tops.take(hashes >> np.uint64(64 - _TOP))
+        maybe = np.flatnonzero(at >= 0)
+        wanted, at = hashes.take(maybe), at.take(maybe)
+        for _ in range(self.deepest - 1):  # few keys share their leading bits
+            at += (self.keys.take(at) < wanted) & (at < len(self.keys) - 1)
+        hit = self.keys.take(at) == wanted
+        return maybe[hit], self.ids.take(at[hit])
 
 
 @lru_cache(maxsize=4)
@@ -67,9 +70,10 @@ def load(path: str = MODEL) -> Pieces:
     usable = np.array(usable)
     hashes = np.array([_whole_hash(raw[i]) for i in usable], dtype=np.uint64)
     order = np.argsort(hashes)
-    tops = np.zeros(1 << _TOP, dtype=bool)
-    tops[hashes >> np.uint64(64 - _TOP)] = True
-    return Pieces(tuple(raw), scores, hashes[order], usable[order], tops, bytes_at, max(len(raw[i]) for i in usable))
+    leading, first, shared = np.unique(hashes[order] >> np.uint64(64 - _TOP), return_index=True, return_counts=True)
+    tops = np.full(1 << _TOP, -1, dtype=np.int32)
+    tops[leading] = first
+    return Pieces(tuple(raw), scores, hashes[order], usable[order], tops, int(shared.max()), bytes_at, max(len(raw[i]) for i in usable))
 
 
 def _column_sums(matrix: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -67,3 +68,28 @@ def test_the_query_returns_ids_that_give_the_texts_back(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
     assert all(r.n_pieces == len(r.piece_ids) for r in encoded.collect())
     assert sorted(map(tuple, C.decode_documents(encoded).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_words_repeat_in_a_chunk_and_texts_end_in_marks(monkeypatch):
+    table, seen = load(), []
+    paths = C.best_paths
+    monkeypatch.setattr(C, "best_paths", lambda words, *a: seen.extend(words) or paths(words, *a))
+    texts = ["a b ", " a b", "", "  ", " ", "b  ", "▁a", "a b a b", "%%% x%%%"]
+    encode, texts = C.Encoder(table), [t.encode() for t in texts]
+    ids, at = encode.encoded(texts)
+    assert ids.dtype == np.int32 and len(seen) == len(set(seen))
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        words = re.findall("(?:▁)*[^▁]+|▁+", "▁" + text.decode().replace(" ", "▁")) if text else []
+        assert set(w.encode() for w in words) <= set(seen)
+        assert ids[a:b].tolist() == [i for i in paths([w.encode() for w in words], table, encode.scores)[0]]
+    assert encode.round_trips(texts, ids, at) == [b"\xe2" not in t for t in texts]
+    wrong = ids.copy()
+    wrong[0] = table.ids[7]
+    assert encode.round_trips(texts, wrong, at)[0] is False
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    texts = [t.encode() for t in ("one two one", "owe two", "a bb a")]
+    whole = C.Encoder(load())(texts)
+    monkeypatch.setattr(C, "span_hashes", lambda sums, starts, ends: np.ones(len(starts), np.uint64))
+    assert C.Encoder(load())(texts) == whole
