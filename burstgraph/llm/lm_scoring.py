@@ -81,8 +81,10 @@ class Home:
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = np.array([i is not None and not held_out(i) for i in self.ids], dtype=bool)
         bigrams = mix(context * np.uint64(0xD6E8FEB86659FD93) + words)
-        self.words, number = np.unique(np.concatenate([words, context]), return_inverse=True)
-        self.word, self.context = number[: len(words)], number[len(words) :]
+        self.words, number = np.unique(np.concatenate([words, START.reshape(1)]) if len(words) else words, return_inverse=True)
+        self.word = number[: len(words)]
+        self.context = np.roll(self.word, 1)  # a context is the token before; START before a document
+        self.context[self.begins] = number[-1:]
         self.bigrams, self.bigram = np.unique(bigrams, return_inverse=True)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +159,17 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.frexp(np.maximum(count, 1).astype(float))[1], 0)
 
 
+def count_cells(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (bucket, q2, q1) in ascending order, and how often each occurs. One number stands for the three: buckets are
+    below 65, and the logarithms of estimates between 2**-64 and 1 within 64 * ``GRID`` of 0."""
+    wide = np.int64(128 * GRID)
+    half = wide // 2
+    codes, n = np.unique((bucket.astype(np.int64) * wide + q2 + half) * wide + q1 + half, return_counts=True)
+    left, q1 = np.divmod(codes, wide)
+    bucket, q2 = np.divmod(left, wide)
+    return bucket, q2 - half, q1 - half, n
+
+
 def _cells(placed: DataFrame, answers: DataFrame, types: int, tokens: int) -> DataFrame:
     """(bucket, q2, q1, n): held-out events by context bucket and by bigram and unigram estimate on a logarithmic grid;
     a null is an estimate of 0. The grid bounds the rows, whatever the corpus."""
@@ -178,9 +191,8 @@ def _cells(placed: DataFrame, answers: DataFrame, types: int, tokens: int) -> Da
         left = tokens - home.sizes[home.doc]
         p2 = np.where(context > 0, bigram / np.maximum(context, 1), 0.0)
         p1 = np.where(left > 0, word / np.maximum(left, 1), 0.0)
-        cells = np.stack([_bucket(context)[live], grid(p2)[live], grid(p1)[live]], axis=1)
-        cells, n = np.unique(cells, axis=0, return_counts=True) if len(cells) else (cells, np.zeros(0, np.int64))
-        return pa.table({"bucket": cells[:, 0].astype(np.int64), "q2": cells[:, 1], "q1": cells[:, 2], "n": n})
+        columns = count_cells(_bucket(context)[live], grid(p2[live]), grid(p1[live]))
+        return pa.table(dict(zip(("bucket", "q2", "q1", "n"), columns, strict=True)))
 
     pairs = placed.groupBy("home").cogroup(answers.groupBy("home"))
     cells = pairs.applyInArrow(run, "bucket BIGINT, q2 BIGINT, q1 BIGINT, n BIGINT")

@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,3 +91,26 @@ def test_every_training_document_gives_held_out_events(documents, words):
 def test_bigrams_have_whole_hashes(documents):
     blobs = [bytes(r.data) for r in L.homes(documents([(k, f"some words of text {k}") for k in range(50)]), 1).collect()]
     assert L.Home(blobs).bigrams.max() >= 2**63
+
+
+def test_cells_are_counted_as_numbers():
+    rng = np.random.default_rng(3)
+    columns = rng.integers(0, 65, 300_000), rng.integers(-64 * L.GRID, 2, 300_000), rng.integers(-64 * L.GRID, 2, 300_000)
+    columns = [np.concatenate([c, c[:1000], [low, high]]) for c, low, high in zip(columns, (0, -64 * L.GRID, -64 * L.GRID), (64, 1, 1), strict=True)]
+    clock = [time.process_time()]
+    found = L.count_cells(*columns)
+    clock.append(time.process_time())
+    cells, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    clock.append(time.process_time())
+    assert all((x == y).all() for x, y in zip(found, (*cells.T, n), strict=True))
+    assert 2 * (clock[1] - clock[0]) < clock[2] - clock[1]  # rows as such are sorted many times slower
+    assert [len(x) for x in L.count_cells(*[np.zeros(0, np.int64)] * 3)] == [0] * 4
+
+
+def test_contexts_are_the_tokens_before(documents):
+    texts = ["a b a", "", "b b", "c"]
+    home = L.Home([bytes(r.data) for r in L.homes(documents(list(enumerate(texts))), 1).collect()])
+    before = np.concatenate([[L.START], home.words[home.word][:-1]])
+    before[home.begins] = L.START
+    assert (home.words[home.context] == before).all() and len(home.words) == 5 and home.counts()[0][home.words == L.START] == home.train.sum()
+    assert len(L.Home([]).words) == 0
