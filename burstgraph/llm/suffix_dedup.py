@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from burstgraph.llm.common import bound_batches, digest64, park, pieces, prefix_sums, release, span_hashes, text_chunks, tidy
+from burstgraph.llm.common import bound_batches, digest64, mix, park, pieces, prefix_sums, release, span_hashes, text_chunks, tidy
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
 from burstgraph.llm.id_filter import free_name, probably_in, split_rows
 
@@ -68,6 +68,11 @@ def window_buckets(data: np.ndarray, gram: int, sums: np.ndarray | None = None)
     return np.minimum(low[: len(low) - (wanted - span)], low[wanted - span :])
 
 
+def window_keys(data: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A key of the window that starts at each byte. Smallest hashes are small: mixed once more, keys fill all ranges alike."""
+    return mix(window_buckets(data, KEY, sums))
+
+
 def _keys(docs: DataFrame, parts: int) -> DataFrame:
     """(node, keys): for each text its window keys that another text has too."""
 
@@ -76,7 +81,7 @@ def _keys(docs: DataFrame, parts: int) -> DataFrame:
             data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             if len(data) < WINDOW:
                 continue
-            keys, begin = window_buckets(data, KEY), 0
+            keys, begin = window_keys(data), 0
             for text in texts:
                 if len(text) >= WINDOW:
                     yield digest64(text), len(text), np.unique(keys[begin : begin + len(text) - WINDOW + 1])
@@ -112,7 +117,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     continue
                 data = np.frombuffer(text, dtype=np.uint8)
                 sums = prefix_sums(data)
-                own = window_buckets(data, KEY, sums) >> np.uint64(64 - TOKEN_BITS)
+                own = window_keys(data, sums) >> np.uint64(64 - TOKEN_BITS)
                 known = np.frombuffer(keys[i].as_py(), dtype="<u8")
                 shared = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
                 bucket = window_buckets(data, GRAM, sums)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import burstgraph.llm.suffix_dedup as S
 
@@ -76,3 +77,12 @@ def test_refine_numbers_equal_windows():
     windows = [t[k : k + S.WINDOW] for t in texts for k in range(len(t) - S.WINDOW + 1)]
     assert len(number) == len(windows) and len(set(number.tolist())) == len(set(windows))
     assert all((windows[a] == windows[b]) == (number[a] == number[b]) for a in range(len(windows)) for b in range(a))
+
+
+def test_token_ranges_are_of_one_size(documents, words, monkeypatch):
+    rng, sent, whole = random.Random(8), [], S.repeated
+    monkeypatch.setattr(S, "repeated", lambda forward: sent.append(forward) or whole(forward))
+    rows = [(k, " ".join(words(rng, 400))) for k in range(60)]
+    assert len(S._keys(documents([*rows, (60, rows[0][1] + "!")]), 32).collect()) == 2
+    sizes = [r[0] for r in sent[0].where("kind = 0").groupBy("part").agg(F.sum(F.length("data"))).select(F.col("sum(length(data))")).collect()]
+    assert len(sizes) == 32 and max(sizes) < 2 * sum(sizes) / 32
