@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from burstgraph.session import scratch_path
 
 CHUNK = 1 << 19
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -107,6 +107,15 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def fixed_hashes(sums: np.ndarray, length: int) -> np.ndarray:
+    """``span_hashes`` of all spans of ``length``, without an index for each."""
+    _, down = powers(len(sums))
+    hashes = sums[length:] - sums[: max(0, len(sums) - length)]
+    hashes *= down[: len(hashes)]
+    hashes += np.uint64(length)
+    return mix(hashes)
+
+
 def digest64(data: bytes) -> int:
     """A signed 64-bit key of ``data``."""
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)

@@ -2,9 +2,10 @@
 
 Documents send their token hashes to token ranges as packed blobs and only the repeated ones come back. A task works in
 flushes of about ``FLUSH`` tokens: each flush has a table of its documents' keys, its tokens travel as (delta, slot) byte
-planes, some six bytes a token. A range holds ``RANGE_TOKENS`` tokens on average; beyond 10^10 tokens flushes and ranges both grow with
-the square root of the input, so that a flush keeps ``CELL`` tokens for a range: the number of blobs, and of steps of the loop
-over ranges, is in proportion to the input (some 30 million tokens a flush at 10^13 tokens). A token enters a range once per document, and copies within a task are skipped by key, so a group of copies adds at
+planes, some six bytes a token. A range holds ``RANGE_TOKENS`` tokens on average, as a task holds a range whole. Beyond 6 * 10^8
+tokens ranges, and beyond 10^10 flushes too, grow with the square root of the input, so that a flush keeps ``CELL`` tokens for a
+range: the number of blobs, and of steps of the loop over ranges, is in proportion to the input (some 30 million tokens a flush at
+10^13 tokens). A token enters a range once per document, and copies within a task are skipped by key, so a group of copies adds at
 most one entry per flush.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from burstgraph.llm.common import release, tidy
 
-RANGE_TOKENS, FLUSH, CELL = 1_000_000, 1_000_000, 100
+RANGE_TOKENS, FLUSH, CELL = 250_000, 1_000_000, 100
 TOKEN_BITS = 48
 _SHIFT = np.uint64(64 - TOKEN_BITS)
 _ROWS = "part BIGINT, flush BIGINT, kind INT, data BINARY"
@@ -78,10 +79,14 @@ def send(docs: DataFrame, parts: int, tokens_of: Callable) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             name = (task << 24) + number
-            slots = np.repeat(np.arange(len(held), dtype=np.uint64), [len(x) for x in held])
-            tokens = np.concatenate(held) >> _SHIFT
+            slots = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens >>= _SHIFT
             order = np.argsort(tokens, kind="stable")
-            tokens, slots = tokens[order], slots[order]
+            tokens = tokens[order]
+            slots = slots[order]
+            del order
             cuts = np.searchsorted(tokens, starts)
             rows = [
                 (p, name, 0, pack_sorted(tokens[a:b]) + pack(slots[a:b]))

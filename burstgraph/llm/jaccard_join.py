@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstgraph.llm.common import bound_batches, digest64, forget, park, pieces, shingle_sets, text_chunks, tidy
+from burstgraph.llm.common import bound_batches, digest64, forget, park, pieces, release, shingle_sets, text_chunks, tidy
 from burstgraph.llm.exchange import gather, ranges_for, repeated, send
 from burstgraph.operators.components import component_labels
 
@@ -68,6 +68,7 @@ def _members(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame
                     yield digest64(s.tobytes()), len(s), s
 
     def home(group: pa.Table) -> pa.Table:
+        release()
         out = []
         for node, size, tokens, counts in gather(group):
             if 100 * len(tokens) >= percent * size:

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from burstgraph.llm.common import prefix_sums, span_hashes, text_chunks
+from burstgraph.llm.common import bound_batches, prefix_sums, span_hashes, text_chunks, tidy
 from burstgraph.llm.vocabulary import MODEL, SPACE, Lattice, Pieces, by_length, load
 
-RANK_OFFSET, CACHE_WORDS, ENCODE_CHUNK = 100.0, 300_000, 4 << 20
+RANK_OFFSET, CACHE_WORDS, ENCODE_CHUNK = 100.0, 300_000, 1 << 20  # a chunk takes some 60 times its bytes
 _MARK = np.frombuffer(SPACE, np.uint8)
 
 
@@ -195,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id BIGINT, n_pieces BIGINT, piece_ids ARRAY<INT>, round_trip BOOLEAN")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(tidy(run), "doc_id BIGINT, n_pieces BIGINT, piece_ids ARRAY<INT>, round_trip BOOLEAN")
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL) -> DataFrame:

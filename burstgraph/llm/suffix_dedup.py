@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from burstgraph.llm.common import bound_batches, digest64, mix, park, pieces, prefix_sums, release, span_hashes, text_chunks, tidy
+from burstgraph.llm.common import bound_batches, digest64, fixed_hashes, mix, park, pieces, prefix_sums, release, text_chunks, tidy
 from burstgraph.llm.exchange import TOKEN_BITS, gather, pack, ranges_for, repeated, send, unpack
 from burstgraph.llm.id_filter import free_name, probably_in, split_rows
 
 WINDOW, KEY, GRAM = 50, 36, 24
-HOT_ROWS, PART_ROWS, SLICE_ROWS = 100_000, 200_000, 20_000
+HOT_ROWS, FLUSH_ROWS, PART_ROWS, SLICE_ROWS = 100_000, 200_000, 100_000, 20_000
 _FACTS = "doc_id BIGINT, n_bytes BIGINT, sha STRING, node BIGINT"
 
 
@@ -60,8 +60,7 @@ def document_facts(docs: DataFrame) -> DataFrame:
 def window_buckets(data: np.ndarray, gram: int, sums: np.ndarray | None = None) -> np.ndarray:
     """Smallest hash of a ``gram``-gram in the window that starts at each byte; ``sums`` are the prefix sums of ``data``."""
     sums = prefix_sums(data) if sums is None else sums
-    at = np.arange(max(0, len(data) - gram + 1))
-    low, span = span_hashes(sums, at, at + gram), 1
+    low, span = fixed_hashes(sums, gram), 1
     wanted = WINDOW - gram + 1
     while 2 * span <= wanted:
         low, span = np.minimum(low[:-span], low[span:]), 2 * span
@@ -189,7 +188,7 @@ def _packed(contexts: DataFrame, parts: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= PART_ROWS:
+            if sum(b.num_rows for b in held) >= FLUSH_ROWS:
                 yield flush(held)
                 held = []
         if sum(b.num_rows for b in held):

@@ -19,6 +19,11 @@ def test_blobs_stay_in_proportion_to_the_tokens():
     assert all(blobs[n] <= 1.01 * n / X.CELL for n in blobs)
 
 
+def test_a_range_is_small_beside_a_worker():
+    for tokens in (10**6, 10**7, 56 * 10**6, 5 * 10**8):
+        assert tokens / X.ranges_for(tokens) <= 250_000
+
+
 def test_packing_round_trips():
     rng = np.random.default_rng(1)
     for width in (1, 2**8, 2**33, 2**63):

@@ -1,9 +1,12 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 import burstgraph.llm.sentencepiece_codec as C
+from burstgraph.llm.common import text_chunks
 from burstgraph.llm.queries import QUERIES
 from burstgraph.llm.vocabulary import SPACE, load
 
@@ -93,3 +96,15 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     whole = C.Encoder(load())(texts)
     monkeypatch.setattr(C, "span_hashes", lambda sums, starts, ends: np.ones(len(starts), np.uint64))
     assert C.Encoder(load())(texts) == whole
+
+
+def test_chunks_take_little_memory(words):
+    texts = [" ".join(words(random.Random(k), 2000)) for k in range(500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    encode, back = C.Encoder(load()), []
+    tracemalloc.start()
+    for _, chunk in text_chunks(iter([batch]), chunk=C.ENCODE_CHUNK):
+        back += encode.round_trips(chunk, *encode.encoded(chunk))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(back) == len(texts) and all(back) and peak < 120e6

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import burstgraph.llm.suffix_dedup as S
+from burstgraph.llm import common
 
 
 def brute(rows):
@@ -86,3 +89,20 @@ def test_token_ranges_are_of_one_size(documents, words, monkeypatch):
     assert len(S._keys(documents([*rows, (60, rows[0][1] + "!")]), 32).collect()) == 2
     sizes = [r[0] for r in sent[0].where("kind = 0").groupBy("part").agg(F.sum(F.length("data"))).select(F.col("sum(length(data))")).collect()]
     assert len(sizes) == 32 and max(sizes) < 2 * sum(sizes) / 32
+
+
+def test_window_keys_take_little_memory():
+    data = np.random.default_rng(2).integers(0, 256, common.CHUNK, dtype=np.uint8)
+    common.powers(len(data) + 1)
+    tracemalloc.start()
+    found = S.window_keys(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(data)
+    some = data[:300]
+    at = np.arange(len(some) - S.KEY + 1)
+    grams = common.span_hashes(common.prefix_sums(some), at, at + S.KEY)
+    lowest = np.lib.stride_tricks.sliding_window_view(grams, S.WINDOW - S.KEY + 1).min(axis=1)
+    assert (S.window_keys(some) == common.mix(lowest)).all()
+    assert (found[: len(lowest)] == common.mix(lowest)).all() and len(found) == len(data) - S.WINDOW + 1
+    assert all(len(common.fixed_hashes(common.prefix_sums(data[:n]), 24)) == max(0, n - 23) for n in (0, 1, 23, 24, 25))
