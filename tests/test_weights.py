@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from burstgraph.operators import grid, weights
+from burstgraph.operators import grid, pairs, weights
 from burstgraph.operators.pairs import similar_pairs
 from burstgraph.plans import learning
 
@@ -150,6 +150,41 @@ def test_no_pair_is_shuffled(make):
     assert exchanges(found) and all("cell" in x for x in exchanges(found))
 
 
+def final_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_a_series_is_shuffled_once(make):
+    """However many cells there are, no series is copied for them, and both sides of the product read one exchange."""
+    signal = make.signal({i: {h: 2.0 for h in range(6)} for i in range(30)})
+    found = similar_pairs(signal, -1, 6, 3.0, block_rows=2)
+    assert len(found.collect()) == 30 * 29 // 2
+    plan = final_plan(found)
+    assert "Generate" not in plan and "CartesianProduct" in plan
+    assert plan.count("ReusedExchange") == 1 and plan.count("Exchange shufflepartitionidpassthrough") == 2  # the reused one names it again
+
+
+@pytest.mark.parametrize("floor, lam, min_weight", [(0.0, 0.5, 3.0), (0.0, 0.0, 5.0), (-5.0, 0.5, 0.0), (0.0, 1.0, 0.0)])
+def test_similar_pairs_of_blocks_that_share_a_cell(make, monkeypatch, floor, lam, min_weight):
+    """Several blocks in a cell, strips of few series, and values that are negative or far apart."""
+    for name, value in (("_TASKS_PER_CORE", 0), ("_BLOCKS_PER_CELL", 3), ("_STRIP", 40)):
+        monkeypatch.setattr(pairs, name, value)
+    rnd = random.Random(8)
+    values = (0.3, 1.0, 1.9, 2.0, 700.0) + ((-1.0, -3.0, -9.0) if floor < 0 else ())
+    series = {i: {h: rnd.choice(values) for h in range(20) if rnd.random() < 0.5} for i in range(40)}
+    found = similar_pairs(make.signal(series), -1, 20, min_weight, floor=floor, lam=lam, block_rows=4).collect()
+    expected = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = [(series[a][h], series[b][h]) for h in series[a].keys() & series[b].keys()]
+            terms = [min(x, y) / max(x, y) for x, y in both if x > floor and y > floor]
+            if (w := sum(t for t in terms if t > lam)) > min_weight + 1e-9:
+                expected[a, b] = w
+    got = {(r["src"], r["dst"]): r["weight"] for r in found}
+    assert len(got) == len(found) and set(got) >= set(expected) and (expected or lam == 1.0)
+    assert all(got[k] == pytest.approx(expected.get(k, min_weight)) for k in got)
+
+
 def test_all_pairs_job_stores_no_pair(make, rows):
     signal = make.signal({i: {h: 2.0 + 8.0 * (i < 40) for h in range(6)} for i in range(50)} | {60: {1: 10.0}})
     found = learning.learn_all_pairs(signal, make.vertices({0: "zero"}), -1, 6, level=5.0, min_weight=3.0)
