@@ -185,6 +185,13 @@ def test_similar_pairs_of_blocks_that_share_a_cell(make, monkeypatch, floor, lam
     assert all(got[k] == pytest.approx(expected.get(k, min_weight)) for k in got)
 
 
+def test_all_pairs_job_shuffles_a_series_once(make):
+    signal = make.signal({i: {h: 9.0 for h in range(6)} for i in range(30)})
+    found = learning.learn_all_pairs(signal, make.vertices({0: "zero"}), -1, 6, level=5.0, min_weight=3.0)
+    assert found.vertices.count() == 30 and len(found.edges.collect()) == 30 * 29 // 2
+    assert "Generate" not in final_plan(found.edges) and final_plan(found.edges).count("ReusedExchange") == 1
+
+
 def test_all_pairs_job_stores_no_pair(make, rows):
     signal = make.signal({i: {h: 2.0 + 8.0 * (i < 40) for h in range(6)} for i in range(50)} | {60: {1: 10.0}})
     found = learning.learn_all_pairs(signal, make.vertices({0: "zero"}), -1, 6, level=5.0, min_weight=3.0)
